@@ -84,18 +84,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(roots.distinct())
 
 
-def block_pairs(df: DataFrame, key: str, item: str, size: int) -> DataFrame:
-    """``df`` with columns task and half so that any two rows of a key meet in a task, and no task gets more than
-    about 2 * ``size`` rows: a key with more rows is dealt into blocks by the hash of ``item``, and each block goes to
-    the tasks of all pairs of blocks it is in. Keys of one row are left out."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / size).cast("int"))
-    dealt = df.join(counts, key).withColumn("_own", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    lo, hi = F.least("_own", "_other"), F.greatest("_own", "_other")
-    task = F.when(F.col("_blocks") == 1, F.xxhash64(key)).otherwise(F.xxhash64(key, lo, hi))
-    return dealt.withColumn("task", task).drop("_n", "_own", "_other", "_blocks")
-
-
 def sized_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

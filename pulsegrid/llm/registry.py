@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, url_filter
+from . import fingerprint, minhash, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL = {
     "op3_url_filter": url_filter.OP3_SQL,
