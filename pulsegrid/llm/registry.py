@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, minhash, url_filter
+from . import fingerprint, language, minhash, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op8_language": language.op8_language,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL = {
