@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, minhash, toxicity, url_filter
+from . import decontaminate, fingerprint, language, minhash, mixing, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_quality": quality.op6_quality,
+    "op7_mixing": mixing.op7_mixing,
     "op8_language": language.op8_language,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_minhash": minhash.op10_minhash,
 }
 ORACLE_SQL = {
