@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, minhash, mixing, quality, toxicity, url_filter
+from . import decontaminate, fingerprint, language, minhash, mixing, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_tokens": token_files.op4_tokens,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality": quality.op6_quality,
     "op7_mixing": mixing.op7_mixing,
