@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, minhash, mixing, quality, token_files, toxicity, url_filter
+from . import decontaminate, fingerprint, language, minhash, mixing, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
+    "op2_pii": pii.op2_pii,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_tokens": token_files.op4_tokens,
     "op5_toxicity": toxicity.op5_toxicity,
