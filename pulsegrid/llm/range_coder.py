@@ -19,7 +19,7 @@ LANES, STEPS = 8192, 256
 #: Tokens of a full block.
 BLOCK = LANES * STEPS
 MAGIC = b"PGT1"
-_HEAD = struct.Struct("<4sIQIIIII")  # magic, documents, tokens, vocabulary, lanes, crc of ids, bytes of the index, crc of the rest
+_HEAD = struct.Struct("<4sIQIIIII")  # magic, documents, tokens, vocabulary, lanes, crc of ids, bytes of the index, crc of all else
 
 _U = np.uint64
 _TOP, _BOT = _U(1 << 48), _U(1 << 32)
@@ -221,7 +221,8 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocab
             model.learn(n, own, hit2, hit1)
         sizes, data = coder.finish()
         body += sizes.astype("<u4").tobytes() + data
-    return _HEAD.pack(MAGIC, len(doc_ids), len(ids), vocabulary, lanes, check, len(index), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, len(doc_ids), len(ids), vocabulary, lanes, check, len(index), 0)[:-4]
+    return head + zlib.crc32(body, zlib.crc32(head)).to_bytes(4, "little") + body
 
 
 def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +231,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("the block is cut short")
     magic, docs, tokens, vocabulary, lanes, check, width, whole = _HEAD.unpack_from(block)
     body = block[_HEAD.size :]
-    if magic != MAGIC or zlib.crc32(body) != whole:
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[: _HEAD.size - 4])) != whole:
         raise ValueError("the block is damaged")
     index = zlib.decompress(body[:width])
     doc_ids, counts = np.cumsum(np.frombuffer(index[: 8 * docs], "<i8")), np.frombuffer(index[8 * docs :], "<u8").astype(np.int64)
