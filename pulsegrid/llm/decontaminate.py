@@ -31,7 +31,7 @@ COMMON = 0.03
 #: A window needs this share of a passage's weight and this cosine to be looked at.
 MASS, COSINE = 0.35, 0.4
 #: A common subsequence of at least SURE of an item's words is a leak; from DOUBT on, it is one if the answer is there.
-SURE, DOUBT, ANSWER = 0.7, 0.5, 0.6
+SURE, DOUBT, ANSWER = 0.6, 0.45, 0.5
 
 NOT_LETTER = FOLD == 0
 
@@ -259,12 +259,11 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
     hashes = np.unique(np.concatenate([w for _, _, w in rows]))
     df, total = frequencies(docs, hashes)
     weight = np.log((total + 1) / (df + 1.0))
-    # an item of common words only keeps its rarest ones
+    # the rarer half of every item's words stays, however often the item itself has leaked
     heavy = df <= max(COMMON * total, 1)
     for _, _, w in rows:
-        k = np.searchsorted(hashes, w)
-        if heavy[k].sum() < 4:
-            heavy[k[np.argsort(df[k], kind="stable")[:4]]] = True
+        k = np.unique(np.searchsorted(hashes, w))
+        heavy[k[np.argsort(df[k], kind="stable")[: -(-len(k) // 2)]]] = True
     hashes, weight = hashes[heavy], np.maximum(weight[heavy], 0.1)
     terms = Terms(hashes)
     basis, _ = randomised_svd(block.filter("text is not null and item_id is not null"), terms, weight)
