@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ def sort_events(samples: DataFrame, locations: DataFrame, calibration: Calibrati
     patch = members.groupBy("channel").agg(F.count("*").alias("_members"))
     # members whose recording ends early leave gaps; such clips are left out
     vectors = clips.clip_vectors(wide).join(patch, "channel").filter(F.size("wave") == F.col("_members") * s.clip_size).drop("_members")
-    feats = features.pca_features(vectors, s.num_features)
-    labels = features.cluster_channels(feats, calibration, s.clusters, s.split_threshold, s.max_iterations, s.seed)
+    # both are used several times; a lost block is made again from its lineage
+    feats = features.pca_features(vectors, s.num_features).persist(StorageLevel.DISK_ONLY)
+    labels = features.cluster_channels(feats, calibration, s.clusters, s.split_threshold, s.max_iterations, s.seed).persist(StorageLevel.DISK_ONLY)
     neurons = clips.neuron_ids(labels)
     labelled = labels.join(neurons, ["channel", "label"]).select("neuron_id", "channel", "t")
     return Sorted(edges, events, feats, labels, neurons, clips.templates(samples, labelled, s.clip_size))
