@@ -3,6 +3,7 @@ joins, connected components, and vectorised hashing of words in Arrow text."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not at:
         import tempfile
 
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="pulsegrid-")
         spark.conf.set("spark.checkpoint.dir", at)
