@@ -82,8 +82,8 @@ def located(text: Column, pattern: Column | str, valid, context: int = 0) -> Col
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, email, ip, card, phone): the base spans of every row with their contexts. _key tells apart rows of
-    one doc_id with different texts."""
+    """(_row, _key, doc_id, email, ip, card, phone): the base spans of every row with their contexts. _row numbers the
+    rows, _key tells apart rows of one doc_id with different texts."""
     frame = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     cols = []
@@ -91,55 +91,58 @@ def entities(docs: DataFrame) -> DataFrame:
         seen = text.contains(HINTS[kind]) if kind in HINTS else text.rlike("[0-9][\\x20-]?[0-9]")
         spans = located(text, pattern, lambda m, kind=kind: _valid(kind, m), CONTEXT)
         cols.append(F.when(seen, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")).alias(kind))
-    return frame.select(F.xxhash64("doc_id", "text").alias("_key"), "doc_id", *cols)
+    return frame.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", "text").alias("_key"), "doc_id", *cols)
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """(_key, entity, context, term): words of the contexts that were not cut off."""
+def _holders(found: DataFrame) -> DataFrame:
+    """(_row, entity, before, after): every mention of an entity, named by its kind and normalised value."""
     every = []
     for kind in PATTERNS:
-        value = F.lower(F.col("m.value")) if kind in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")
-        one = found.select("_key", F.explode(kind).alias("m")).select("_key", F.concat(F.lit(f"{kind}:"), value).alias("entity"), "m.before", "m.after")
-        every.append(one)
+        value = F.lower("m.value") if kind in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")
+        every.append(found.select("_row", F.explode(kind).alias("m")).select("_row", F.concat(F.lit(f"{kind}:"), value).alias("entity"), "m.before", "m.after"))
     rows = every[0]
     for one in every[1:]:
         rows = rows.unionByName(one)
+    return rows
+
+
+def _mentions(holders: DataFrame) -> DataFrame:
+    """(_row, entity, context, term): words of the contexts that were not cut off."""
     word = rf"\p{{L}}{{{LETTERS},}}"
     terms = F.concat(F.regexp_extract_all(F.lower("before"), F.lit(rf"(?<=\P{{L}}){word}(?!\p{{L}})"), F.lit(0)), F.regexp_extract_all(F.lower("after"), F.lit(rf"(?<!\p{{L}}){word}(?=\P{{L}})"), F.lit(0)))
-    return rows.select("_key", "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(terms)).alias("term"))
+    return holders.select("_row", "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(terms)).alias("term"))
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """(_key, term): the different longer words of every row."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.xxhash64("doc_id", text).alias("_key"), F.explode(F.array_distinct(F.split(F.lower(text), r"\P{L}+"))).alias("term")).filter(F.length("term") >= LETTERS)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, share) of the terms that disclose too much of any entity; (_key, term) of every row that holds one."""
-    mentions = cut(_mentions(found))
-    pairs = mentions.groupBy("entity", "term").agg(F.countDistinct("_key").alias("n_both"), F.countDistinct("context").alias("support")).filter(F.col("support") >= SUPPORT)
+def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, share) of the terms that disclose too much of any entity, over counts of rows."""
+    holders = _holders(found)
+    pairs = _mentions(holders).groupBy("entity", "term").agg(F.countDistinct("_row").alias("n_both"), F.countDistinct("context").alias("support")).filter(F.col("support") >= SUPPORT)
     # an entity stands in all rows that mention it, whether or not there are terms around
-    holders = [found.select("_key", F.explode(k).alias("m")).select("_key", F.concat(F.lit(f"{k}:"), F.lower("m.value") if k in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")).alias("entity")) for k in PATTERNS]
-    rows = holders[0]
-    for h in holders[1:]:
-        rows = rows.unionByName(h)
-    sizes = rows.groupBy("entity").agg(F.countDistinct("_key").alias("n_entity"))
+    sizes = holders.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"))
     pairs = cut(pairs.join(sizes, "entity"))
     terms = bounded_broadcast(cut(pairs.select("term").distinct()))
-    words = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+"))).alias("term")).filter(F.length("term") >= LETTERS)
-    held = cut(words.join(terms, "term").select("_key", "term"))
-    total = found.select("_key").count()
-    counts = held.groupBy("term").agg(F.countDistinct("_key").alias("n_term"))
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * float(max(total, 1)) / (F.col("n_entity") * F.col("n_term")))
+    # counted where they stand: only sums of each task are shuffled
+    counts = _words(docs).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    total = float(max(found.count(), 1))
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, mutual / F.when(information > 0, information))
-    shares = pairs.join(counts, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE)
-    shares = cut(shares)
-    return shares, held.join(bounded_broadcast(shares.select("term")), "term")
+    return cut(pairs.join(counts, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE))
 
 
 def _between(low: float, high: float):
     return lambda t: (t["share"] >= low) & (t["share"] < high)
 
 
-def term_spans(docs: DataFrame, shares: DataFrame, held: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, shares: DataFrame) -> DataFrame:
     """(_key, remove, generalise): arrays of the places of disclosing terms, for the rows that have any."""
-    per_row = held.join(bounded_broadcast(shares), "term").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms"))
+    per_row = _words(docs).join(bounded_broadcast(shares), "term").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms"))
     per_row = cut(per_row)
     texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.coalesce("text", F.lit("")).alias("text")).join(bounded_broadcast(per_row), "_key")
     cols = []
@@ -155,12 +158,11 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """(_key, doc_id, email, ip, card, phone, remove, generalise) for every row of ``docs`` (doc_id, text; other columns
     are ignored): arrays of (start, end), code points, end exclusive, ascending.
 
-    Null and empty texts have no spans. Repeated rows have the same spans and count as one text. Without any entity no
+    Null and empty texts have no spans. Repeated rows have the same spans. Without any entity no
     term is disclosing. Empty tables give no rows.
     """
     found = cut(entities(docs))
-    shares, held = disclosing_terms(docs, found)
-    extra = bounded_broadcast(cut(term_spans(docs, shares, held)))
+    extra = bounded_broadcast(cut(term_spans(docs, disclosing_terms(docs, found))))
     plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
     none = F.array().cast("array<struct<start:int,end:int>>")
     return found.select("_key", "doc_id", *plain).join(extra, "_key", "left").select("_key", "doc_id", *PATTERNS, *(F.coalesce(k, none).alias(k) for k in ("remove", "generalise")))
