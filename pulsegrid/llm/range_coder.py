@@ -74,7 +74,7 @@ class _Decoder:
     def __init__(self, sizes: np.ndarray, data: np.ndarray):
         lanes = len(sizes)
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-        self.data = np.concatenate([data, np.zeros(4, data.dtype)]).astype(_U)
+        self.data = np.concatenate([data, np.zeros(4, data.dtype)])
         self.next = np.cumsum(sizes) - sizes
         self.stop = self.next + sizes
         self.code = np.zeros(lanes, _U)
@@ -84,7 +84,7 @@ class _Decoder:
     def _word(self, who: np.ndarray) -> np.ndarray:
         at = self.next[who]
         self.next[who] = at + 1
-        return np.where(at < self.stop[who], self.data[np.minimum(at, len(self.data) - 1)], _U(0))
+        return np.where(at < self.stop[who], self.data[np.minimum(at, len(self.data) - 1)], 0).astype(_U)
 
     def value(self, n: int) -> np.ndarray:
         got = (self.code[:n] - self.low[:n]) // (self.range[:n] >> _BITS)
@@ -208,12 +208,12 @@ def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, vocab
     body = index
     if lanes:
         coder, model = _Encoder(lanes, steps), _Model(vocabulary, lanes)
-        grid = np.zeros(lanes * steps, np.int64)
+        grid = np.zeros(lanes * steps, np.int32)
         grid[: len(ids)] = ids
         grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
         for s in range(steps):
             n = -(-(len(ids) - s) // steps)
-            own = grid[s, :n]
+            own = grid[s, :n].astype(np.int64)
             model.predict(n)
             hit2 = own == model.g2
             hit1 = ~hit2 & (own == model.g1)
@@ -236,11 +236,11 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index = zlib.decompress(body[:width])
     doc_ids, counts = np.cumsum(np.frombuffer(index[: 8 * docs], "<i8")), np.frombuffer(index[8 * docs :], "<u8").astype(np.int64)
     if not tokens:
-        return doc_ids, counts, np.zeros(0, np.int64)
+        return doc_ids, counts, np.zeros(0, np.int32)
     sizes = np.frombuffer(body, "<u4", lanes, width).astype(np.int64)
     coder = _Decoder(sizes, np.frombuffer(body, "<u2", -1, width + 4 * lanes))
     model, steps = _Model(vocabulary, lanes, decoding=True), -(-tokens // lanes)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for s in range(steps):
         n = -(-(tokens - s) // steps)
         model.predict(n)

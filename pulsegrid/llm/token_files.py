@@ -17,6 +17,8 @@ from .common import bounded_broadcast, cut, scratch_path, sized_partitions, smal
 from .range_coder import BLOCK, decode_block, encode_block
 
 END_ID = 2
+#: Stands for a null doc_id in a block.
+NO_ID = -(1 << 63)
 #: A worker remembers the ids of at most so many different pieces of text.
 REMEMBERED = 2_000_000
 
@@ -32,13 +34,18 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: After these bytes, white space surely begins a new piece: ASCII but for controls, and the second bytes of U+00C0 to U+00FF.
 _PLAIN = np.zeros(256, bool)
 _PLAIN[33:127] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+_MARK = _PLAIN & ~_ALPHA
+_MARK[48:58] = False
 
 
 class PieceEncoder:
     """Ids of whole texts by a byte-level BPE tokenizer, each different piece encoded once.
 
     Such a tokenizer never joins white space to what stands before it, so a text may be cut before any white space that
-    follows a printable character; the pieces' ids in a row are the text's.
+    follows a printable character; nor does it join marks to a letter before them, unless a special token is spelt out.
+    The pieces' ids in a row are the text's.
     """
 
     def __init__(self, path: str):
@@ -47,40 +54,44 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(vocabulary.values()) + 1
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = np.zeros(self.vocabulary, np.int64)  # bytes of each id: byte-level tokens have a letter for each
         for token, i in vocabulary.items():
             self.width[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Pieces that begin with white space and end with a printable one are encoded in one go; the bytes of the ids
         tell them apart."""
-        joined = np.array([p[0] < 128 and _WHITE[p[0]] and _PLAIN[p[-1]] for p in pieces])
-        texts = [b"".join(p for p, j in zip(pieces, joined, strict=True) if j).decode()]
-        texts += [p.decode() for p, j in zip(pieces, joined, strict=True) if not j]
-        coded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.zeros(len(pieces), np.int64)
-        if joined.any():
-            ends = np.cumsum([len(p) for p, j in zip(pieces, joined, strict=True) if j])
-            upto = np.searchsorted(np.cumsum(self.width[coded[0]]), ends, "left") + 1
+        joined = _WHITE[buf[starts]] & _PLAIN[buf[ends - 1]]
+        length = ends - starts
+        own = length[joined]
+        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(starts[joined], own)
+        texts = [buf[at].tobytes().decode()]
+        texts += [buf[a:b].tobytes().decode() for a, b in zip(starts[~joined].tolist(), ends[~joined].tolist(), strict=True)]
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        first = np.array(coded[0], np.int32)
+        sizes = np.zeros(len(starts), np.int64)
+        if len(own):
+            upto = np.searchsorted(np.cumsum(self.width[first]), np.cumsum(own), "left") + 1
             sizes[joined] = np.diff(np.concatenate(([0], upto)))
         sizes[~joined] = [len(c) for c in coded[1:]]
         order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
-        flat = np.concatenate(coded)
-        starts = np.zeros(len(pieces), np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        flat = np.concatenate([first, np.array([i for c in coded[1:] for i in c], np.int32)])
+        place = np.zeros(len(starts), np.int64)
+        place[order] = np.cumsum(sizes[order]) - sizes[order]
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
-        self.first, self.count = np.concatenate([self.first, starts + self.used]), np.concatenate([self.count, sizes])
+        self.first, self.count = np.concatenate([self.first, place + self.used]), np.concatenate([self.count, sizes.astype(np.int32)])
         self.used += len(flat)
         where = np.searchsorted(self.keys, keys)
-        self.place = np.insert(self.place, where, np.arange(len(self.first) - len(keys), len(self.first)))
+        self.place = np.insert(self.place, where, np.arange(len(self.first) - len(keys), len(self.first), dtype=np.int32))
         self.keys = np.insert(self.keys, where, keys)
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +103,9 @@ class PieceEncoder:
             plain = _PLAIN[buf]
             plain[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80)
             cuts[1:n] = _WHITE[buf[1:]] & plain[:-1]
+            raw = buf.tobytes()
+            if not any(t in raw for t in self.special):
+                cuts[1:n] |= _MARK[buf[1:]] & _ALPHA[buf[:-1]]
             cuts[offs[:-1][offs[:-1] < offs[1:]]] = True
             cuts[0] = True
         starts = np.flatnonzero(cuts[:n])
@@ -103,17 +117,16 @@ class PieceEncoder:
         at = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            raw = buf.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]] for i in one[new]])
+            self._learn(keys[new], buf, starts[one[new]], ends[one[new]])
             at = np.searchsorted(self.keys, keys)
         place = self.place[at][back] if len(keys) else at
-        size = self.count[place]
+        size = self.count[place].astype(np.int64)
+        # of several texts at one place, all but the last are empty
         doc = np.searchsorted(offs, starts, "right") - 1
-        # of several empty texts at one place, the last is the one that isn't
         per_doc = np.bincount(doc, size, minlength=docs).astype(np.int64)
         total = int(size.sum())
         flat = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[place], size)
-        out = np.full(total + docs, END_ID, np.int64)
+        out = np.full(total + docs, END_ID, np.int32)
         out[np.arange(total) + np.repeat(np.arange(docs), per_doc)] = self.pool[flat]
         return out, per_doc + 1
 
@@ -150,9 +163,10 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal held, size, seq
             ids, counts, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
             block = encode_block(ids, counts, tokens, coder.vocabulary)
             row = [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([block], pa.binary())]
-            held, size, seq = [], 0, seq + 1
+            size, seq = 0, seq + 1
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "documents", "tokens", "block"])
 
         for b in batches:
@@ -164,7 +178,7 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
                 if parts[x] != part:
                     part, seq = int(parts[x]), 0
                 own = b.slice(x, y - x)
-                ids = own.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+                ids = own.column(1).fill_null(NO_ID).to_numpy(zero_copy_only=False)
                 for i, j, buf, offs in text_slices(own.column(2)):
                     tokens, counts = coder.encode(buf, offs)
                     held.append((ids[i:j], counts, tokens))
@@ -195,7 +209,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends - counts, ends, strict=True)]
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[r].as_py(), np.int32)), pa.array(np.full(n, b.column(1)[r].as_py(), np.int64)), pa.array(ids, mask=ids == -1), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[r].as_py(), np.int32)), pa.array(np.full(n, b.column(1)[r].as_py(), np.int64)), pa.array(ids, mask=ids == NO_ID), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     blocks = files.select("part", "seq", "tokens")
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("t"))
@@ -211,7 +225,7 @@ def tokens_of(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``docs`` to a fresh folder beside the checkpoints, and reads them back.
 
     Null and empty texts have the end id alone. Rows of one doc_id follow each other in the order of their texts; a null
-    doc_id stands first (an id of -1 is read back as null). Empty tables give no rows. Other columns are ignored.
+    doc_id stands first (so is the least 64-bit number, which is read back as null). Empty tables give no rows. Other columns are ignored.
     """
     return read_tokens(write_tokens(docs, scratch_path(docs.sparkSession, "tokens"), path))
 
