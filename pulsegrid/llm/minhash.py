@@ -28,7 +28,7 @@ COORDS = 64
 #: standard deviation of 2.9: a pair at the very threshold is missed about once in 200,000 times.
 MATCHES = 40
 #: Rows of a posting list, and rows and shingles of a candidate group, that a task's block may have.
-LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 8192, 4096, 4_000_000
+LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 8192, 4096, 2_000_000
 
 _ORDER = seeds(WORDS, 301) | np.uint64(1)
 _COORD = seeds(COORDS, 302) | np.uint64(1)
@@ -119,7 +119,7 @@ def spanning(n: int, hits: Callable[[int], np.ndarray], leaders: int = 32) -> li
 def whole_groups(batches: Iterator[pa.RecordBatch], at: int, rows: int = 16384) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows or more that end where the value of column ``at`` changes."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count, least = 0, rows
     for b in batches:
         if not b.num_rows:
             continue
@@ -133,7 +133,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], at: int, rows: int = 16384)
         if end:
             yield t.slice(0, end)
         held, count = t.slice(end).to_batches(), t.num_rows - end
-        rows = max(16384, 2 * count)  # a long group isn't gone over again with every batch
+        rows = max(least, 2 * count)  # a long group isn't gone over again with every batch
     if held:
         yield pa.Table.from_batches(held)
 
