@@ -25,7 +25,7 @@ from .common import binary_column, bounded_broadcast, connected_components, cut,
 WORDS = 5
 COORDS = 64
 #: Collisions that make a candidate. At a similarity of 0.85, 64 coordinates collide 54.4 times on average, with a
-#: standard deviation of 2.9: a pair at the very threshold is missed about once in 200,000 times.
+#: standard deviation of 2.9: a pair at the very threshold is missed about once in 400,000 times.
 MATCHES = 40
 #: Rows of a posting list, and rows and shingles of a candidate group, that a task's block may have.
 LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 8192, 4096, 2_000_000
