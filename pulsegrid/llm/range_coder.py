@@ -110,12 +110,12 @@ class _Mixed:
         self._refresh()
 
     def _refresh(self) -> None:
-        self.rate = [h * _FLAGS // n for h, n in zip(self.hits, self.all, strict=True)]
+        self.rate = [(h * _FLAGS // n).astype(np.int32) for h, n in zip(self.hits, self.all, strict=True)]
         self.w = min(240, max(16, 128 + (self.score[0] - self.score[1]) // 4))
 
     def chance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of _FLAGS."""
-        return (self.w * self.rate[0][a] + (256 - self.w) * self.rate[1][b]) >> 8
+        return (self.w * self.rate[0].take(a) + (256 - self.w) * self.rate[1].take(b)) >> 8
 
     def learn(self, contexts: tuple[np.ndarray, np.ndarray], hit: np.ndarray) -> None:
         if not len(hit):
@@ -128,12 +128,16 @@ class _Mixed:
         self._refresh()
 
 
+_MORE = (np.arange(16) < 15).astype(np.int32)
+_LESS = ((np.arange(16) + 1) // 2).astype(np.int32)
+
+
 class _Model:
     """A cell of a table of guesses is an id times 16 plus how far it is trusted."""
 
     def __init__(self, vocabulary: int, lanes: int, decoding: bool = False):
         self.v, self.decoding = vocabulary, decoding
-        self.table1, self.table2 = np.zeros(vocabulary + 1, np.int64), np.zeros(1 << _SLOTS, np.int64)
+        self.table1, self.table2 = np.zeros(vocabulary + 1, np.int32), np.zeros(1 << _SLOTS, np.int32)
         self.prev1, self.prev2 = np.full(lanes, vocabulary, np.int64), np.full(lanes, vocabulary, np.int64)
         self.first, self.second = _Mixed((512, 512)), _Mixed((256, 512))
         self.count = np.zeros(vocabulary, np.int64)
@@ -147,31 +151,34 @@ class _Model:
         freq[int(freq.argmax())] += (1 << _ID_BITS) - int(freq.sum())
         self.freq, self.cum = freq, np.cumsum(freq) - freq
         if self.decoding:
-            self.at = np.repeat(np.arange(self.v), freq)
-        self.level = np.minimum(15, np.searchsorted(1 << np.arange(15), self.count, "right"))
+            self.at = np.repeat(np.arange(self.v, dtype=np.int32), freq)
+        self.level = np.minimum(15, np.searchsorted(1 << np.arange(15), self.count, "right")).astype(np.int32)
 
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: both guesses, and the ranges of their flags in _FLAGS."""
         p1, p2 = self.prev1[:n], self.prev2[:n]
         self.slot = ((p2 * 50021 + p1) * 2654435761 >> 12) & ((1 << _SLOTS) - 1)
-        self.cell2, self.cell1 = self.table2[self.slot], self.table1[p1]
+        self.cell2, self.cell1 = self.table2.take(self.slot), self.table1.take(p1)
         self.g2, self.g1 = self.cell2 >> 4, self.cell1 >> 4
         self.t2, self.t1 = self.cell2 & 15, self.cell1 & 15
         self.same = self.g1 == self.g2
-        both = self.t2 * 32 + self.same * 16
-        self.c2 = both + self.t1, both + self.level[self.g2]
-        self.c1 = self.t1 * 16 + self.t2, self.t1 * 16 + self.level[self.g1]
-        self.f2 = np.clip(self.first.chance(*self.c2), 1, _FLAGS - 16)
+        both = (self.t2 << 5) | (self.same.view(np.int8).astype(np.int32) << 4)
+        self.c2 = both | self.t1, both | self.level.take(self.g2)
+        t1 = self.t1 << 4
+        self.c1 = t1 | self.t2, t1 | self.level.take(self.g1)
+        self.f2 = np.minimum(np.maximum(self.first.chance(*self.c2), 1), _FLAGS - 16)
         left = _FLAGS - self.f2
-        self.f1 = np.clip(left * self.second.chance(*self.c1) >> 12, 1, left - 8)
+        self.f1 = np.minimum(np.maximum(left * self.second.chance(*self.c1) >> 12, 1), left - 8)
         self.f1[self.same] = 0
         self.f12 = self.f2 + self.f1
 
     def ranges(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rest = _FLAGS - self.f12
-        cum, freq = (self.f12 << _ID_BITS) + rest * self.cum[ids], rest * self.freq[ids]
-        cum[hit1], freq[hit1] = self.f2[hit1] << _ID_BITS, self.f1[hit1] << _ID_BITS
-        cum[hit2], freq[hit2] = 0, self.f2[hit2] << _ID_BITS
+        f12, f2 = self.f12.astype(np.int64), self.f2.astype(np.int64)
+        rest = _FLAGS - f12
+        cum, freq = (f12 << _ID_BITS) + rest * self.cum.take(ids), rest * self.freq.take(ids)
+        one, two = np.flatnonzero(hit1), np.flatnonzero(hit2)
+        cum[one], freq[one] = f2[one] << _ID_BITS, (f12[one] - f2[one]) << _ID_BITS
+        cum[two], freq[two] = 0, f2[two] << _ID_BITS
         return cum.view(_U), freq.view(_U)
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
@@ -180,10 +187,11 @@ class _Model:
             self.first.learn(self.c2, hit2)
             open_ = np.flatnonzero(~hit2 & ~self.same)
             self.second.learn((self.c1[0][open_], self.c1[1][open_]), hit1[open_])
-        self.count += np.bincount(ids[~(hit2 | hit1)], minlength=self.v)
-        fresh = ids * 16 + 1
+        np.add.at(self.count, ids[~(hit2 | hit1)], 1)
+        fresh = (ids.astype(np.int32) << 4) + 1
         for table, at, cell, trust, hit in ((self.table2, self.slot, self.cell2, self.t2, hit2), (self.table1, self.prev1[:n], self.cell1, self.t1, ids == self.g1)):
-            table[at] = np.where(hit, cell + (trust < 15), np.where(trust > 1, cell - (trust + 1) // 2, fresh))
+            # one more after a hit, half after a miss, another guess if there was hardly any trust
+            table[at] = np.where(hit, cell + _MORE.take(trust), np.where(trust > 1, cell - _LESS.take(trust), fresh))
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
         self.step += 1
@@ -248,9 +256,9 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flag = v >> _ID_BITS
         hit2 = flag < model.f2
         hit1 = ~hit2 & (flag < model.f12)
-        own = np.where(hit2, model.g2, model.g1)
+        own = np.where(hit2, model.g2, model.g1).astype(np.int64)
         rest = np.flatnonzero(flag >= model.f12)
-        f = model.f12[rest]
+        f = model.f12[rest].astype(np.int64)
         own[rest] = model.at[(v[rest] - (f << _ID_BITS)) // (_FLAGS - f)]
         coder.take(*model.ranges(own, hit2, hit1))
         grid[s, :n] = own

@@ -111,7 +111,12 @@ class PieceEncoder:
         starts = np.flatnonzero(cuts[:n])
         ends = np.append(starts[1:], n) if len(starts) else starts
         h = span_hashes(buf, starts, ends)
-        keys, one, back = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        ranked = h[order]
+        head = np.ones(len(h), bool)
+        head[1:] = ranked[1:] != ranked[:-1]
+        keys, one, back = ranked[head], order[head], np.empty(len(h), np.int64)
+        back[order] = np.cumsum(head) - 1
         if len(self.keys) + len(keys) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.keys, keys)
