@@ -3,6 +3,7 @@ joins, connected components, and vectorised hashing of words in Arrow text."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -85,6 +86,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(roots.distinct())
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers live on between tasks, and an executor's count together."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def sized_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, span_hashes, table, text_slices, word_spans
+from .common import give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import FOLD
 
 BLOCK, RANK, POWER = 256, 256, 2
@@ -319,6 +319,7 @@ def _searcher(shared, columns: list[str]):
             own = list(b.columns)
             own[items], own[share] = pa.array(lists, pa.list_(pa.int64())), pa.array(best, pa.float64())
             yield pa.RecordBatch.from_arrays(own, names=b.schema.names)
+        give_back()
 
     return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, small_batches, span_hashes, table, text_slices, word_spans
+from .common import bounded_broadcast, cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import hash_sample, remainder
 
 #: The classifier is fitted on at most about so many labelled rows of each class.
@@ -144,6 +144,7 @@ def with_evidence(docs: DataFrame, model: Model, name: str = "evidence") -> Data
         for b in batches:
             e = [model.evidence(surface(buf, offs)) for _, _, buf, offs in text_slices(b.column(at).cast(pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(e) if e else np.zeros(0))], names=[*b.schema.names, name])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
     return frame.mapInArrow(run, f"{schema}, {name} double")

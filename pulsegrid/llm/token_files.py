@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, scratch_path, sized_partitions, small_batches, span_hashes, table, text_slices
+from .common import bounded_broadcast, cut, give_back, scratch_path, sized_partitions, small_batches, span_hashes, table, text_slices
 from .range_coder import BLOCK, decode_block, encode_block
 
 END_ID = 2
@@ -192,6 +192,7 @@ def blocks_of(docs: DataFrame, path: str) -> DataFrame:
                         yield flush()
         if held:
             yield flush()
+        give_back()
 
     return in_parts(docs).mapInArrow(run, "part int, seq long, documents long, tokens long, block binary")
 
@@ -215,6 +216,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends - counts, ends, strict=True)]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column(0)[r].as_py(), np.int32)), pa.array(np.full(n, b.column(1)[r].as_py(), np.int64)), pa.array(ids, mask=ids == NO_ID), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32"])
+        give_back()
 
     blocks = files.select("part", "seq", "tokens")
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("t"))
