@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, mix, small_batches, span_hashes, table, text_slices, word_spans
+from .common import binary_column, bounded_broadcast, cut, fixed_rows, mix, small_batches, span_hashes, table, text_slices, word_spans
 
-#: Topics are clusters of hashed bags of longer words, fitted on about so many documents.
+#: Topics are clusters of hashed bags of longer words of all documents; the first centres come from about SAMPLE_ROWS.
 TOPICS, WIDTH, SAMPLE_ROWS, LONG_WORD = 8, 256, 2000, 4
+#: Rounds of k-means at most, and the integer that stands for 1 in a stored bag.
+ROUNDS, UNIT = 15, 65535
 MARGINS = ("source", "lang", "topic")
 #: A margin's target is its own share to this power, so that large sources give way to small ones.
 TEMPER = 0.7
@@ -36,29 +38,29 @@ def bags(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12), words
 
 
-def fit_topics(docs: DataFrame, rows: int = SAMPLE_ROWS, topics: int = TOPICS) -> np.ndarray:
-    """(topics, WIDTH) centres: spherical k-means over the bags of a bounded sample (the lowest hashes of doc_id)."""
+def stored_bags(docs: DataFrame) -> DataFrame:
+    """(spot, bag) of every document with a longer word: a hash of doc_id in [0, 1), and the bag in units of 1 / UNIT."""
     small_batches(docs.sparkSession)
-    total = docs.count()
     spot = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) / 1_000_000
-    sample = docs.filter(spot < min(1.0, rows / max(total, 1))).select(F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [bags(buf, offs)[0] for _, _, buf, offs in text_slices(b.column(0))]
-            x = np.concatenate(x).astype(np.float32) if x else np.zeros((0, WIDTH), np.float32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))], names=["x"])
+            x = [np.zeros((0, WIDTH)), *(bags(buf, offs)[0] for _, _, buf, offs in text_slices(b.column(1)))]
+            x = np.concatenate(x)
+            some = (x * x).sum(1) > 0.5
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), binary_column(np.rint(x[some] * UNIT).astype(np.uint16))], names=["spot", "bag"])
+
+    return docs.select(spot.alias("spot"), F.col("text").cast("string").alias("text")).mapInArrow(run, "spot double, bag binary")
+
 
-    x = np.array(sample.mapInArrow(run, "x array<float>").toArrow().column("x").to_pylist(), np.float64).reshape(-1, WIDTH)
-    x = x[(x * x).sum(1) > 0.5]
+def seed_topics(x: np.ndarray, topics: int) -> np.ndarray:
+    """First centres: farthest-first and k-means over the rows of a small sample."""
     x = x[np.lexsort(x.T)]
-    if not len(x):
-        return np.zeros((1, WIDTH))
     centers = [x[0]]
     for _ in range(min(topics, len(x)) - 1):  # farthest first
         centers.append(x[(x @ np.array(centers).T).max(1).argmin()])
     c = np.array(centers)
-    for _ in range(15):
+    for _ in range(ROUNDS):
         own = (x @ c.T).argmax(1)
         for k in range(len(c)):
             if (own == k).any():
@@ -67,6 +69,54 @@ def fit_topics(docs: DataFrame, rows: int = SAMPLE_ROWS, topics: int = TOPICS) -
     return c
 
 
+def fit_topics(docs: DataFrame, rows: int = SAMPLE_ROWS, topics: int = TOPICS) -> np.ndarray:
+    """(topics, WIDTH) centres: spherical k-means over the bags of all documents.
+
+    The bags are made once and kept in the checkpoint folder. Only the first centres come from a sample (the lowest
+    hashes of doc_id). In each round the tasks assign their bags and send a sum for each centre; the sums are of
+    integers, so the centres don't depend on how the rows are spread.
+    """
+    spark = docs.sparkSession
+    stored = cut(stored_bags(docs))
+    total = stored.count()
+    if not total:
+        return np.zeros((1, WIDTH))
+    sample = stored.filter(F.col("spot") < min(1.0, rows / total)).select("bag").toArrow().column("bag")
+    if not len(sample):  # few documents and none of them with a low hash
+        sample = stored.orderBy("spot", "bag").limit(rows).select("bag").toArrow().column("bag")
+    c = seed_topics(fixed_rows(sample.combine_chunks(), np.uint16, WIDTH) / UNIT, topics)
+    before = None
+    for _ in range(ROUNDS):
+        sums = topic_sums(stored, spark.sparkContext.broadcast(c), len(c))
+        if before is not None and (sums == before).all():
+            break
+        before = sums
+        for k in np.flatnonzero(sums.any(1)):
+            m = sums[k].astype(np.float64)
+            c[k] = m / np.sqrt((m * m).sum())
+    return c
+
+
+def topic_sums(stored: DataFrame, shared, topics: int) -> np.ndarray:
+    """(topics, WIDTH) sums of the bags nearest to each centre; each task sends at most so many numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        sums = np.zeros((len(c), WIDTH), np.int64)
+        for b in batches:
+            q = fixed_rows(b.column(0), np.uint16, WIDTH).astype(np.int64)
+            own = (q / UNIT @ c.T).round(9).argmax(1)
+            for k in np.unique(own):
+                sums[k] += q[own == k].sum(0)
+        cell = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(sums.ravel()[cell])], names=["cell", "n"])
+
+    got = stored.select("bag").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(topics * WIDTH, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(topics, WIDTH)
+
+
 def with_topics(docs: DataFrame, centers: np.ndarray, topic: str = "topic", tokens: str = "tokens") -> DataFrame:
     """``docs`` with topic (int; the nearest centre, the first of equals) and tokens (long; words) appended."""
     small_batches(docs.sparkSession)

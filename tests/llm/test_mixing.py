@@ -50,3 +50,18 @@ def test_documents_are_drawn_alike_each_time(spark):
     again = mixing.mixed(docs.repartition(3)).toPandas()
     assert set(again[again.kept].doc_id) == set(got[got.kept].doc_id)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(5)
+    words = lambda group: [f"group{group}word{chr(97 + k)}" for k in rng.integers(0, 12, 40)]
+    texts = [" ".join(words(i % 3)) for i in range(600)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "a b")], "doc_id long, text string").repartition(4)
+    centers = mixing.fit_topics(docs, rows=60, topics=3)
+    data = [t.encode() for t in texts]
+    x, _ = mixing.bags(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    own = (x @ centers.T).argmax(1)
+    for k in range(3):  # each centre is the mean direction of all of its documents, not of the sampled ones
+        m = x[own == k].sum(0)
+        assert np.allclose(centers[k], m / np.sqrt(m @ m), atol=1e-4)
+    assert (mixing.fit_topics(docs.repartition(7), rows=60, topics=3) == centers).all()
