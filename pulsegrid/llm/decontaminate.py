@@ -5,6 +5,7 @@
 3. Every window of every document that has enough weight is projected there, and compared by cosine with all passages.
 4. Regions around the hits are held against the whole item: longest common subsequence of all words and of the weighty
    ones, and, where that leaves doubt, the item's answer (its last sentence).
+5. Of an item with several passages, every window is also held against the passage it hit: a quote is a leak too.
 
 The benchmark is taken in blocks of BLOCK items, so that what a task holds is bounded.
 """
@@ -32,6 +33,9 @@ COMMON = 0.03
 MASS, COSINE = 0.35, 0.4
 #: A common subsequence of at least SURE of an item's words is a leak; from DOUBT on, it is one if the answer is there.
 SURE, DOUBT, ANSWER = 0.6, 0.45, 0.5
+#: So many words of a passage, in order in one window, with SURE of its weighty ones, are a leak of the item: 32 words
+#: running of an item share at least 24 with one of its passages.
+QUOTE = 24
 
 NOT_LETTER = FOLD == 0
 
@@ -81,7 +85,8 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
 
 @dataclass
 class Index:
-    """A block of the benchmark. Passages by row; ``item`` is each passage's place in ``ids`` and ``words``."""
+    """A block of the benchmark. Passages by row; ``item`` is each passage's place in ``ids`` and ``words``, ``quotes`` its
+    words and weighty words, if its item has others."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -91,6 +96,7 @@ class Index:
     weight: np.ndarray
     basis: np.ndarray
     item: np.ndarray
+    quotes: list[tuple[np.ndarray, np.ndarray] | None]
     mass: np.ndarray
     latent: np.ndarray
 
@@ -110,7 +116,7 @@ class Index:
         sums = np.concatenate(([0], np.cumsum(self.weight[term] ** 2)))
         some = sums[hi] - sums[lo] >= MASS * self.mass.min()
         start, stop, lo, hi = start[some], stop[some], lo[some], hi[some]
-        found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, float, int]]] = {}
         for i in range(0, len(start), 512):
             s, e = lo[i : i + 512], hi[i : i + 512]
             size = e - s
@@ -127,7 +133,7 @@ class Index:
             z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
             cos = z @ self.latent.T
             for r, p in zip(*np.nonzero((cos >= COSINE) & (mass[:, None] >= MASS * self.mass)), strict=True):
-                found.setdefault((int(doc[start[i + r]]), int(self.item[p])), []).append((int(start[i + r]), int(stop[i + r]), float(cos[r, p])))
+                found.setdefault((int(doc[start[i + r]]), int(self.item[p])), []).append((int(start[i + r]), int(stop[i + r]), float(cos[r, p]), int(p)))
         out = []
         for (d, j), spans in found.items():
             best = None
@@ -135,15 +141,17 @@ class Index:
                 got = self._compare(h[begin:end], j)
                 if got and (best is None or got[0] > best[0]):
                     best = (got[0], cos, got[1])
+            if best is None:
+                best = max(((got, cos, False) for begin, end, cos, p in spans if (got := self._quoted(h[begin:end], p))), default=None)
             if best:
                 out.append((d, j, *best))
         return out
 
     @staticmethod
-    def _regions(spans: list[tuple[int, int, float]], length: int, first: int, last: int) -> list[tuple[int, int, float]]:
+    def _regions(spans: list[tuple[int, int, float, int]], length: int, first: int, last: int) -> list[tuple[int, int, float]]:
         """Windows widened by the item's length; those that overlap are one region, with the best cosine."""
         out: list[tuple[int, int, float]] = []
-        for begin, end, cos in sorted(spans):
+        for begin, end, cos, _ in sorted(spans):
             begin, end = max(first, begin - length), min(last, end + length)
             if out and begin <= out[-1][1]:
                 out[-1] = (out[-1][0], max(end, out[-1][1]), max(cos, out[-1][2]))
@@ -165,6 +173,15 @@ class Index:
         told = bool(np.isin(answer, region).mean() >= ANSWER) if len(answer) else True
         return (share, told) if share >= SURE or told else None
 
+    def _quoted(self, window: np.ndarray, p: int) -> float | None:
+        if self.quotes[p] is None:
+            return None
+        words, heavy = self.quotes[p]
+        if np.isin(words, window).sum() < QUOTE or common_length(heavy, window) < SURE * len(heavy):
+            return None
+        n = common_length(words, window)
+        return n / len(words) if n >= QUOTE else None
+
 
 def _answer(text: str) -> str:
     """The last sentence with at least three words; else the text."""
@@ -267,11 +284,13 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
     hashes, weight = hashes[heavy], np.maximum(weight[heavy], 0.1)
     terms = Terms(hashes)
     basis, _ = randomised_svd(block.filter("text is not null and item_id is not null"), terms, weight)
-    item, mass, latent = [], [], []
+    item, quotes, mass, latent = [], [], [], []
     for j, (_, _, w) in enumerate(rows):
-        for t, a in passage_rows(terms, weight, w):
+        parts = passages(w)
+        for part, (t, a) in zip(parts, passage_rows(terms, weight, w), strict=True):
             if len(t):
                 item.append(j)
+                quotes.append((part, part[terms.find(part)[0]]) if len(parts) > 1 and len(part) >= QUOTE else None)
                 mass.append(float((weight[t] ** 2).sum()))
                 latent.append(a @ basis[t])
     latent = np.array(latent)
@@ -282,12 +301,13 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
         a = words_of(_answer(t))
         own = a[terms.find(a)[0]]
         answers.append(np.unique(own if len(own) else a))
-    return Index([i for i, _, _ in rows], [w for _, _, w in rows], heavy_words, answers, terms, weight, basis, np.array(item), np.array(mass), latent)
+    return Index([i for i, _, _ in rows], [w for _, _, w in rows], heavy_words, answers, terms, weight, basis, np.array(item), quotes, np.array(mass), latent)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with leaked_items (array<long>, ascending), leak_share (double: the best LCS share, 0 without a leak) and
-    leaked (boolean) appended (columns of these names are replaced).
+    """``docs`` with leaked_items (array<long>, ascending), leak_share (double: the best LCS share of an item, or of
+    a passage where only that is quoted; 0 without a leak) and leaked (boolean) appended (columns of these names are
+    replaced).
 
     Null and empty texts leak nothing, and null or letterless items are left out; items of equal texts are all named.
     Empty tables give no rows, or no leaks. No row is moved: the index goes to the documents, a block at a time.

@@ -81,3 +81,15 @@ def test_randomised_svd_spans_the_exact_one(spark):
     basis, values = decontaminate.randomised_svd(block, terms, weight, rank=24, power=4)
     exact = np.linalg.svd(a, full_matrices=False)[1]
     assert np.allclose(values[:8], exact[:8], rtol=0.01) and np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+
+
+def test_quotes_of_long_items_are_leaks(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 6))
+    items = [[word() for _ in range(250)] for _ in range(4)]
+    body = [[word() for _ in range(150)] for _ in range(6)]
+    cuts = [items[0][64:96], items[1][70:170], items[2][101:133], items[3][218:250], items[0][64:76], []]
+    docs = spark.createDataFrame([(i, " ".join(b[:75] + c + b[75:])) for i, (b, c) in enumerate(zip(body, cuts, strict=True))], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: []}
