@@ -7,7 +7,8 @@
    ones, and, where that leaves doubt, the item's answer (its last sentence).
 5. Of an item with several passages, every window is also held against the passage it hit: a quote is a leak too.
 
-The benchmark is taken in blocks of BLOCK items, so that what a task holds is bounded.
+The benchmark is taken in blocks of about BLOCK items and PASSAGES passages at most, so that what a task holds is
+bounded; the latent space of a block has a dimension for each passage, up to RANK.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import FOLD
 
-BLOCK, RANK, POWER = 256, 256, 2
+BLOCK, PASSAGES, RANK, POWER = 256, 512, 1024, 2
+#: A passage that keeps less than this share of its norm in the latent space is found by weight alone, not by cosine.
+RETAINED = 0.9
 #: Words of a passage and of a window of a document, and how far apart they begin.
 PASSAGE, WINDOW, STRIDE = 32, 48, 16
 #: Words that more than this share of the documents have weigh nothing.
@@ -99,6 +102,7 @@ class Index:
     quotes: list[tuple[np.ndarray, np.ndarray] | None]
     mass: np.ndarray
     latent: np.ndarray
+    faint: np.ndarray
 
     def hits(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(document, place of the item, LCS share, cosine, answer there) of every leak in these words."""
@@ -126,13 +130,13 @@ class Index:
             pair, count = np.unique(rows * len(self.weight) + t, return_counts=True)
             rows, t = pair // len(self.weight), pair % len(self.weight)
             w = self.weight[t] * (1 + np.log(count))
-            z = np.zeros((len(s), self.basis.shape[1]))
+            z = np.zeros((len(s), self.basis.shape[1]), np.float32)
             heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            z[rows[heads]] = np.add.reduceat(w[:, None] * self.basis[t], heads, axis=0)
+            z[rows[heads]] = np.add.reduceat(w.astype(np.float32)[:, None] * self.basis[t], heads, axis=0)
             mass = np.bincount(rows, self.weight[t] ** 2, minlength=len(s))
-            z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-12)
+            z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), np.float32(1e-12))
             cos = z @ self.latent.T
-            for r, p in zip(*np.nonzero((cos >= COSINE) & (mass[:, None] >= MASS * self.mass)), strict=True):
+            for r, p in zip(*np.nonzero(((cos >= COSINE) | self.faint) & (mass[:, None] >= MASS * self.mass)), strict=True):
                 found.setdefault((int(doc[start[i + r]]), int(self.item[p])), []).append((int(start[i + r]), int(stop[i + r]), float(cos[r, p]), int(p)))
         out = []
         for (d, j), spans in found.items():
@@ -231,6 +235,16 @@ def passage_rows(terms: Terms, weight: np.ndarray, words: np.ndarray) -> list[tu
     return out
 
 
+def passage_count(items: DataFrame) -> int:
+    """The number of passages of all items (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(len(passages(words_of(text or ""))) for b in batches for text in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return items.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def randomised_svd(block: DataFrame, terms: Terms, weight: np.ndarray, rank: int = RANK, power: int = POWER, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The leading right singular vectors (terms, rank) and singular values of the TF-IDF matrix of the block's passages:
     each task multiplies its passages' rows with the current basis, transposed products are summed by chunks of terms."""
@@ -283,8 +297,9 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
         heavy[k[np.argsort(df[k], kind="stable")[: -(-len(k) // 2)]]] = True
     hashes, weight = hashes[heavy], np.maximum(weight[heavy], 0.1)
     terms = Terms(hashes)
-    basis, _ = randomised_svd(block.filter("text is not null and item_id is not null"), terms, weight)
-    item, quotes, mass, latent = [], [], [], []
+    rank = min(RANK, sum(len(passages(w)) for _, _, w in rows))
+    basis, _ = randomised_svd(block.filter("text is not null and item_id is not null"), terms, weight, rank)
+    item, quotes, mass, norm, latent = [], [], [], [], []
     for j, (_, _, w) in enumerate(rows):
         parts = passages(w)
         for part, (t, a) in zip(parts, passage_rows(terms, weight, w), strict=True):
@@ -292,16 +307,18 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
                 item.append(j)
                 quotes.append((part, part[terms.find(part)[0]]) if len(parts) > 1 and len(part) >= QUOTE else None)
                 mass.append(float((weight[t] ** 2).sum()))
+                norm.append(float(np.sqrt(a @ a)))
                 latent.append(a @ basis[t])
     latent = np.array(latent)
-    latent /= np.maximum(np.sqrt((latent * latent).sum(1, keepdims=True)), 1e-12)
+    kept = np.sqrt((latent * latent).sum(1))
+    latent /= np.maximum(kept[:, None], 1e-12)
     heavy_words = [w[terms.find(w)[0]] for _, _, w in rows]
     answers = []
     for _, t, _ in rows:
         a = words_of(_answer(t))
         own = a[terms.find(a)[0]]
         answers.append(np.unique(own if len(own) else a))
-    return Index([i for i, _, _ in rows], [w for _, _, w in rows], heavy_words, answers, terms, weight, basis, np.array(item), quotes, np.array(mass), latent)
+    return Index([i for i, _, _ in rows], [w for _, _, w in rows], heavy_words, answers, terms, weight, basis.astype(np.float32), np.array(item), quotes, np.array(mass), latent.astype(np.float32), kept < RETAINED * np.array(norm))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -314,7 +331,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("leaked_items", "leak_share", "leaked")))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-items.count() // BLOCK))
+    blocks = max(1, -(-items.count() // BLOCK), -(-passage_count(items) // PASSAGES))
     found = plain.withColumns({"leaked_items": F.array().cast("array<long>"), "leak_share": F.lit(0.0)})
     small_batches(docs.sparkSession)
     for k in range(blocks):

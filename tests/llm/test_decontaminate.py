@@ -93,3 +93,25 @@ def test_quotes_of_long_items_are_leaks(spark):
     bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
     got = {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).collect()}
     assert got == {0: [0], 1: [1], 2: [2], 3: [3], 4: [], 5: []}
+
+
+def test_no_passage_falls_out_of_the_latent_space(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 6))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    index = decontaminate.build_index(docs, bench)
+    for t in texts:
+        for own, a in decontaminate.passage_rows(index.terms, index.weight, decontaminate.words_of(t)):
+            assert np.linalg.norm(a @ index.basis[own]) > 0.99 * np.linalg.norm(a)
+
+
+def test_blocks_follow_passages_and_faint_passages_are_still_found(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASSAGES", 20)
+    monkeypatch.setattr(decontaminate, "RANK", 3)
+    items, docs, truth = planted(5)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontaminate.build_index(df, bench).faint.any() and decontaminate.passage_count(bench) > 40
+    assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(df, bench).collect()} == {i: [truth[i]] if i in truth else [] for i in docs}
