@@ -10,13 +10,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_slices
 
 #: Site rules (host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's.
-SITE_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "block"))
+SITE_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Glob rules that judge what no site rule fits, over ``.host#path``; any match blocks. ``*`` is any run, ``?`` any one byte.
 BLOCK_GLOBS = ("*casino*#*", "*free-bets*#*", "*cheap-pills*#*", "*.adult-*#*", "*.spam-*#*", "*.ads-*#*", "*-track.*#*", "*#*/wp-login*", "*#*.exe")
 
@@ -59,14 +59,17 @@ class GlobAutomaton:
 
     def match(self, texts: Sequence[bytes]) -> np.ndarray:
         """(texts, patterns) booleans: which pattern matches the whole of which text."""
-        out = np.zeros((len(texts), len(self.last)), bool)
         lengths = np.array([len(t) for t in texts], np.int64)
+        return self.match_bytes(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum(lengths))))
+
+    def match_bytes(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The same for texts that lie in ``data`` from each offset to the next."""
+        lengths = np.diff(offs)
+        out = np.zeros((len(lengths), len(self.last)), bool)
         order = np.argsort(-lengths, kind="stable")
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = (np.cumsum(lengths) - lengths)[order]
-        lengths = lengths[order]
-        state = np.tile(self.first, (len(texts), 1))
-        live = len(texts)
+        begin, lengths = offs[:-1][order], lengths[order]
+        state = np.tile(self.first, (len(lengths), 1))
+        live = len(lengths)
         for i in range(int(lengths[0]) if live else 0):
             while live and lengths[live - 1] <= i:
                 live -= 1
@@ -81,56 +84,48 @@ class GlobAutomaton:
         return out
 
 
-def canonical(url: str | None) -> tuple[str, str]:
+def canonical(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path; both empty for null or a text without ``://``."""
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.split("://", 1)[1]
-    cut = min((i for c in "?#" if (i := rest.find(c)) >= 0), default=len(rest))
-    head = rest[:cut]
-    slash = head.find("/")
-    host, path = (head, "") if slash < 0 else (head[:slash], head[slash:])
-    return host.translate(_LOWER), path
-
-
-_LOWER = {i: i + 32 for i in range(65, 91)}
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.regexp_extract(F.substring(url, at + 3, F.length(url)), "^[^?#]*", 0)).otherwise("")
+    host = F.translate(F.regexp_extract(rest, "^[^/]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "(?s)^[^/]*(.*)$", 1), F.lit(""))
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", site_rules: Sequence[tuple[str, str, str]] = SITE_RULES, block_globs: Sequence[str] = BLOCK_GLOBS, default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule, verdict and glob appended (columns of these names are replaced).
 
     Every site rule becomes the glob ``*.host#path*`` over ``.host#path`` (``#`` can't stand in a host or path), so the
-    automaton simulates site rules and block globs together; of the site rules that match, the longest wins; without
-    one, the first block glob that matches blocks, else the verdict is ``default``. Null and malformed URLs have an
-    empty host and path. Bytes of ``*`` or ``?`` in site rules aren't supported. Empty tables give no rows; repeated
-    rows are judged alike.
+    automaton simulates site rules and block globs together; of the site rules that match, the longest wins, and of
+    equally long ones the first given; without one, the first block glob that matches blocks, else the verdict is
+    ``default``. Null and malformed URLs have an empty host and path. Very long URLs are matched whole: a step a byte,
+    for the rows of a batch that are still that long. Bytes of ``*`` or ``?`` in site rules aren't supported. Empty tables
+    give no rows; repeated rows are judged alike; other columns, nulls in them included, come back as they are.
     """
     names = [f"{h}{p}" for h, p, _ in site_rules]
-    verdicts = [v for _, _, v in site_rules]
     ranked = sorted(range(len(names)), key=lambda i: -len(names[i]))
     globs = [f"*.{h}#{p}*" for h, p, _ in site_rules] + list(block_globs)
-    schema = "host string, path string, rule string, verdict string, glob string"
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "glob")]
-    frame = pages.select(*(F.col(f"`{c}`") for c in keep))
-    at = keep.index(url_col)
+    host, path = canonical(F.col(f"`{url_col}`").cast("string"))
+    frame = pages.select(*(F.col(f"`{c}`") for c in keep), host.alias("host"), path.alias("path"))
+    frame = frame.withColumn("rule", F.concat(F.lit("."), "host", F.lit("#"), "path"))
+    # what the first pattern in order says, by its number; the last stands for no match
+    rules = pa.array([*(names[i] for i in ranked), *(None for _ in block_globs), None], pa.string())
+    says = pa.array([*(site_rules[i][2] for i in ranked), *("block" for _ in block_globs), default], pa.string())
+    by = pa.array([*(None for _ in ranked), *block_globs, None], pa.string())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = GlobAutomaton(globs)
+        machine = GlobAutomaton([*(globs[i] for i in ranked), *block_globs])
         for b in batches:
-            parts = [canonical(u) for u in b.column(at).to_pylist()]
-            hit = machine.match([f".{h}#{p}".encode() for h, p in parts])
-            rules, says, by = [], [], []
-            for row in hit:
-                site = next((i for i in ranked if row[i]), None)
-                glob = next((g for g, x in zip(block_globs, row[len(names) :], strict=True) if x), None)
-                rules.append(None if site is None else names[site])
-                says.append(verdicts[site] if site is not None else "block" if glob else default)
-                by.append(glob)
-            added = [pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], rules, says, by)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "host", "path", "rule", "verdict", "glob"])
+            hit = [np.zeros((0, len(rules)), bool)]
+            for _, _, buf, offs in text_slices(b.column(b.num_columns - 1)):
+                found = machine.match_bytes(buf, offs)
+                hit.append(np.column_stack([found, np.ones(len(found), bool)]))
+            first = pa.array(np.concatenate(hit).argmax(1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], rules.take(first), says.take(first), by.take(first)], names=[*b.schema.names[:-1], "rule", "verdict", "glob"])
 
     full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(judge, f"{full}, {schema}")
+    return frame.mapInArrow(judge, f"{full}, verdict string, glob string")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +145,7 @@ d AS (SELECT page_id, host, path, h, CASE
     WHEN h LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN h LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM c)
 SELECT page_id, host, path, rule, CASE
-    WHEN rule = 'example.net/en/' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN h LIKE '%casino%' OR h LIKE '%free-bets%' OR h LIKE '%cheap-pills%' OR h LIKE '%.adult-%' OR h LIKE '%.spam-%'
       OR h LIKE '%.ads-%' OR h LIKE '%-track.%' OR path LIKE '%/wp-login%' OR path LIKE '%.exe' THEN 'block'
     ELSE 'allow' END AS verdict

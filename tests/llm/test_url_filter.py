@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import url_filter
@@ -40,6 +41,30 @@ def test_verdicts_and_sql(spark, tmp_path):
     assert got[17][4] == got[19][4] == got[20][4] == "block" and got[13][3] is None
 
 
+@pytest.mark.parametrize(
+    "url, rule, verdict",
+    [
+        ("http://net/", "net/", "block"), ("http://a.b.net/x", "net/", "block"), ("http://example.net/", "net/", "block"), ("http://example.net/en", "net/", "block"),
+        ("http://example.net/en/", "example.net/en/", "allow"), ("http://a.example.net/en/x", "example.net/en/", "allow"), ("http://notexample.net/en/x", "net/", "block"),
+        ("http://example.com/de/", "example.com/de/", "block"), ("http://a.example.com/de/x", "example.com/de/", "block"), ("http://example.com/en/", None, "allow"),
+        ("http://fr.org/fr/", "org/fr/", "allow"), ("http://org/fr/x", "org/fr/", "allow"), ("http://a.b.ORG/fr/1?x", "org/fr/", "allow"), ("http://cheap-pills.org/fr/", "org/fr/", "allow"),
+        ("http://cheap-pills.org/en/", None, "block"), ("http://fr.org/FR/", None, "allow"), ("http://borg/fr/", None, "allow"),
+    ],
+)
+def test_each_rule_as_the_contract_has_it(spark, url, rule, verdict):
+    """The expected values are written out by hand from the contract: block net/, allow example.net/en/, block
+    example.com/de/, allow org/fr/; without a rule, the globs."""
+    got = url_filter.filter_urls(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (got["rule"], got["verdict"]) == (rule, verdict)
+
+
+def test_ties_go_to_the_first_rule_and_no_rules_to_the_default(spark):
+    df = spark.createDataFrame([(1, "http://a.b/"), (2, None)], "page_id long, url string")
+    both = [("a.b", "/", "block"), ("a.b", "/", "allow")]
+    assert {r["verdict"] for r in url_filter.filter_urls(df.filter("page_id = 1"), site_rules=both).collect()} == {"block"}
+    assert {r["verdict"] for r in url_filter.filter_urls(df, site_rules=[], block_globs=[], default="allow").collect()} == {"allow"}
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/")], "page_id long, url string")
     assert [r["verdict"] for r in url_filter.filter_urls(df).collect()] == ["block"] * 2
