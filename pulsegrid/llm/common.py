@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
@@ -18,6 +18,7 @@ MASK = (1 << 64) - 1
 SLICE_BYTES = 1 << 19
 #: A table of at most so many short rows may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,24 +58,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if ``df`` (already cut, so cheap to count) has at most ``rows`` rows; else ``df``,
-    for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """A broadcast hint if ``df`` (already cut, so cheap to go over) has at most ``rows`` rows and, of tables with texts
+    or arrays, at most BROADCAST_BYTES by ``size``, the bytes of a row; else ``df``, for a shuffled join."""
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and got["b"] <= BROADCAST_BYTES else df
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edge table (a, b): component is the least node reachable.
 
     Alternating large-star and small-star steps; every round is one grouped minimum and one join, and is
-    written to the checkpoint folder. Hot nodes are pre-aggregated before the shuffle. Null ends are ignored.
+    written to the checkpoint folder. Hot nodes are pre-aggregated before the shuffle. Null ends are ignored. The rounds needed grow with the logarithm of the
+    nodes; should ``rounds`` not do, an error is raised.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v")
     e, before = cut(e.distinct()), None
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         mark = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == before or not mark["n"]:
             break
+        if turn == rounds:
+            raise RuntimeError(f"components are unfinished after {rounds} rounds")
         before = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -102,6 +109,7 @@ def sized_partitions(spark: SparkSession) -> int:
 # --- hashing -----------------------------------------------------------------------------------------------------
 
 
+# fixed values: the two multipliers and three shifts of a published 64-bit finaliser
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -116,29 +124,74 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-BYTE_VALUES = seeds(256, 11)
-FOLDED_VALUES = BYTE_VALUES.copy()
-FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: The low bytes of an 8-byte chunk that a span reaches.
+_REACH = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
+FAN = 8
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
-        up, down = np.full(n, _BASE), np.full(n, _UNBASE)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
+def byte_chunks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place of ``buf``, as a number; zeros follow its end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+
+
+def runs(first: np.ndarray, count: np.ndarray, step: int = 1) -> np.ndarray:
+    """first, first + step, ... of each row, ``count`` of them."""
+    return (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step + np.repeat(first, count)
+
+
+def _fold_runs(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One number for each run of ``count`` (at least 1) values, by a tree of FAN branches; a single value stays."""
+    while (count > 1).any():
+        nodes = -(-count // FAN)
+        heads = np.cumsum(count) - count
+        at = runs(heads, nodes, FAN)
+        left = np.repeat(heads + count, nodes) - at
+        alone = np.repeat(count == 1, nodes)
+        out = values[at]
+        out[~alone] = mix(out[~alone] ^ _LENGTH)
+        for k in range(1, FAN):
+            on = np.flatnonzero(left > k)
+            if not len(on):
+                break
+            out[on] = mix(out[on] ^ values[at[on] + k])
+        values, count = out, nodes
+    return values
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans: equal bytes (A-Z as a-z if ``folded``) have equal hashes wherever they stand."""
-    up, down = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((FOLDED_VALUES if folded else BYTE_VALUES)[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans: equal bytes (A-Z as a-z if ``folded``) have equal hashes wherever they stand.
+
+    A span's chunks of 8 bytes are scrambled one into the other, long spans as a tree of them. Different spans of equal
+    length up to 8 bytes never collide; others do as random 64-bit numbers would.
+    """
+    chunks = byte_chunks(_FOLD[buf] if folded else buf)
+    n = np.asarray(ends - starts, np.int64)
+    h = chunks[starts] & _REACH[np.minimum(n, 8)]
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        count = (n[long] + 7) // 8
+        values = chunks[runs(starts[long], count, 8)]
+        values[np.cumsum(count) - 1] &= _REACH[n[long] - 8 * (count - 1)]
+        h[long] = _fold_runs(values, count)
+    return mix(mix(h) ^ (n.astype(np.uint64) * _LENGTH))
+
+
+def same_bytes(x: np.ndarray, at_x: np.ndarray, y: np.ndarray, at_y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the ``n`` bytes from ``at_x`` on equal those from ``at_y`` on; ``x`` and ``y`` are byte_chunks."""
+    same = ((x[at_x] ^ y[at_y]) & _REACH[np.minimum(n, 8)]) == 0
+    todo = np.flatnonzero(same & (n > 8))
+    for k in range(8, 64, 8):
+        todo = todo[n[todo] > k]
+        same[todo] = ((x[at_x[todo] + k] ^ y[at_y[todo] + k]) & _REACH[np.minimum(n[todo] - k, 8)]) == 0
+        todo = todo[same[todo]]
+    for i in todo[n[todo] > 64].tolist():
+        at = np.arange(0, n[i], 8)
+        same[i] = not ((x[at_x[i] + at] ^ y[at_y[i] + at]) & _REACH[np.minimum(n[i] - at, 8)]).any()
+    return same
 
 
 #: The white space of ``[\x20\x09-\x0D]``.

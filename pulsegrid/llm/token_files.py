@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, give_back, scratch_path, sized_partitions, small_batches, span_hashes, table, text_slices
+from .common import bounded_broadcast, byte_chunks, cut, give_back, runs, same_bytes, scratch_path, sized_partitions, small_batches, span_hashes, table, text_slices
 from .range_coder import BLOCK, decode_block, encode_block
 
 END_ID = 2
 #: Stands for a null doc_id in a block.
 NO_ID = -(1 << 63)
+#: Bytes of text in a part, which is a task's.
+PART_BYTES = 32 << 20
 #: A worker remembers the ids of at most so many different pieces of text.
 REMEMBERED = 2_000_000
 
@@ -61,6 +63,8 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
+        self.text, self.written = np.zeros(1 << 20, np.uint8), 0  # the pieces' bytes
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
@@ -71,8 +75,7 @@ class PieceEncoder:
         joined = _WHITE[buf[starts]] & _PLAIN[buf[ends - 1]]
         length = ends - starts
         own = length[joined]
-        at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(starts[joined], own)
-        texts = [buf[at].tobytes().decode()]
+        texts = [buf[runs(starts[joined], own)].tobytes().decode()]
         texts += [buf[a:b].tobytes().decode() for a, b in zip(starts[~joined].tolist(), ends[~joined].tolist(), strict=True)]
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         first = np.array(coded[0], np.int32)
@@ -90,10 +93,30 @@ class PieceEncoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.first, self.count = np.concatenate([self.first, place + self.used]), np.concatenate([self.count, sizes.astype(np.int32)])
         self.used += len(flat)
+        size = int(length.sum())
+        if self.written + size + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(max(len(self.text), size + 8), np.uint8)])
+        self.text[self.written : self.written + size] = buf[runs(starts, length)]
+        self.at = np.concatenate([self.at, np.cumsum(length) - length + self.written])
+        self.length = np.concatenate([self.length, length])
+        self.written += size
         where = np.searchsorted(self.keys, keys)
         self.place = np.insert(self.place, where, np.arange(len(self.first) - len(keys), len(self.first), dtype=np.int32))
         self.keys = np.insert(self.keys, where, keys)
 
+    def _known(self, buf: np.ndarray, starts: np.ndarray, length: np.ndarray, place: np.ndarray) -> bool:
+        """Whether every piece has the very bytes of the one that is remembered for its hash."""
+        if not len(starts):
+            return True
+        pool = np.ndarray(len(self.text) - 7, "<u8", self.text, 0, (1,))
+        return bool((length == self.length[place]).all() and same_bytes(byte_chunks(buf), starts, pool, self.at[place], length).all())
+
+    def _plain(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same ids without the memory: two pieces share a hash."""
+        raw = buf.tobytes()
+        coded = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids + [END_ID] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        return np.concatenate([np.array(c, np.int32) for c in coded]), np.array([len(c) for c in coded], np.int64)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has), each text with END_ID at its end."""
         docs = len(offs) - 1
@@ -125,12 +148,14 @@ class PieceEncoder:
             self._learn(keys[new], buf, starts[one[new]], ends[one[new]])
             at = np.searchsorted(self.keys, keys)
         place = self.place[at][back] if len(keys) else at
+        if not self._known(buf, starts, ends - starts, place):
+            return self._plain(buf, offs)
         size = self.count[place].astype(np.int64)
         # of several texts at one place, all but the last are empty
         doc = np.searchsorted(offs, starts, "right") - 1
         per_doc = np.bincount(doc, size, minlength=docs).astype(np.int64)
         total = int(size.sum())
-        flat = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[place], size)
+        flat = runs(self.first[place], size)
         out = np.full(total + docs, END_ID, np.int32)
         out[np.arange(total) + np.repeat(np.arange(docs), per_doc)] = self.pool[flat]
         return out, per_doc + 1
@@ -146,13 +171,15 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def in_parts(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, text) dealt and sorted by part, doc_id and text: parts are ranges of ascending ids, null ids first."""
-    want = 2 * sized_partitions(docs.sparkSession)
+    """(part, doc_id, text) in parts that are ranges of ascending ids of about PART_BYTES, null ids first; a part is a
+    partition, sorted. Rows of one doc_id stand in the order of their texts, and fall into several parts if their first
+    characters tell them apart."""
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = base.agg(F.percentile_approx("doc_id", [i / want for i in range(1, want)], 20 * want)).first()[0] or []
-    bounds = F.array(*(F.lit(c).cast("long") for c in sorted(set(cuts))))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id")))).cast("int")
-    return base.select(part.alias("part"), "doc_id", "text").repartition(sized_partitions(docs.sparkSession), "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(32))]
+    dealt = base.repartitionByRange(max(sized_partitions(spark), -(-size // PART_BYTES)), *order).sortWithinPartitions(*order, "text")
+    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
 
 def blocks_of(docs: DataFrame, path: str) -> DataFrame:
@@ -231,8 +258,9 @@ def read_tokens(files: DataFrame) -> DataFrame:
 def tokens_of(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``docs`` to a fresh folder beside the checkpoints, and reads them back.
 
-    Null and empty texts have the end id alone. Rows of one doc_id follow each other in the order of their texts; a null
-    doc_id stands first (so is the least 64-bit number, which is read back as null). Empty tables give no rows. Other columns are ignored.
+    Null and empty texts have the end id alone. Rows of one doc_id follow each other in the order of their texts,
+    equal rows included; a null doc_id stands first (so does the least 64-bit number, which is read back as null).
+    A very long text is one slice and one block of its own. Empty tables give no rows. Other columns are ignored.
     """
     return read_tokens(write_tokens(docs, scratch_path(docs.sparkSession, "tokens"), path))
 

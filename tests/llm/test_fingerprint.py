@@ -74,3 +74,56 @@ def test_small_tables(spark):
     assert [(r["doc_id"], r["next_text"]) for r in one] == [(7, "a b")]
     same = fingerprint.with_next(spark.createDataFrame([(7, "b"), (7, "a"), (None, "n")], "doc_id long, text string")).collect()
     assert sorted((r["text"], r["next_text"]) for r in same) == [("a", "b"), ("b", "n"), ("n", "a")]
+
+
+def test_every_column_of_the_query(spark, tmp_path, monkeypatch):
+    """Against sets of digests, with blocks of a few rows each."""
+    monkeypatch.setattr(fingerprint, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(fingerprint, "GROUP_BYTES", 3000)
+    rows, df = documents(spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(rows, key=lambda r: -r[0])
+    following = {r[0]: (order[(i + 1) % len(order)][1] or "") for i, r in enumerate(order)}
+    got = {r["doc_id"]: r for r in fingerprint.op1_fingerprint(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    prints = {}
+    for i, t in rows:
+        t = t or ""
+        k = len(t) // 3
+        edited = t[: len(t) - k] + following[i][:k]
+        x, y, z = (set(parts(v)[1].tolist()) for v in (t, edited, following[i]))
+        assert got[i]["near_next"] == pytest.approx(len(x & z) / len(x | z) if x | z else 1)
+        assert (got[i]["n_removed"], got[i]["n_added"]) == (len(x - y), len(y - x))
+        for text, name in ((t, "fingerprint"), (edited, "edited_fingerprint")):
+            assert prints.setdefault(text, got[i][name]) == got[i][name]
+    assert len(set(prints.values())) == len({frozenset(parts(t)[1].tolist()) for t in prints})
+
+
+def test_recovered_digests_are_the_differing_paragraphs(spark):
+    rows = [(1, "a b c d\ne f g h\ni j", "a b c d\nnew one\ni j", None), (2, None, "", ""), (3, " ".join("w%d" % i for i in range(4000)), " ".join("v%d" % i for i in range(3000)), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edited string, next_text string").withColumns({"fingerprint": F.lit(1), "added": F.lit("x"), "kept": F.lit(2)})
+    for r, (_, a, b, _) in zip(fingerprint.fingerprint_versions(df).orderBy("doc_id").collect(), rows, strict=True):
+        x, y = (set(parts(v or "")[1].view(np.int64).tolist()) for v in (a, b))
+        assert set(r["removed"]) == x - y and set(r["added"]) == y - x and r["kept"] == 2
+        told = fingerprint.stored_difference(r["fingerprint"], r["edited_fingerprint"])
+        assert (told is None) == (r["doc_id"] == 3)
+        if told:
+            assert set(told[0].view(np.int64).tolist()) == x - y and set(told[1].view(np.int64).tolist()) == y - x
+    assert fingerprint.fingerprint_versions(df.limit(0)).count() == 0
+
+
+def test_rows_that_never_peel_are_told_apart_by_their_digests(monkeypatch):
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(Sketch, "recover", lambda self: (np.zeros(self.rows, bool), none, none.astype(np.uint64), none))
+    a, b = parts("a\nb\nc\nd"), parts("a\nx\ny")
+    got, row, keys, side = fingerprint.differences(1, a, b)
+    x, y = set(a[1].tolist()), set(b[1].tolist())
+    assert got[0] == pytest.approx(len(x & y) / len(x | y)) and set(keys[side == 1].tolist()) == x - y and set(keys[side == -1].tolist()) == y - x
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_equal_power_sums_have_different_fingerprints(spark, n):
+    word = lambda swap: "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+    df = spark.createDataFrame([(1, word(0), word(1), word(0))], "doc_id long, text string, edited string, next_text string")
+    r = fingerprint.fingerprint_versions(df).first()
+    assert r["fingerprint"] != r["edited_fingerprint"] and (r["near_edited"], r["near_next"]) == (0, 1)

@@ -64,6 +64,36 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
         assert (np.concatenate(counts) == [len(w) for w in want]).all() and (np.concatenate(ids) == np.concatenate(want)).all()
 
 
+def parity(n, swap=False):
+    """Two words of equal sums of powers of two at any scale: the bits' parities, and their complement."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_words_of_equal_power_sums_keep_their_ids(spark, n):
+    texts = [parity(n), parity(n, True), f"x {parity(n, True)} y", f"x {parity(n)} y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [r["ids_crc32"] for r in token_files.tokens_of(df).orderBy("doc_id").collect()]
+    assert got == [zlib.crc32(w.tobytes()) for w in reference(texts)]
+
+
+def test_colliding_hashes_do_not_change_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "span_hashes", lambda buf, starts, ends: ((ends - starts) % 5).astype(np.uint64))
+    texts = ODD + ["one two three", "six ten two", "abc def " + "z" * 90, "abd def " + "y" * 90]
+    coder = token_files.PieceEncoder(token_files.tokenizer_path())
+    ids = np.concatenate([coder.encode(buf, offs)[0] for _, _, buf, offs in token_files.text_slices(pa.array(texts), 20)])
+    assert (ids == np.concatenate(reference(texts))).all()
+
+
+def test_parts_follow_bytes(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 1000)
+    df = spark.createDataFrame([(i, "word " * 40) for i in range(100)], "doc_id long, text string")
+    files = token_files.blocks_of(df, token_files.tokenizer_path())
+    assert files.select("part").distinct().count() >= 15 and files.agg(F.sum("documents")).first()[0] == 100
+
+
 def test_files_have_all_documents_in_order(spark, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 300)
     rng = np.random.default_rng(2)
