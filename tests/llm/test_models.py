@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -80,6 +81,62 @@ def test_toxicity_without_labels(spark, corpus):
     assert toxicity.score(docs.limit(0), toxicity.train([], np.zeros(0))).count() == 0
 
 
+def plain_toxicity(model, text):
+    """The definition itself: embeddings of all n-grams of each run of WINDOW words averaged, a softmax, the worst run."""
+    words = re.findall("[a-z\x80-\xff]+", text.encode().decode("latin-1").translate({k: k + 32 for k in range(65, 91)}))
+    runs = [words[i : i + model.window] for i in range(max(1, len(words) - model.window + 1))]
+    worst = 0.0
+    for run in runs:
+        rows = []
+        for w in run:
+            raw = w.encode("latin-1")
+            for n, (_, bucket) in zip(range(3, 7), Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).grams(3, 6, toxicity.BITS)):
+                rows += [model.emb[b] for b in bucket]
+        mean = np.mean(rows, 0) if rows else np.zeros(toxicity.DIM)
+        z = np.exp(model.soft @ mean + model.bias)
+        worst = max(worst, z[1] / z.sum())
+    return worst
+
+
+def test_toxicity_equals_averages_through_a_softmax():
+    rng = np.random.default_rng(4)
+    texts = [sentence(rng, n=int(rng.integers(1, 30))) + (" zxqwv" if i % 3 == 0 else "") for i in range(60)]
+    model = toxicity.train(texts, np.array([i % 3 == 0 for i in range(60)], int), window=3, warm=3, rounds=5)
+    for text in [*texts[:12], "", "12 !!", "x", "é ü", "one TWO three four five zxQwving six"]:
+        raw = text.encode()
+        got = model.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert got == pytest.approx(plain_toxicity(model, text), abs=1e-4), text
+
+
+def test_toxicity_gradients_are_those_of_the_loss(monkeypatch):
+    """One step of training moves every number against the numeric derivative of the mean cross-entropy."""
+    texts, y = ["ab cd", "cd ef gh", "ab ab", ""], np.array([1, 0, 1, 0])
+    monkeypatch.setattr(toxicity, "BITS", 6)
+    monkeypatch.setattr(toxicity, "DECAY", 0.0)
+    before = toxicity.train(texts, y, window=9, warm=0, rounds=0)
+    after = toxicity.train(texts, y, window=9, warm=1, rounds=0)
+
+    def loss(model):
+        return -sum(np.log(p if k else 1 - p) for p, k in ((plain_toxicity(model, t), k) for t, k in zip(texts, y)))
+
+    for name in ("emb", "soft", "bias"):
+        x = getattr(before, name)
+        for at in np.ndindex(x.shape):
+            x[at] += 1e-5
+            up = loss(before)
+            x[at] -= 2e-5
+            slope = (up - loss(before)) / 2e-5
+            x[at] += 1e-5
+            if abs(slope) > 1e-3:
+                assert np.sign(slope) == -np.sign(getattr(after, name)[at] - x[at])
+
+
+def test_documents_with_contradicting_labels_teach_nothing(spark, corpus):
+    docs, labels = corpus
+    twice = labels.unionByName(labels.filter("doc_id < 100").withColumn("toxic", 1 - F.col("toxic")))
+    assert toxicity.training_rows(docs, twice).count() == toxicity.training_rows(docs, labels.filter("doc_id >= 100")).count()
+
+
 def test_language_of_documents(spark, corpus, folder):
     got = {r["doc_id"]: r for r in language.op8_language(spark, folder).collect()}
     assert len(got) == 600 + len(ODD) and all(r["held_out"] == held(i, 5, 0) for i, r in got.items())
