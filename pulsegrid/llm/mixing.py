@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary_column, bounded_broadcast, cut, fixed_rows, mix, small_batches, span_hashes, table, text_slices, word_spans
@@ -24,7 +25,10 @@ MARGINS = ("source", "lang", "topic")
 TEMPER = 0.7
 #: The share of all tokens to keep.
 BUDGET = 0.5
-SWEEPS, TOLERANCE = 12, 1e-4
+#: Raking ends when every margin is met so nearly, or after so many sweeps without progress. Weights stay below HUGE.
+TOLERANCE, PATIENCE, HUGE = 1e-6, 25, 1e12
+#: So many cells are raked in one place.
+CELLS_HERE = 100_000
 
 
 def bags(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,69 +141,160 @@ def with_topics(docs: DataFrame, centers: np.ndarray, topic: str = "topic", toke
     return frame.mapInArrow(run, f"{schema}, {topic} int, {tokens} long")
 
 
-def raked(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with weight: the factor on each cell's tokens after which every margin
-    has its target share (given, or its own share to the power ``temper``), up to TOLERANCE or as far as ``sweeps`` go.
+def _key(d: str) -> Column:
+    """A margin's value as a text that isn't null."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(d).cast("string")), F.lit("n"))
+
+
+def goals(cells: DataFrame, margin: str, targets: dict[str, dict] | None, temper: float) -> DataFrame:
+    """(key, value, tokens, goal) of every value of a margin: its tokens, and the share of the kept tokens it should have
+    (given, 0 where it is left out; or its own share to the power ``temper``)."""
+    sums = cut(cells.groupBy(F.col(margin)).agg(F.sum("tokens").alias("tokens")).select(_key(margin).alias("key"), F.col(margin).alias("value"), F.coalesce("tokens", F.lit(0)).alias("tokens")))
+    if targets and margin in targets:
+        whole = float(sum(targets[margin].values())) or 1.0
+        wanted = F.create_map(*(x for k, v in targets[margin].items() for x in (F.lit(k), F.lit(v / whole))))
+        return sums.withColumn("goal", F.coalesce(F.try_element_at(wanted, F.col("value")), F.lit(0.0)))
+    power = F.pow(F.col("tokens").cast("double"), F.lit(temper))
+    whole = sums.agg(F.sum(power)).first()[0] or 1.0
+    return sums.withColumn("goal", power / whole)
+
+
+def reachable(margin: DataFrame, tokens: float) -> DataFrame:
+    """``margin`` with reach: the tokens that each value gets of ``tokens`` in all, in proportion to the goals, except
+    that no value gets more than it has; what these lack goes to the others."""
+    row = margin.agg(F.max(F.when(F.col("goal") > 0, F.col("tokens") / F.col("goal"))).alias("top"), F.sum(F.when(F.col("goal") > 0, F.col("tokens"))).alias("have")).first()
+    if not row["top"] or tokens >= row["have"]:
+        return margin.withColumn("reach", F.when(F.col("goal") > 0, F.col("tokens").cast("double")).otherwise(F.lit(0.0)))
+    low, high = 0.0, float(row["top"])
+    for _ in range(9):  # a grid over all values at once, then a finer one: 64 to the power 9 steps
+        grid = np.linspace(low, high, 65)
+        got = np.array(margin.agg(*(F.sum(F.least(F.col("tokens").cast("double"), F.col("goal") * float(g))).alias(f"g{i}") for i, g in enumerate(grid))).first(), float)
+        i = min(64, max(1, int(np.searchsorted(got, tokens))))
+        low, high = grid[i - 1], grid[i]
+    return margin.withColumn("reach", F.least(F.col("tokens").cast("double"), F.col("goal") * high))
+
+
+def _enough(history: list[float]) -> bool:
+    """Whether raking is done: it has come within TOLERANCE, or PATIENCE sweeps have brought it no nearer."""
+    return history[-1] < TOLERANCE or (len(history) > PATIENCE and min(history[-PATIENCE:]) > 0.99 * min(history[:-PATIENCE]))
+
+
+def _rake_here(tokens: np.ndarray, codes: list[np.ndarray], reach: list[np.ndarray], weight: np.ndarray, most: float) -> np.ndarray:
+    history: list[float] = []
+    while not history or not _enough(history):
+        off = 0.0
+        for code, goal in zip(codes, reach, strict=True):
+            share = np.bincount(code, tokens * np.minimum(weight, most), minlength=len(goal))
+            factor = np.where(share > 0, goal / np.where(share > 0, share, 1), 1)
+            weight = np.minimum(weight * factor[code], HUGE)
+            off = max(off, float(np.abs(factor - 1).max(initial=0)))
+        history.append(off)
+    return weight
+
+
+def _rake_spread(cells: DataFrame, margins: dict[str, DataFrame], most: float) -> DataFrame:
+    """The same over a table of cells of any size: sums of each margin's values, joined back."""
+    history: list[float] = []
+    while not history or not _enough(history):
+        off = 0.0
+        for d, table_ in margins.items():
+            sums = cells.groupBy(F.col(f"_{d}").alias("key")).agg(F.sum(F.col("tokens") * F.least(F.col("weight"), F.lit(most))).alias("share"))
+            factor = F.when(F.col("share") > 0, F.col("reach") / F.nullif("share", F.lit(0.0))).otherwise(F.lit(1.0))
+            sums = cut(sums.join(table_.select("key", "reach"), "key").select(F.col("key").alias(f"_{d}"), factor.alias("_f")))
+            off = max(off, sums.agg(F.max(F.abs(F.col("_f") - 1))).first()[0] or 0.0)
+            cells = cells.join(bounded_broadcast(sums), f"_{d}").withColumn("weight", F.least(F.col("weight") * F.col("_f"), F.lit(HUGE))).drop("_f")
+        cells = cut(cells)
+        history.append(off)
+    return cells
 
-    The cells are counts of groups, so a window over a margin's value holds few rows. Values that ``targets`` leaves
-    out get 0. Cells without tokens keep a weight of 1.
-    """
+
+def _rake(cells: DataFrame, targets: dict[str, dict] | None, temper: float, budget: float | None) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens, weight) with the weight raked: freely, or, with a budget, to the tokens that
+    are kept if no more than all of a cell can be."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    margins = {}
     for d in MARGINS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t"))
-        if targets and d in targets:
-            whole = float(sum(targets[d].values())) or 1.0
-            goal = F.coalesce(F.element_at(F.create_map(*(x for k, v in targets[d].items() for x in (F.lit(k), F.lit(v / whole)))), F.col(d)), F.lit(0.0))
-        else:
-            power = sums.agg(F.sum(F.pow(F.col("t").cast("double"), F.lit(temper)))).first()[0] or 1.0
-            goal = F.pow(F.sum("tokens").over(Window.partitionBy(d)).cast("double"), F.lit(temper)) / power
-        cells = cells.withColumn(f"_goal_{d}", goal)
+        margin = goals(cells, d, targets, temper)
+        margins[d] = cut(margin.withColumn("reach", F.col("goal") * total) if budget is None else reachable(margin, budget * total))
+    most = HUGE if budget is None else 1.0
+    keyed = cells.withColumns({f"_{d}": _key(d) for d in MARGINS})
+    if cells.limit(CELLS_HERE + 1).count() > CELLS_HERE:
+        return _rake_spread(cut(keyed), margins, most).select(*MARGINS, "tokens", "weight")
+    here = keyed.toPandas()  # counted: at most CELLS_HERE rows
+    codes, reach = [], []
+    for d, margin in margins.items():
+        own = margin.select("key", "reach").toPandas()
+        codes.append(here[f"_{d}"].map(dict(zip(own["key"], range(len(own)), strict=True))).to_numpy(np.int64))
+        reach.append(own["reach"].to_numpy(float))
+    order = np.lexsort([here[f"_{d}"].to_numpy(str) for d in MARGINS]) if len(here) else np.zeros(0, np.int64)
+    weight = np.ones(len(here))
+    weight[order] = _rake_here(here["tokens"].to_numpy(float)[order], [c[order] for c in codes], reach, here["weight"].to_numpy(float)[order], most)
+    found = cells.sparkSession.createDataFrame(pd.DataFrame({**{f"_{d}": here[f"_{d}"].astype(str) for d in MARGINS}, "_w": weight}), "_source string, _lang string, _topic string, _w double")
+    return keyed.drop("weight").join(F.broadcast(found), [f"_{d}" for d in MARGINS]).select(*MARGINS, "tokens", F.col("_w").alias("weight"))  # a row a cell
+
+
+def raked(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with weight: the factor on each cell's tokens after which every margin has
+    its target share (given, or its own share to the power ``temper``).
+
+    Sweeps go on until all margins are met within TOLERANCE, or, where margins contradict each other, until PATIENCE
+    sweeps bring no progress. Values that ``targets`` leaves out get 0. Cells without tokens take their margins' factors.
+    Null values are values of their own. Up to CELLS_HERE cells are raked in one place, more by grouped sums.
+    """
+    return _rake(cells.select(*MARGINS, "tokens", F.lit(1.0).alias("weight")), targets, temper, None)
+
+
+def keep_probabilities(cells: DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None, temper: float = TEMPER) -> DataFrame:
+    """``cells`` (with weight) with keep = min(1, weight), the weight raked on until the tokens that are kept, ``budget`` of
+    all, meet the targets although nothing can be kept more than whole.
+
+    A value with fewer tokens than its target asks for is kept whole, and the others of its margin share what it lacks
+    (``margin_report`` names it). If the values with a target above 0 don't have so many tokens, all of theirs are kept.
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    cells = cut(cells.withColumn("weight", F.lit(1.0)))
-    for sweep in range(sweeps):
-        off = F.lit(0.0)
-        for d in MARGINS:
-            share = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(d)) / max(total, 1.0)
-            factor = F.when(share > 0, F.col(f"_goal_{d}") / share).otherwise(F.lit(1.0))
-            cells = cells.withColumn("_f", factor).withColumn("weight", F.col("weight") * F.col("_f")).withColumn("_off", F.greatest(off, F.abs(F.col("_f") - 1)))
-            off = F.col("_off")
-        cells = cut(cells)
-        if (cells.agg(F.max("_off")).first()[0] or 0) < TOLERANCE:
-            break
-    return cells.select(*MARGINS, "tokens", "weight")
+    kept = float(cells.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0] or 0)
+    start = cells.withColumn("weight", F.col("weight") * (budget * total / kept if kept else 1.0))
+    return _rake(cut(start), targets, temper, budget).withColumn("keep", F.least(F.lit(1.0), "weight"))
 
 
-def keep_probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``cells`` with keep = min(1, scale * weight), where the scale makes the expected tokens ``budget`` of all (or keeps
-    everything that has a weight, if that is less)."""
-    row = cells.agg(F.sum("tokens").alias("t"), F.max("weight").alias("hi"), F.min(F.when(F.col("weight") > 0, F.col("weight"))).alias("lo")).first()
-    scale = 1.0
-    if row["t"] and row["hi"]:
-        low, high = np.log(budget / row["hi"]) - 1, -np.log(row["lo"])
-        for _ in range(4):  # a grid over all cells at once, then a finer one
-            grid = np.exp(np.linspace(low, high, 33))
-            got = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * float(g))).alias(f"g{i}") for i, g in enumerate(grid))).first()
-            i = int(np.searchsorted(np.array(got, float), budget * row["t"]))
-            low, high = np.log(grid[max(0, i - 1)]), np.log(grid[min(32, i)])
-        scale = float(np.exp(high))
-    return cells.withColumn("keep", F.least(F.lit(1.0), F.col("weight") * scale))
+def margin_report(cells: DataFrame, budget: float = BUDGET, targets: dict[str, dict] | None = None, temper: float = TEMPER) -> DataFrame:
+    """(margin, value, target, reachable, expected, feasible) of ``cells`` with keep: each value's target share of the kept
+    tokens, the share it can have at this budget, the share that the probabilities give it, and whether the target itself
+    can be had by this margin alone."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    kept = float(cells.agg(F.sum(F.col("tokens") * F.col("keep"))).first()[0] or 0) or 1.0
+    out = None
+    for d in MARGINS:
+        margin = cut(reachable(goals(cells, d, targets, temper), budget * total))
+        got = cells.groupBy(_key(d).alias("key")).agg((F.sum(F.col("tokens") * F.col("keep")) / kept).alias("expected"))
+        whole = float(margin.agg(F.sum("reach")).first()[0] or 0) or 1.0
+        rows = margin.join(got, "key").select(F.lit(d).alias("margin"), F.col("value").cast("string").alias("value"), F.col("goal").alias("target"), (F.col("reach") / whole).alias("reachable"), "expected", (F.col("goal") * budget * total <= F.col("tokens") * (1 + 1e-9)).alias("feasible"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, seed: int = 1) -> DataFrame:
     """``docs`` with topic, tokens, weight, keep (the probability) and kept appended (columns of these names are replaced).
 
     Null sources and languages are values of their own. Null and empty texts have no tokens and the first topic. The
-    draw is a hash of doc_id and ``seed``: rows of one doc_id fall together, and a second run draws the same. Empty
-    tables give no rows. The cells' table is broadcast only if it is small.
+    draw is a hash of doc_id and ``seed``: rows of one doc_id fall together, and a second run draws the same; a null doc_id
+    is an id like others. Very long texts count whole. Empty tables give no rows. The cells' table is broadcast only if
+    it is small; else the join is shuffled, and a hot cell's rows are split by the adaptive skew join.
     """
     names = ("topic", "tokens", "weight", "keep", "kept")
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
     centers = fit_topics(docs.select("doc_id", "text"))
-    cells = with_topics(plain.select("source", "lang", "text"), centers).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    cells = bounded_broadcast(cut(keep_probabilities(raked(cut(cells), targets), budget).select(*(F.col(d).alias(f"_{d}") for d in MARGINS), "weight", "keep")))
-    rows = with_topics(plain, centers)
-    on = [rows[d].eqNullSafe(cells[f"_{d}"]) for d in MARGINS]
+    cells = calibrated_cells(plain, centers, targets, budget)
+    keyed = bounded_broadcast(cut(cells.select(*(_key(d).alias(f"_{d}") for d in MARGINS), "weight", "keep")))
+    rows = with_topics(plain, centers).withColumns({f"_{d}": _key(d) for d in MARGINS})
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.join(cells, on).drop(*(f"_{d}" for d in MARGINS)).withColumn("kept", draw < F.col("keep"))
+    return rows.join(keyed, [f"_{d}" for d in MARGINS]).drop(*(f"_{d}" for d in MARGINS)).withColumn("kept", draw < F.col("keep"))
+
+
+def calibrated_cells(docs: DataFrame, centers: np.ndarray, targets: dict[str, dict] | None = None, budget: float = BUDGET) -> DataFrame:
+    """(source, lang, topic, tokens, weight, keep) of all documents."""
+    cells = cut(with_topics(docs.select("source", "lang", "text"), centers).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    return keep_probabilities(raked(cells, targets), budget, targets)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

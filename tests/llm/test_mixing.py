@@ -65,3 +65,63 @@ def test_topics_are_fitted_on_all_documents(spark):
         m = x[own == k].sum(0)
         assert np.allclose(centers[k], m / np.sqrt(m @ m), atol=1e-4)
     assert (mixing.fit_topics(docs.repartition(7), rows=60, topics=3) == centers).all()
+
+
+def brute_rake(rows, targets, budget):
+    """Bounded raking by its dual: the factors of one value at a time by bisection, with keep = min(1, product)."""
+    tokens = np.array([r[3] for r in rows], float)
+    codes = [[r[d] for r in rows] for d in range(3)]
+    factor = [dict.fromkeys(c, 1.0) for c in codes]
+    keep = lambda: np.minimum(1, np.prod([[f[c] for c in code] for f, code in zip(factor, codes)], axis=0))
+    for _ in range(60):
+        for d, goal in enumerate(targets):
+            for v, share in goal.items():
+                low, high = -60.0, 60.0
+                for _ in range(45):
+                    mid = (low + high) / 2
+                    factor[d][v] = np.exp(mid)
+                    got = (tokens * keep())[[c == v for c in codes[d]]].sum()
+                    low, high = (mid, high) if got < share * budget * tokens.sum() else (low, mid)
+    return keep()
+
+
+def clamped_case():
+    rng = np.random.default_rng(7)
+    rows = [(f"s{a}", f"l{b}", t, int(rng.integers(1, 300)) * (1 + 20 * (a == 0))) for a in range(3) for b in range(2) for t in range(2)]
+    targets = {"source": {"s0": 0.6, "s1": 0.2, "s2": 0.2}, "lang": {"l0": 0.5, "l1": 0.5}, "topic": {0: 0.5, 1: 0.5}}
+    return rows, targets
+
+
+def test_clamped_raking_equals_a_brute_force_version(spark):
+    rows, targets = clamped_case()
+    cells = cells_of(spark, rows)
+    total = sum(r[3] for r in rows)
+    have = {s: sum(r[3] for r in rows if r[0] == s) / total for s in ("s1", "s2")}
+    budget = 0.9 * min(have.values()) / 0.2
+    got = mixing.keep_probabilities(mixing.raked(cells, targets), budget, targets).toPandas().sort_values(["source", "lang", "topic"])
+    assert (got.keep == 1).any()  # the clamp is at work
+    want = brute_rake(rows, list(targets.values()), budget)
+    assert got.keep.to_numpy() == pytest.approx(want, abs=1e-3)
+    report = mixing.margin_report(cells.join(spark.createDataFrame(got)[["source", "lang", "topic", "keep"]], ["source", "lang", "topic"]), budget, targets).collect()
+    assert all(r["feasible"] and r["expected"] == pytest.approx(r["target"], rel=1e-3) for r in report) and len(report) == 7
+
+
+def test_a_target_beyond_its_tokens_is_named_and_the_others_share_the_rest(spark):
+    rows = [("a", "x", 0, 900), ("b", "x", 0, 60), ("c", "x", 0, 40)]
+    targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.3}, "lang": {"x": 1.0}, "topic": {0: 1.0}}
+    got = mixing.keep_probabilities(mixing.raked(cells_of(spark, rows), targets), 0.5, targets)
+    keep = {r["source"]: r["keep"] for r in got.collect()}
+    assert keep["b"] == keep["c"] == 1 and keep["a"] == pytest.approx(400 / 900, rel=1e-4)
+    told = {r["value"]: r for r in mixing.margin_report(got, 0.5, targets).filter("margin = 'source'").collect()}
+    assert [told[v]["feasible"] for v in "abc"] == [True, False, False] and told["b"]["reachable"] == pytest.approx(0.12) == told["b"]["expected"]
+
+
+def test_many_cells_are_raked_alike_by_grouped_sums(spark, monkeypatch):
+    rows, targets = clamped_case()
+    rows = [(None if a == "s2" else a, b, t, n) for a, b, t, n in rows]
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    here = mixing.keep_probabilities(mixing.raked(cells_of(spark, rows)), 0.6).collect()
+    monkeypatch.setattr(mixing, "CELLS_HERE", 2)
+    spread = mixing.keep_probabilities(mixing.raked(cells_of(spark, rows)), 0.6).collect()
+    key = lambda r: (str(r["source"]), r["lang"], r["topic"])
+    assert [r["keep"] for r in sorted(here, key=key)] == pytest.approx([r["keep"] for r in sorted(spread, key=key)], abs=1e-6)
