@@ -1,8 +1,10 @@
 """Personal data, and terms that would give it away.
 
-Patterns find the protected entities. Corpus co-occurrence then says how much a term near an entity discloses: the
-pointwise mutual information of term and entity, as a share of the entity's own information content. Terms above a
-threshold are removed, those above a lower one generalised, wherever they stand. DataFrame functions only.
+Patterns find the protected entities: the base kinds, and secrets, which are long strings of so much information a
+character that nobody spells them by heart. Corpus co-occurrence then says how much a term in an entity's documents
+discloses: the pointwise mutual information of term and entity, counted by documents over whole texts, as a share of the
+entity's own information content. Terms above a threshold are removed, those above a lower one generalised, wherever
+they stand. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -23,10 +25,14 @@ PATTERNS = {
 #: What a text must hold for a pattern to be worth trying.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Characters of context on either side of an entity, and the shortest term.
+#: A secret: so many characters without a break, letters and digits among them, of at least so many bits a character.
+SECRET, SECRET_BITS = r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}+", 3.0
+KINDS = (*PATTERNS, "secret")
+#: Characters on either side of an entity that tell its contexts apart, and the shortest term.
 CONTEXT, LETTERS = 80, 4
-#: A term must stand near the entity in so many different contexts, so that copies of one text prove nothing.
-SUPPORT = 2
+#: A term must stand in documents with so many different contexts of the entity, so that copies of one text, edited
+#: elsewhere or not, prove nothing.
+SUPPORT = 3
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -42,9 +48,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+def _bits(s: Column) -> Column:
+    """The entropy of a string's characters."""
+    n = F.length(s)
+    each = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
+
+    def add(total: Column, c: Column) -> Column:
+        p = (n - F.length(F.replace(s, c, F.lit("")))) / n
+        return total - p * F.log2(p)
+
+    return F.aggregate(each, F.lit(0.0), add)
+
+
 def _valid(kind: str, match: Column) -> Column:
     if kind == "email":
         return F.lit(True)
+    if kind == "secret":
+        return F.when(match.rlike("[0-9]") & match.rlike("[A-Za-z]"), _bits(match) >= SECRET_BITS).otherwise(False)
     if kind == "ip":
         return match.rlike(rf"^(?:{_PART}\.){{3}}{_PART}$")
     digits = F.regexp_replace(match, "[^0-9]", "")
@@ -81,59 +101,76 @@ def located(text: Column, pattern: Column | str, valid, context: int = 0) -> Col
     return inner[0]
 
 
+_SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """(_row, _key, doc_id, email, ip, card, phone): the base spans of every row with their contexts. _row numbers the
-    rows, _key tells apart rows of one doc_id with different texts."""
+    """(_row, _key, doc_id, email, ip, card, phone, secret, words): the spans of every row with their contexts, and of the
+    rows that have any the different longer words. _row numbers the rows, _key tells apart rows of one doc_id with
+    different texts."""
     frame = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
     cols = []
-    for kind, pattern in PATTERNS.items():
-        seen = text.contains(HINTS[kind]) if kind in HINTS else text.rlike("[0-9][\\x20-]?[0-9]")
+    for kind, pattern in (*PATTERNS.items(), ("secret", SECRET)):
+        if kind in HINTS:
+            seen = text.contains(HINTS[kind])
+        else:
+            seen = text.rlike("[0-9][\\x20-]?[0-9]" if kind == "card" else "[A-Za-z0-9+_=-]{20}")
         spans = located(text, pattern, lambda m, kind=kind: _valid(kind, m), CONTEXT)
-        cols.append(F.when(seen, spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")).alias(kind))
-    return frame.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", "text").alias("_key"), "doc_id", *cols)
+        cols.append(F.when(seen, spans).otherwise(F.array().cast(_SPANS)).alias(kind))
+    rows = frame.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", "text").alias("_key"), "doc_id", "text", *cols)
+    held = sum((F.size(k) for k in KINDS), F.lit(0)) > 0
+    return rows.withColumn("words", F.when(held, _terms_of(text)).otherwise(F.array().cast("array<string>"))).drop("text")
+
+
+def _terms_of(text: Column) -> Column:
+    """The different longer words of a text, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: F.length(w) >= LETTERS))
 
 
 def _holders(found: DataFrame) -> DataFrame:
-    """(_row, entity, before, after): every mention of an entity, named by its kind and normalised value."""
+    """(_row, entity, context): every mention of an entity, named by its kind and normalised value."""
     every = []
-    for kind in PATTERNS:
-        value = F.lower("m.value") if kind in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")
-        every.append(found.select("_row", F.explode(kind).alias("m")).select("_row", F.concat(F.lit(f"{kind}:"), value).alias("entity"), "m.before", "m.after"))
+    for kind in KINDS:
+        value = F.col("m.value") if kind == "secret" else F.lower("m.value") if kind in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")
+        every.append(found.select("_row", F.explode(kind).alias("m")).select("_row", F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.xxhash64("m.before", "m.after").alias("context")))
     rows = every[0]
     for one in every[1:]:
         rows = rows.unionByName(one)
     return rows
 
 
-def _mentions(holders: DataFrame) -> DataFrame:
-    """(_row, entity, context, term): words of the contexts that were not cut off."""
-    word = rf"\p{{L}}{{{LETTERS},}}"
-    terms = F.concat(F.regexp_extract_all(F.lower("before"), F.lit(rf"(?<=\P{{L}}){word}(?!\p{{L}})"), F.lit(0)), F.regexp_extract_all(F.lower("after"), F.lit(rf"(?<!\p{{L}}){word}(?=\P{{L}})"), F.lit(0)))
-    return holders.select("_row", "entity", F.xxhash64("before", "after").alias("context"), F.explode(F.array_distinct(terms)).alias("term"))
-
-
 def _words(docs: DataFrame) -> DataFrame:
     """(_key, term): the different longer words of every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("_key"), F.explode(F.array_distinct(F.split(F.lower(text), r"\P{L}+"))).alias("term")).filter(F.length("term") >= LETTERS)
+    return docs.select(F.xxhash64("doc_id", text).alias("_key"), F.explode(_terms_of(text)).alias("term"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, share) of the terms that disclose too much of any entity, over counts of rows."""
+    """(term, share) of the terms that disclose too much of any entity, over counts of rows.
+
+    Entities with fewer than SUPPORT contexts can't have such a term, nor can terms that stand in more rows than any
+    entity allows: log2(N n_both / (n_entity n_term)) >= GENERALISE log2(N / n_entity) asks for n_term <= n_entity (N /
+    n_entity)^(1 - GENERALISE). Both fall out before entities meet words.
+    """
+    total = float(max(found.count(), 1))
     holders = _holders(found)
-    pairs = _mentions(holders).groupBy("entity", "term").agg(F.countDistinct("_row").alias("n_both"), F.countDistinct("context").alias("support")).filter(F.col("support") >= SUPPORT)
-    # an entity stands in all rows that mention it, whether or not there are terms around
-    sizes = holders.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"))
-    pairs = cut(pairs.join(sizes, "entity"))
-    terms = bounded_broadcast(cut(pairs.select("term").distinct()))
+    sizes = holders.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    most = F.col("n_entity") * F.pow(total / F.col("n_entity"), F.lit(1 - GENERALISE))
+    sizes = cut(sizes.select("entity", "n_entity", most.alias("most")))
+    limit = sizes.agg(F.max("most")).first()[0] or 0.0
+    held = cut(holders.join(sizes, "entity").groupBy("_row", "entity", "n_entity", "most").agg(F.collect_set("context").alias("contexts")))  # a row's mentions
     # counted where they stand: only sums of each task are shuffled
-    counts = _words(docs).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = float(max(found.count(), 1))
+    counts = _words(docs).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term").between(SUPPORT, limit))
+    rare = found.join(held.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode("words").alias("term")).join(counts, "term")
+    pairs = rare.join(held, "_row").filter("n_term <= most").select("entity", "term", "n_entity", "n_term", F.posexplode("contexts").alias("first", "context"))
+    # a row and its entity count at their first context; contexts are counted by sums as well
+    pairs = pairs.groupBy("entity", "term", "context").agg(F.count_if(F.col("first") == 0).alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     information = F.log2(F.lit(total) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, mutual / F.when(information > 0, information))
-    return cut(pairs.join(counts, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE))
+    return cut(pairs.filter(F.col("support") >= SUPPORT).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE))
 
 
 def _between(low: float, high: float):
@@ -144,7 +181,7 @@ def term_spans(docs: DataFrame, shares: DataFrame) -> DataFrame:
     """(_key, remove, generalise): arrays of the places of disclosing terms, for the rows that have any."""
     per_row = _words(docs).join(bounded_broadcast(shares), "term").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("term", "share"))).alias("terms"))
     per_row = cut(per_row)
-    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.coalesce("text", F.lit("")).alias("text")).join(bounded_broadcast(per_row), "_key")
+    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), F.coalesce("text", F.lit("")).alias("text")).join(bounded_broadcast(per_row, size=40 * F.size("terms") + 16), "_key")
     cols = []
     for name, low, high in (("remove", REMOVE, 9.0), ("generalise", GENERALISE, REMOVE)):
         own = F.transform(F.filter("terms", _between(low, high)), lambda t: t["term"])
@@ -155,17 +192,19 @@ def term_spans(docs: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """(_key, doc_id, email, ip, card, phone, remove, generalise) for every row of ``docs`` (doc_id, text; other columns
-    are ignored): arrays of (start, end), code points, end exclusive, ascending.
+    """(_key, doc_id, email, ip, card, phone, secret, remove, generalise) for every row of ``docs`` (doc_id, text; other
+    columns are ignored): arrays of (start, end), code points, end exclusive, ascending.
 
-    Null and empty texts have no spans. Repeated rows have the same spans. Without any entity no
-    term is disclosing. Empty tables give no rows.
+    Null and empty texts have no spans, a null doc_id is an id like others. Very long texts are searched whole, in linear
+    time. Repeated rows have the same spans and count as rows each, though one context. Of a term's shares for several
+    entities the largest counts; at exactly a threshold, the threshold is reached. Without any entity no term is
+    disclosing. Empty tables give no rows.
     """
     found = cut(entities(docs))
-    extra = bounded_broadcast(cut(term_spans(docs, disclosing_terms(docs, found))))
-    plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in PATTERNS]
+    extra = bounded_broadcast(cut(term_spans(docs, disclosing_terms(docs, found))), size=8 * (F.size("remove") + F.size("generalise")) + 16)
+    plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return found.select("_key", "doc_id", *plain).join(extra, "_key", "left").select("_key", "doc_id", *PATTERNS, *(F.coalesce(k, none).alias(k) for k in ("remove", "generalise")))
+    return found.select("_key", "doc_id", *plain).join(extra, "_key", "left").select("_key", "doc_id", *KINDS, *(F.coalesce(k, none).alias(k) for k in ("remove", "generalise")))
 
 
 def _named(kind: str):
@@ -176,25 +215,36 @@ def _joined(kinds) -> Column:
     return F.array_join(F.concat(*(F.transform(k, _named(k)) for k in kinds)), ",")
 
 
-def _tagged(kind: str):
-    return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), F.lit(kind).alias("kind"))
+def _tagged(kind: str, text: Column):
+    """A span with what stands in its place: a kind's name, nothing for a term that is removed, and for one that is
+    generalised the beginning that it shares with other words."""
+
+    def tag(s: Column) -> Column:
+        half = F.substring(text, s["start"] + 1, F.ceil((s["end"] - s["start"]) / 2).cast("int"))
+        put = {"remove": F.lit(""), "generalise": F.concat(half, F.lit("*"))}.get(kind, F.lit(f"<{kind}>"))
+        return F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), put.alias("put"))
+
+    return tag
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span replaced by its kind in angle brackets; of overlapping spans, the first counts, and
-    the longer of those that begin together."""
-    spans = spans_of(docs)
-    tagged = F.concat(*(F.transform(k, _tagged(k)) for k in (*PATTERNS, "remove", "generalise")))
-    spans = spans.select("_key", F.array_sort(tagged).alias("tags")).dropDuplicates(["_key"])
+    """(doc_id, text) with every entity replaced by its kind in angle brackets, terms that disclose too much removed, and
+    those that disclose less generalised to the first half of their letters and an asterisk. Of overlapping spans the
+    first counts, and the longer of those that begin together. Null texts stay null; rows without spans stay as they
+    are."""
+    spans = spans_of(docs).select("_key", *KINDS, "remove", "generalise").dropDuplicates(["_key"])
+    spans = cut(spans.filter(sum((F.size(k) for k in (*KINDS, "remove", "generalise")), F.lit(0)) > 0))
+    spans = bounded_broadcast(spans, size=16 * sum((F.size(k) for k in (*KINDS, "remove", "generalise")), F.lit(1)))
 
     def step(acc: Column, t: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, t["start"] - acc["at"]), F.concat(F.lit("<"), t["kind"], F.lit(">")))
+        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, t["start"] - acc["at"]), t["put"])
         open_ = t["start"] >= acc["at"]
         return F.struct(F.when(open_, -t["minus"]).otherwise(acc["at"]).alias("at"), F.when(open_, more).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("tags", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    keyed = docs.select("doc_id", F.col("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"))
-    return keyed.join(spans, "_key", "left").select("doc_id", F.when(F.col("text").isNotNull(), clean).alias("text"))
+    keyed = docs.select("doc_id", F.col("text"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key")).join(spans, "_key", "left")
+    tags = F.array_sort(F.concat(*(F.transform(k, _tagged(k, F.col("text"))) for k in (*KINDS, "remove", "generalise"))))
+    clean = F.aggregate(tags, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    return keyed.select("doc_id", F.coalesce(clean, "text").alias("text"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,6 +253,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS),
         F.sha2(_joined(PATTERNS), 256).alias("base_sha256"),
-        _joined((*PATTERNS, "remove", "generalise")).alias("spans"),
+        _joined((*KINDS, "remove", "generalise")).alias("spans"),
+        F.size("secret").cast("long").alias("n_secret"),
         (F.size("remove") + F.size("generalise")).cast("long").alias("n_terms"),
     )

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -69,6 +71,71 @@ def test_terms_that_disclose_an_entity_are_found_everywhere(corpus):
     assert "<email>" in clean[100] and "Quixotania" not in clean[100] and clean[3] == text[3] and clean[201] is None
 
 
+def brute_terms(rows):
+    """Shares by the definition, from sets of row numbers."""
+    word = lambda t: {w for w in re.split(r"[^a-zäöüß]+", t.lower()) if len(w) >= pii.LETTERS}
+    kind_value = lambda k, v: v.lower() if k in ("email", "ip") else re.sub("[^0-9]", "", v)
+    holds, contexts, stands = {}, {}, {}
+    for i, t in enumerate(rows):
+        for w in word(t):
+            stands.setdefault(w, set()).add(i)
+        for k, p in PLAIN.items():
+            cuts = [m.span() for m in re.finditer(p, t)]
+            for j, (a, b) in enumerate(cuts):
+                if valid(k, t[a:b]):
+                    e = (k, kind_value(k, t[a:b]))
+                    before = t[cuts[j - 1][1] if j else 0 : a][-pii.CONTEXT :]
+                    after = t[b : cuts[j + 1][0] if j + 1 < len(cuts) else len(t)][: pii.CONTEXT]
+                    holds.setdefault(e, set()).add(i)
+                    contexts.setdefault(e, {}).setdefault(i, set()).add((before, after))
+    out = {}
+    for e, own in holds.items():
+        for w, at in stands.items():
+            both = own & at
+            if len({c for i in both for c in contexts[e][i]}) >= pii.SUPPORT and len(own) < len(rows):
+                share = math.log2(len(both) * len(rows) / (len(own) * len(at))) / math.log2(len(rows) / len(own))
+                if share >= pii.GENERALISE:
+                    out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def test_disclosing_terms_equal_a_brute_force_version(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("kalo", "mir", "zen", "tup") for b in ("ba", "do", "fi", "gu") for c in ("n", "rt", "s", "x")]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(3, 25)))
+        if i % 6 == 0:
+            who = rng.randint(0, 5)
+            text += f" firm{'abcdef'[who] * 3} called m{who}@mail.org twice" + rng.choice([" m0@mail.org", " 10.0.0.7", " +49 30 1234567", ""]) + " " + rng.choice(words)
+        rows.append(text)
+    rows += rows[:12]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["term"]: r["share"] for r in pii.disclosing_terms(docs, pii.entities(docs)).collect()}
+    want = brute_terms(rows)
+    assert set(got) == set(want) and any(w.startswith("firm") for w in want)
+    assert all(got[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_a_name_far_from_the_entity_is_found_and_generalised(spark):
+    filler = " ".join(["word"] * 60)
+    rows = [(i, f"Quixotania{'' if i else ' x'} {filler} number{i} {filler} q@home.org today{i}") for i in range(5)]
+    rows += [(50 + i, "Quixotania elsewhere") for i in range(2)] + [(100 + i, f"plain word number{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    # five of its seven rows hold the address: between the thresholds, so it is generalised everywhere
+    assert clean[50] == "Quixo* elsewhere" and clean[3].startswith("Quixo* ") and "<email>" in clean[3]
+
+
+def test_secrets_are_entities(spark):
+    key = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    rows = [(1, f'see token = "{key}" there'), (2, "aaaaaaaaaaaaaaaaaaaaaaaaaaa1 " + "x" * 60), (3, "averyveryverylongwordwithoutdigits"), (4, f"https://h.org/{key[:19]}/x"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["secret"]] for r in pii.spans_of(docs).collect()}
+    assert got == {1: [(13, 53)], 2: [], 3: [], 4: [], 5: []}
+    assert {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}[1] == 'see token = "<secret>" there'
+
+
 def test_copies_of_one_text_prove_nothing(spark):
     rows = [(i, "only here Zanzibaria wrote to z@z.org indeed, with plain words around it") for i in range(5)] + [(9 + i, f"plain words number{i}") for i in range(30)]
     got = pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
