@@ -34,7 +34,7 @@ CONTEXT, LETTERS = 80, 4
 #: elsewhere or not, prove nothing.
 SUPPORT = 3
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
-GENERALISE, REMOVE = 0.8, 0.95
+GENERALISE, REMOVE = 0.9, 0.97
 
 
 def _luhn(digits: Column) -> Column:
