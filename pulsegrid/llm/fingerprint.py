@@ -219,7 +219,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     dealt = rows.select("doc_id", "text", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own))).alias("p")).select("doc_id", "text", "p.at", "p.guest")
     # guests stand after all rows of the block, the wrap-around's after the null ids too
     w = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    dealt = dealt.repartition(2 * want, "at").withColumn("next_text", F.lead("text").over(w))
+    dealt = dealt.repartitionByRange(want, "at").withColumn("next_text", F.lead("text").over(w))
     return dealt.filter("not guest").select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
 
 
