@@ -8,7 +8,10 @@
    compared with each other (skip merging): a list yields a spanning forest, not all of its pairs.
 4. The full sets of each candidate group are compared exactly, again as a spanning forest.
 
-Long posting lists and large candidate groups are dealt into blocks, and every pair of blocks is a task of its own.
+Long posting lists and large candidate groups are dealt into blocks. A few leaders are compared with all of a group's
+rows first; then only rows outside the largest component that this makes go to every block and are compared with all.
+Near copies of one page thus cost rows in proportion to their number. What stays quadratic, in blocks, are rows that
+meet in a hot list or group without being linked to most of it.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary_column, bounded_broadcast, connected_components, cut, fixed_rows, mix, seeds, sized_partitions, small_batches, span_hashes, table, text_slices, word_spans
@@ -28,7 +31,9 @@ COORDS = 64
 #: standard deviation of 2.9: a pair at the very threshold is missed about once in 400,000 times.
 MATCHES = 40
 #: Rows of a posting list, and rows and shingles of a candidate group, that a task's block may have.
-LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 8192, 4096, 2_000_000
+LIST_BLOCK, GROUP_BLOCK, GROUP_SHINGLES = 4096, 1024, 1_000_000
+#: About so many rows lead a group of several blocks.
+LEADERS = 48
 
 _ORDER = seeds(WORDS, 301) | np.uint64(1)
 _COORD = seeds(COORDS, 302) | np.uint64(1)
@@ -143,24 +148,42 @@ def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
+def asked(n: int, askers: np.ndarray, hits: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between ``askers`` and all others."""
+    label, edges = np.arange(n), []
+    for i in askers.tolist():
+        found = hits(i)
+        for j in found[label[found] != label[i]]:
+            if label[j] != label[i]:
+                edges.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return edges
+
+
+def _alike(low: np.ndarray, size: np.ndarray, other_low: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether signatures collide often enough, and the sets' sizes let them be similar."""
+    return ((low == other_low).sum(1) >= MATCHES) & (100 * np.minimum(size, other_size) >= 85 * np.maximum(size, other_size))
+
+
 def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, 0):
-        task, rep, size = (t.column(i).to_numpy() for i in range(3))
-        low = fixed_rows(t.column(3).combine_chunks(), np.uint8, COORDS)
+        task, rep, role, size = (t.column(i).to_numpy() for i in range(4))
+        low = fixed_rows(t.column(4).combine_chunks(), np.uint8, COORDS)
         heads = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
         sizes = np.diff(np.append(heads, len(task)))
         group = np.repeat(np.arange(len(heads)), sizes)
+        leads = np.add.reduceat(role, heads) > 0
         a, b = [], []
-        short = np.repeat(sizes <= 8, sizes)
+        short = np.repeat((sizes <= 8) & ~leads, sizes)
         for d in range(1, 8):
             i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]))
-            i = i[((low[i] == low[i + d]).sum(1) >= MATCHES) & (100 * np.minimum(size[i], size[i + d]) >= 85 * np.maximum(size[i], size[i + d]))]
+            i = i[_alike(low[i], size[i], low[i + d], size[i + d])]
             a.append(rep[i])
             b.append(rep[i + d])
-        for g in np.flatnonzero(sizes > 8):
+        for g in np.flatnonzero((sizes > 8) | leads):
             own = slice(heads[g], heads[g] + sizes[g])
             s, n, r = low[own], size[own], rep[own]
-            found = spanning(len(r), lambda q, s=s, n=n: np.flatnonzero(((s == s[q]).sum(1) >= MATCHES) & (100 * np.minimum(n, n[q]) >= 85 * np.maximum(n, n[q]))))
+            found = _forest(role[own], lambda q, s=s, n=n: np.flatnonzero(_alike(s, n, s[q], n[q])))
             if found:
                 i, j = np.array(found).T
                 a.append(r[i])
@@ -168,49 +191,99 @@ def _list_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _edges(a, b)
 
 
+def _forest(role: np.ndarray, hits: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    askers = np.flatnonzero(role)
+    return asked(len(role), askers, hits) if len(askers) else spanning(len(role), hits)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (task, node, ...) with every task's rows together."""
+    return rows.repartition(sized_partitions(rows.sparkSession), "task").sortWithinPartitions("task", "node")
+
+
+def hot_links(rows: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that span what is linked within the groups of ``rows`` (group, node, blocks, lead, ...), each of
+    ``blocks`` blocks. ``find`` has links of (task, node, role, ...): of rows of role 1 with all others of their task, or of
+    all with all if there are none.
+
+    First the leaders, picked by a hash with probability ``lead``, meet every block. Of two linked rows that aren't both
+    in the largest component now, one is outside: so these rows go to every block then, in blocks of their own.
+    """
+    more = [c for c in rows.columns if c not in ("group", "node", "blocks", "lead")]
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    leaders = rows.filter(F.pmod(F.xxhash64("node", F.lit(9)), F.lit(1 << 30)) / float(1 << 30) < F.col("lead"))
+    led = bounded_broadcast(cut(leaders.select("group").distinct()))
+    first = rows.join(led, "group", "left_semi").select(F.xxhash64("group", mine).alias("task"), "node", F.lit(0).alias("role"), *more)
+    guests = leaders.withColumn("block", every).select(F.xxhash64("group", "block").alias("task"), "node", F.lit(1).alias("role"), *more)
+    first = cut(find(first.unionByName(guests)).distinct())
+    placed = cut(rows.select("group", "node", "blocks").join(connected_components(first), "node", "left"))
+    sizes = placed.groupBy("group", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("component", F.when(F.col("component").isNotNull(), F.col("n"))).alias("main"), F.sum("n").alias("n"))
+    rest = placed.join(bounded_broadcast(cut(main)), "group").filter("main is null or component is null or component <> main")
+    rest = cut(rest.select("group", "node", "blocks", "n"))
+    if rest.isEmpty():
+        return first
+    turns = rest.groupBy("group").agg(F.ceil(F.first("blocks") * F.count("*") / F.first("n")).cast("int").alias("turns"))
+    turns = bounded_broadcast(cut(turns))
+    turn = F.pmod(F.xxhash64("node", F.lit(8)), F.col("turns")).cast("int")
+    again = rows.join(turns, "group").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    again = again.select(F.xxhash64("group", mine, "turn").alias("task"), "node", F.lit(0).alias("role"), *more)
+    askers = rows.join(rest.select("group", "node"), ["group", "node"], "left_semi").join(turns, "group").withColumn("block", every)
+    askers = askers.select(F.xxhash64("group", "block", turn).alias("task"), "node", F.lit(1).alias("role"), *more)
+    return first.unionByName(find(again.unionByName(askers)))
+
+
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) that span all classes (rep, n_shingles, tokens, low) whose signatures collide often enough."""
-    spark = classes.sparkSession
     keep = COORDS - MATCHES + 1
-    postings = classes.select("rep", "n_shingles", "low", F.explode("tokens").alias("token"))
-    shared = postings.select("rep", "token").withColumn("cnt", F.count("*").over(Window.partitionBy("token"))).filter("cnt > 1")
+    postings = classes.select("rep", F.explode("tokens").alias("token"))
+    # counted by sums of tasks; hot tokens are few, so their counts go to where the postings are
+    counts = cut(postings.groupBy("token").agg(F.count("*").alias("cnt")).filter("cnt > 1"))
+    hot = cut(counts.filter(F.col("cnt") > LIST_BLOCK))
+    some_hot = not hot.isEmpty()
+    if some_hot:
+        hot = bounded_broadcast(hot)
+        shared = postings.join(hot, "token", "left_anti").join(counts, "token").unionByName(postings.join(hot, "token"))
+    else:
+        shared = postings.join(counts, "token")
     # a class has COORDS tokens, so this list is short; the tokens that it has alone come first in the order
     ranked = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("cnt", "token"))).alias("own")).filter(F.size("own") >= MATCHES)
     prefix = ranked.withColumn("own", F.slice("own", 1, F.lit(keep) - (F.lit(COORDS) - F.size("own"))))
-    rows = prefix.join(classes.select("rep", "n_shingles", "low"), "rep").select("rep", "n_shingles", "low", F.explode("own").alias("p"))
-    blocks = F.ceil(F.col("p.cnt") / LIST_BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int")
-    rows = rows.select("rep", "n_shingles", "low", F.col("p.token").alias("token"), blocks.alias("blocks"), mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    task = F.when(F.col("blocks") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")))
-    rows = rows.select(task.alias("task"), "rep", "n_shingles", "low")
-    dealt = rows.repartition(sized_partitions(spark), "task").sortWithinPartitions("task", "rep")
-    return dealt.mapInArrow(_list_links, "a long, b long").distinct()
+    rows = prefix.join(classes.select("rep", "n_shingles", "low"), "rep").select(F.col("rep").alias("node"), F.col("n_shingles").alias("size"), "low", F.explode("own").alias("p"))
+    rows = rows.select(F.col("p.token").alias("group"), "node", "size", "low", F.ceil(F.col("p.cnt") / LIST_BLOCK).cast("int").alias("blocks"), (LEADERS / F.col("p.cnt")).alias("lead"))
+    few = rows.filter("blocks = 1").select(F.col("group").alias("task"), "node", F.lit(0).alias("role"), "size", "low")
+    links = _by_signatures(few)
+    if some_hot:
+        links = links.unionByName(hot_links(cut(rows.filter("blocks > 1")), _by_signatures))
+    return links.distinct()
+
+
+def _by_signatures(rows: DataFrame) -> DataFrame:
+    return dealt(rows.select("task", "node", "role", "size", "low")).mapInArrow(_list_links, "a long, b long")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(task, doc_id, set): 5 bytes of each shingle's hash."""
+    """(task, node, role, set): the hashes of the shingles."""
     for b in batches:
         sets: list[bytes] = []
-        for _, _, buf, offs in text_slices(b.column(2)):
+        for _, _, buf, offs in text_slices(b.column(3)):
             flat, at = shingle_sets(buf, offs)
-            five = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :5])
-            sets += [five[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["task", "doc_id", "shingles"])
+            sets += [flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], names=["task", "node", "role", "shingles"])
 
 
 def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, 0, 256):
-        task, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-        sets = t.column(2).to_pylist()
+        task, ids, role = (t.column(i).to_numpy() for i in range(3))
+        sets = t.column(3).to_pylist()
         heads = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1])))
         a, b = [], []
         for x, y in zip(heads, np.append(heads[1:], len(task)), strict=True):
             if y - x < 2:
                 continue
-            size = np.array([len(s) // 5 for s in sets[x:y]])
-            wide = np.zeros((size.sum(), 8), np.uint8)
-            wide[:, :5] = np.frombuffer(b"".join(sets[x:y]), np.uint8).reshape(-1, 5)
-            values, flat = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
+            size = np.array([len(s) // 8 for s in sets[x:y]])
+            values, flat = np.unique(np.frombuffer(b"".join(sets[x:y]), np.uint64), return_inverse=True)
             at = np.cumsum(size) - size
             mark = np.zeros(len(values), bool)
 
@@ -221,7 +294,7 @@ def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mark[own] = False
                 return np.flatnonzero(100 * both >= 85 * (size + size[q] - both))
 
-            found = spanning(y - x, linked)
+            found = _forest(role[x:y], linked)
             if found:
                 i, j = np.array(found).T
                 a.append(ids[x:y][i])
@@ -230,28 +303,34 @@ def _group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed_links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (a, b) that span what is truly linked within each group (node, component) of documents, by their full sets."""
-    spark = docs.sparkSession
+    """Links (a, b) that span what is truly linked within each group (node, component, n_shingles) of documents, by their
+    full sets."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+
+    def by_sets(rows: DataFrame) -> DataFrame:
+        # a document may be wanted by several tasks, and its text is read where it lies if these are few
+        wanted = bounded_broadcast(cut(rows.select("task", "node", "role")))
+        packed = texts.join(wanted, "node").select("task", "node", "role", "text").mapInArrow(_packed, "task long, node long, role int, shingles binary")
+        return dealt(packed).mapInArrow(_group_links, "a long, b long")
+
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     blocks = F.ceil(F.greatest(F.col("n") / GROUP_BLOCK, F.col("w") / GROUP_SHINGLES)).cast("int")
-    dealt = groups.join(sizes, "component").select("node", "component", blocks.alias("blocks"))
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.when(F.col("blocks") == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")))
-    dealt = cut(dealt.select(F.col("node").alias("doc_id"), task.alias("task")))
-    small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(bounded_broadcast(dealt), "doc_id").select("task", "doc_id", "text")
-    packed = texts.mapInArrow(_packed, "task long, doc_id long, shingles binary")
-    dealt = packed.repartition(sized_partitions(spark), "task").sortWithinPartitions("task", "doc_id")
-    return dealt.mapInArrow(_group_links, "a long, b long")
+    lead = F.least(LEADERS / F.col("n"), 0.5 * GROUP_SHINGLES / F.col("w"))
+    sizes = bounded_broadcast(cut(sizes.select("component", blocks.alias("blocks"), lead.alias("lead"))))
+    rows = cut(groups.join(sizes, "component").select(F.col("component").alias("group"), "node", "blocks", "lead"))
+    links = by_sets(rows.filter("blocks = 1").select(F.col("group").alias("task"), "node", F.lit(0).alias("role")))
+    large = rows.filter("blocks > 1")
+    return links if large.isEmpty() else links.unionByName(hot_links(large, by_sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Documents are linked if 100 * intersection >= 85 * union of their shingle sets. Null texts and texts without words
-    have an empty set and stand alone; with fewer than 5 words, the whole sequence is the one shingle. Rows that share
-    a doc_id are one node. A null doc_id stands alone: its component is null, and it is kept. Empty tables give no rows.
+    have an empty set and stand alone; with fewer than 5 words, the whole sequence is the one shingle. Very long texts
+    count with all their shingles. Rows that share a doc_id are one node. A null doc_id stands alone: its component is
+    null, and it is kept. Empty tables give no rows.
     """
     sets = cut(signed(docs))
     real = sets.filter("n_shingles > 0 and doc_id is not null")

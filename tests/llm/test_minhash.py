@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import minhash
 
@@ -80,6 +81,57 @@ def test_blocks_of_hot_lists_and_groups_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("leaders", [0, 1, 4])
+def test_rows_outside_the_largest_component_lose_no_link(spark, monkeypatch, leaders):
+    """Two families in the same hot lists, a chain, a shared passage: with few leaders or none, most rows are asked again."""
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 4)
+    monkeypatch.setattr(minhash, "GROUP_BLOCK", 4)
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 9999, 200)]
+    rows = []
+    for i in range(40):
+        copy = list(base[:140]) + [f"f{i % 2}x{j}" for j in range(60)] if i < 30 else list(base)
+        copy[int(rng.integers(140))] = f"v{i}"
+        rows.append((i, " ".join(copy)))
+    for i in range(10):
+        base[i * 7] = f"c{i}"
+        rows.append((40 + i, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_rows_of_a_hot_group_are_dealt_in_proportion(spark, monkeypatch):
+    """10^6 alike rows: what goes to the tasks is the rows and some leaders for each block."""
+    seen = []
+
+    def find(rows):
+        seen.append(rows.count())
+        nodes = rows.filter("role = 0").select("node")
+        return nodes.select(F.lit(0).cast("long").alias("a"), F.col("node").alias("b")).filter("b > 0")
+
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit(5).alias("group"), F.col("id").alias("node"), F.lit(-(-n // minhash.LIST_BLOCK)).alias("blocks"), F.lit(minhash.LEADERS / n).alias("lead"))
+    monkeypatch.setattr(minhash, "connected_components", lambda edges, **_: edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(spark.createDataFrame([(0, 0)], "node long, component long")))
+    assert minhash.hot_links(rows, find).count() == n - 1
+    assert len(seen) == 1 and seen[0] < 1.03 * n
+
+
+def test_words_of_equal_power_sums_are_not_linked(spark):
+    words = ["".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(2048)) for swap in (0, 1)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 1]
+
+
+def test_unfinished_components_raise(spark):
+    from pulsegrid.llm.common import connected_components
+
+    chain = spark.range(64).selectExpr("id as a", "id + 1 as b")
+    assert {r["component"] for r in connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(chain, rounds=1)
+
+
 def test_spanning_forest_joins_what_is_linked():
     rng = np.random.default_rng(6)
     for _ in range(30):
