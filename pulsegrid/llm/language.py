@@ -21,8 +21,9 @@ from .subwords import Words, hash_sample, remainder
 BITS, SIZES = 17, (2, 4)
 #: The model is fitted on about so many documents of all languages together, each of at most so many characters.
 SAMPLE_ROWS, SAMPLE_CHARS = 1600, 20_000
-#: Sequences of so many words are made of pieces of the sampled documents, switching language now and then.
-SEQUENCE, EPOCHS = 40, 3
+#: Sequences of so many words are made of pieces of the sampled documents, switching language now and then; the fit sees
+#: EPOCHS times the sample's words, or SAMPLE_WORDS if it has more.
+SEQUENCE, EPOCHS, SAMPLE_WORDS = 40, 3, 240_000
 #: Chains are run side by side in lanes of CORE words with HALO words of context on either side.
 CORE, HALO = 96, 16
 
@@ -132,7 +133,7 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, rate: float
     by_lang = [[p for p, (lang, _) in enumerate(pieces) if lang == k] for k in range(len(langs))]
     with_text = [k for k in range(len(langs)) if by_lang[k]]
     batch = 64
-    rounds = max(1, epochs * min(sum(len(r) for _, r in pieces), 240_000) // (SEQUENCE * batch))
+    rounds = max(1, epochs * min(sum(len(r) for _, r in pieces), SAMPLE_WORDS) // (SEQUENCE * batch))
     eye = np.eye(len(langs))
     for _ in range(rounds):
         gold = np.zeros((SEQUENCE, batch), np.int64)
@@ -175,15 +176,19 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     """Learns from the bounded sample of documents with a lang whose crc32(doc_id) mod 5 is not 0."""
     own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).filter(remainder("doc_id", 5) != 0).filter("text is not null")
     own = own.filter(F.char_length("text") <= chars)
-    few = own.filter("lang is not null").select("lang").distinct().count()
+    few = own.filter("lang is not null").select("lang").distinct().count()  # hash_sample raises if they are too many
     sample = hash_sample(own, "lang", "doc_id", max(20, rows // max(few, 1))).select("text", "lang").orderBy(F.xxhash64("text", "lang")).toArrow()
     return train(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score, shares, switches) for every row of ``docs``: shares maps each language to its mean
-    posterior, switches counts changes of language between successive words. Null texts and texts without a letter
-    are ``und`` with score 0; so is everything if there was nothing to learn from."""
+    """(doc_id, lang_pred, score, shares, switches) for every row of ``docs`` (doc_id, text; other columns are ignored):
+    shares maps each language to its mean posterior, switches counts changes of language between successive words.
+
+    Null and empty texts, and texts without a letter, are ``und`` with score 0; so is everything if there was nothing to
+    learn from. Very long texts count with all their words. Of tied languages the first by name is taken. Repeated rows
+    are judged alike, a null doc_id is judged like others. Empty tables give no rows.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB for four languages, whatever the input
     langs = model.langs if model else []

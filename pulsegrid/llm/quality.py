@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
+from .common import BROADCAST_ROWS, bounded_broadcast, cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import hash_sample, remainder
 
 #: The classifier is fitted on at most about so many labelled rows of each class.
@@ -23,6 +23,8 @@ SAMPLE_ROWS = 3000
 #: A document is rejected if its probability of being good is below this.
 THRESHOLD = 0.5
 FEATURES = 16
+#: A site of more rows is dealt to SALTS tasks where sites are too many to broadcast.
+HOT_ROWS, SALTS = 1_000_000, 256
 #: One document never tells more than this about itself, as a logarithm of odds.
 LIMIT = 12.0
 
@@ -113,7 +115,9 @@ def train(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1.0) -> Mod
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learns from labelled rows (quality 0 or 1) whose crc32(doc_id) mod 4 is not 2; only the sampled texts' features
     come to the driver."""
-    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("quality in (0, 1)").filter(remainder("doc_id", 4) != 2).dropDuplicates(["doc_id"])
+    own = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).filter("quality in (0, 1)").filter(remainder("doc_id", 4) != 2)
+    # a document of which labels differ teaches nothing
+    own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
     share = own.agg(F.avg("quality")).first()[0]
     picked = hash_sample(own, "quality", "doc_id", rows)
     small_batches(docs.sparkSession)
@@ -125,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["y", "x"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # about 2 * rows rows
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").limit(8 * rows + 1000)  # at most so many labels, also if one doc_id has any number of texts
     sample = texts.select("quality", "text").mapInArrow(run, "y int, x array<double>").toPandas()
     x = np.array(sample["x"].tolist(), float).reshape(-1, FEATURES)
     order = np.lexsort(x.T)  # sums in an order of their own
@@ -194,13 +198,26 @@ def source_path() -> Column:
     return F.coalesce(F.nullif(rest, F.lit("")), F.col("lang"), F.lit(""))
 
 
+def with_sites(rows: DataFrame, sites: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``sites`` on _host and _path: a small table goes to the rows; a larger one is shuffled with
+    them, sites of more than HOT_ROWS rows SALTS times, so that their rows can be dealt to as many tasks."""
+    if sites.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(sites), ["_host", "_path"])
+    salted = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HOT_ROWS, SALTS - 1).otherwise(0))))
+    hot = bounded_broadcast(cut(sites.filter(F.col("n") > HOT_ROWS).select("_host", "_path", F.lit(SALTS).alias("_salts"))))
+    salt = F.coalesce(F.pmod(F.xxhash64("text"), F.col("_salts")), F.lit(0)).cast("int")
+    return rows.join(hot, ["_host", "_path"], "left").withColumn("_salt", salt).drop("_salts").join(salted, ["_host", "_path", "_salt"]).drop("_salt")
+
+
 def judged(docs: DataFrame, model: Model, host: Column | None = None, path: Column | None = None) -> DataFrame:
     """``docs`` with evidence, site (the posterior share of good documents at the row's path, without the row itself),
     probability and accepted appended (columns of these names are replaced).
 
-    Null sources and languages are sites of their own. Empty texts are judged by their features like others. Rows of
-    equal texts and sites are judged alike. Empty tables give no rows. Sites are aggregated before any shuffle; their
-    table is broadcast only if it is small.
+    Null sources and languages are sites of their own. Null and empty texts are judged by their features, zeros, like
+    others; very long texts by those of the whole. Rows of equal texts and sites are judged alike, and repeated rows count
+    as rows each. A probability of exactly THRESHOLD is accepted. Empty tables give no rows. Sites are aggregated before
+    any shuffle; their table is broadcast if it is small, else the evidence is joined with the sites by salted keys, so
+    that a hot site is many tasks.
     """
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("evidence", "site", "probability", "accepted", "_host", "_path")))
     keyed = plain.withColumns({"_host": source_host() if host is None else host, "_path": source_path() if path is None else path})
@@ -215,8 +232,7 @@ def judged(docs: DataFrame, model: Model, host: Column | None = None, path: Colu
     hosts = cut(hosts.select("_host", F.col("n").alias("hn"), F.col("s").alias("hs")))
     nested = paths.join(hosts, "_host")
     k2 = _strength(nested, (F.col("hs") + k1 * share) / (F.col("hn") + k1))
-    sites = bounded_broadcast(cut(nested))
-    rows = with_evidence(keyed, model).join(sites, ["_host", "_path"])
+    rows = with_sites(with_evidence(keyed, model), cut(nested))
     own = _sigmoid(F.round(F.col("evidence") * 10) / 10 + offset)
     above = (F.col("hs") - own + k1 * share) / (F.col("hn") - 1 + k1)
     site = (F.col("s") - own + k2 * above) / (F.col("n") - 1 + k2)

@@ -66,12 +66,20 @@ def remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+#: A sample may be split by so many different keys.
+MOST_KEYS = 1000
+
+
 def hash_sample(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
     """The rows of each value of ``key`` with the lowest hashes of ``id_col``: about ``rows`` of them (all if there are
-    fewer). The number of values of ``key`` must be small; null keys are left out."""
-    counts = {r[key]: r["n"] for r in df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).collect()}
+    fewer); null keys are left out. More than MOST_KEYS values are an error. However often an id is repeated, there are
+    no more than four times as many rows as are wanted."""
+    got = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).limit(MOST_KEYS + 1).collect()
+    if len(got) > MOST_KEYS:
+        raise ValueError(f"{key} has more than {MOST_KEYS} values")
+    counts = {r[key]: r["n"] for r in got}
     if not counts:
         return df.limit(0)
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))))
     spot = F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    return df.filter(F.col(key).isNotNull() & (spot < F.element_at(share, F.col(key))))
+    return df.filter(F.col(key).isNotNull() & (spot < F.element_at(share, F.col(key)))).limit(4 * sum(min(rows, n) for n in counts.values()) + 1000)

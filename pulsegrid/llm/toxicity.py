@@ -163,13 +163,14 @@ def train(texts: list[str], labels: np.ndarray, window: int = WINDOW, warm: int
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """(text, toxic): the bounded sample of labelled rows whose crc32(doc_id) mod 4 is not 2. Null labels and texts are
-    left out."""
+    left out, and so are longer texts than ``chars``."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("toxic in (0, 1)").filter(remainder("doc_id", 4) != 2)
     # a document of which labels differ teaches nothing
     own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other").drop("other")
     picked = hash_sample(own, "toxic", "doc_id", rows)
     texts = docs.select(F.col("doc_id").cast("long"), "text").filter(F.char_length("text") <= chars)
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").filter("text is not null").orderBy(F.xxhash64("text", "toxic"))  # about 2 * rows rows, so it is broadcast
+    found = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic").filter("text is not null")  # at most 8 * rows + 1,000 rows
+    return found.limit(8 * rows + 1000).orderBy(F.xxhash64("text", "toxic"))  # also if one doc_id has any number of texts
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
