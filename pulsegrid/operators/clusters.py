@@ -30,6 +30,25 @@ def centroids(vectors: DataFrame) -> DataFrame:
     return vectors.select("label", F.posexplode("f").alias("pos", "v")).groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.avg(F.col("v").cast("double")).alias("mean"))
 
 
+def label_rows(vectors: DataFrame) -> DataFrame:
+    """(label, place, id): each label's rows in the order of their ids, from place 0."""
+    w = Window.partitionBy("label").orderBy("id")
+    return vectors.select("label", (F.row_number().over(w) - 1).cast("long").alias("place"), "id")
+
+
+def moved_centroids(vectors: DataFrame, moves: DataFrame) -> DataFrame:
+    """(label, pos, mean) after the rows of ``moves`` (id, label) have gone to other labels: only they are added up again,
+    and taken from and given to the sums of the labels they leave and join. A label that loses all rows has no mean."""
+    def sums(rows: DataFrame, sign: int) -> DataFrame:
+        return rows.select("label", F.posexplode("f").alias("pos", "v")).select("label", F.col("pos").cast("long").alias("pos"), (F.col("v").cast("double") * sign).alias("s"), F.lit(sign).alias("n"))
+
+    went = vectors.join(moves.withColumnRenamed("label", "_new"), "id").filter("label <> _new")
+    every = sums(vectors, 1).groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    change = sums(went, -1).unionByName(sums(went.drop("label").withColumnRenamed("_new", "label"), 1)).groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    total = every.unionByName(change).groupBy("label", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return total.filter("n > 0").select("label", "pos", (F.col("s") / F.col("n")).alias("mean"))
+
+
 def centroid_distances(means: DataFrame) -> DataFrame:
     """(label1, label2, distance) of label1 < label2."""
     a = means.select(F.col("label").alias("label1"), "pos", F.col("mean").alias("a"))
@@ -53,7 +72,7 @@ def nearest_centroid(vectors: DataFrame, means: DataFrame) -> DataFrame:
     def gap(k: Column) -> Column:
         return F.struct(F.aggregate(F.zip_with("f", k["c"], lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v).alias("d"), k["label"].alias("label"))
 
-    one = every.withColumn("_one", F.lit(1))
+    one = every.withColumn("_one", F.lit(1))  # K centroids, as many as a clustering asks for
     return vectors.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").select("id", F.array_min(F.transform("every", gap))["label"].alias("nearest"))  # one row of K centroids
 
 

@@ -9,37 +9,42 @@ from pyspark.sql import functions as F
 
 
 def sliding_dot(samples: DataFrame, kernels: DataFrame, size: int, block: int = 50_000) -> DataFrame:
-    """(neuron_id, t, dot): for every start t < N - size of a recording of N samples, the sum over channels and places of
-    sample times kernel. ``kernels``: neuron_id, channel, k, v. Blocks with a halo of size - 1 samples are correlated in
-    numpy, a channel at a time, and the channels' parts summed."""
+    """(neuron_id, t, dot, near): for every start t < N - size of a recording of N samples, the sum over channels and
+    places of sample times kernel, and the part of it from channels that are ``near``. ``kernels``: neuron_id, channel, k,
+    v, and near (boolean; all are if there is no such column). Blocks with a halo of size - 1 samples are correlated in
+    numpy, a channel at a time, and the channels' parts summed; a channel that ends early is silent from then on."""
     n = samples.agg(F.max("t").alias("n")).select((F.col("n") + 1).alias("n"))
     b = F.floor(F.col("t") / block)
     back = F.floor(F.greatest(F.col("t") - (size - 1), F.lit(0)) / block)
     halo = samples.select("channel", "t", F.col("x").cast("double").alias("x"), F.explode(F.sequence(back, b)).alias("block"))
-    shapes = kernels.groupBy("channel", "neuron_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v")))).alias("p"))
-    blocks = halo.select("channel", "block").distinct().join(shapes, "channel").toDF("of", "part_of", "neuron_id", "p")
+    if "near" not in kernels.columns:
+        kernels = kernels.withColumn("near", F.lit(True))
+    shapes = kernels.groupBy("channel", "neuron_id", "near").agg(F.array_sort(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v")))).alias("p"))
+    blocks = halo.select("channel", "block").distinct().join(shapes, "channel").toDF("of", "part_of", "neuron_id", "near", "p")
+    schema = "neuron_id long, t long, near boolean, part double"
 
     def correlate(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"neuron_id": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "part": pa.array([], pa.float64())})
+            return pa.table({"neuron_id": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "near": pa.array([], pa.bool_()), "part": pa.array([], pa.float64())})
         at, x = left.column("t").to_numpy(), left.column("x").to_numpy()
         start = int(left.column("block")[0].as_py()) * block
         wide = np.zeros(int(at.max()) - start + 1 + size)
         wide[at - start] = x
         count = min(block, int(at.max()) - start + 1)
-        ids, times, parts = [], [], []
-        for i, p in zip(right.column("neuron_id").to_pylist(), right.column("p").to_pylist(), strict=True):
+        ids, times, near, parts = [], [], [], []
+        for i, own, p in zip(right.column("neuron_id").to_pylist(), right.column("near").to_pylist(), right.column("p").to_pylist(), strict=True):
             kernel = np.zeros(size)
             for v in p:
                 kernel[v["k"]] = v["v"]
             ids.append(np.full(count, i))
             times.append(np.arange(start, start + count))
+            near.append(np.full(count, own))
             parts.append(np.correlate(wide[: count + size - 1], kernel, "valid")[:count])
-        return pa.table({"neuron_id": np.concatenate(ids).astype(np.int64), "t": np.concatenate(times).astype(np.int64), "part": np.concatenate(parts)})
+        return pa.table({"neuron_id": np.concatenate(ids).astype(np.int64), "t": np.concatenate(times).astype(np.int64), "near": np.concatenate(near), "part": np.concatenate(parts)})
 
-    parts = halo.groupBy("channel", "block").cogroup(blocks.groupBy("of", "part_of")).applyInArrow(correlate, "neuron_id long, t long, part double")
-    total = parts.groupBy("neuron_id", "t").agg(F.sum("part").alias("dot"))
-    return total.join(F.broadcast(n), F.col("t") < F.col("n") - size).select("neuron_id", "t", "dot")  # n is one row
+    parts = halo.groupBy("channel", "block").cogroup(blocks.groupBy("of", "part_of")).applyInArrow(correlate, schema)
+    total = parts.groupBy("neuron_id", "t").agg(F.sum("part").alias("dot"), F.sum(F.when(F.col("near"), F.col("part")).otherwise(0.0)).alias("near"))
+    return total.join(F.broadcast(n), F.col("t") < F.col("n") - size).select("neuron_id", "t", "dot", "near")  # n is one row
 
 
 def energy(kernels: DataFrame) -> DataFrame:
@@ -55,10 +60,12 @@ def match_scores(samples: DataFrame, kernels: DataFrame, size: int) -> DataFrame
 
 def gated_scores(samples: DataFrame, kernels: DataFrame, patches: DataFrame, size: int) -> DataFrame:
     """(neuron_id, t, patch_score, full_score): the score over the neuron's patch (neuron_id, channel), and where that is
-    above 0 the score over all channels, else the patch's again."""
-    near = match_scores(samples, kernels.join(patches, ["neuron_id", "channel"]), size).withColumnRenamed("score", "patch_score")
-    full = match_scores(samples, kernels, size).withColumnRenamed("score", "all_score")
-    both = near.join(full, ["neuron_id", "t"])
+    above 0 the score over all channels, else the patch's again. Both come from one pass over the samples."""
+    own = patches.select("neuron_id", "channel", F.lit(True).alias("near")).distinct()
+    marked = kernels.join(own, ["neuron_id", "channel"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    power = marked.groupBy("neuron_id").agg(F.sum(F.col("v") * F.col("v")).alias("energy"), F.sum(F.when(F.col("near"), F.col("v") * F.col("v")).otherwise(0)).alias("near_energy"))
+    both = sliding_dot(samples, marked, size).join(power, "neuron_id")
+    both = both.select("neuron_id", "t", (2 * F.col("near") - F.col("near_energy")).alias("patch_score"), (2 * F.col("dot") - F.col("energy")).alias("all_score"))
     return both.select("neuron_id", "t", "patch_score", F.when(F.col("patch_score") > 0, F.col("all_score")).otherwise(F.col("patch_score")).alias("full_score"))
 
 

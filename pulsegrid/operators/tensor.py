@@ -56,6 +56,27 @@ def values_at(cells: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(cells, on, "left").select(*places.columns, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def sizes(cells: DataFrame) -> DataFrame:
+    """(dims, total, n1, n2, ...): the sizes of a dense array, the number of them without trailing sizes of 1 (at least
+    2), and their product. An empty array has sizes of 0."""
+    names = [c for c in cells.columns if c != "value"]
+    found = cells.agg(*(F.coalesce(F.max(c) + 1, F.lit(0)).cast("long").alias(f"n{d}") for d, c in enumerate(names, 1)))
+    total, dims = F.lit(1).cast("long"), F.lit(min(2, len(names)))
+    for d in range(1, len(names) + 1):
+        total = total * F.col(f"n{d}")
+        if d > 2:
+            dims = F.when(F.col(f"n{d}") != 1, d).otherwise(dims)
+    return found.select(dims.cast("int").alias("dims"), total.alias("total"), *(f"n{d}" for d in range(1, len(names) + 1)))
+
+
+def with_values(cells: DataFrame, updates: DataFrame) -> DataFrame:
+    """``cells`` with the values of ``updates`` (the same index columns, value) in place of their own; places outside the
+    array change nothing, and of several updates of a cell the largest value counts."""
+    names = [c for c in cells.columns if c != "value"]
+    new = updates.groupBy(*names).agg(F.max("value").alias("_new"), F.lit(True).alias("_set"))
+    return cells.join(new, names, "left").select(*names, F.when(F.col("_set"), F.col("_new")).otherwise(F.col("value")).alias("value"))
+
+
 def with_value(cells: DataFrame, value: float, **at: int) -> DataFrame:
     """One cell set; a place outside the array changes nothing."""
     here = F.lit(True)

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.isotonic import decreasing, increasing, up_down
-from ..operators import clips, clusters, detect, features, scoring, spatial, tensor
+from ..functions.isotonic import decreasing, down_up, increasing, up_down
+from ..operators import clips, clusters, detect, features, scoring, series, spatial, tensor
+from ..sources import arrays, channels
+from ..sources.folders import shared_folder
 from . import calibration as cal
 from . import sorting
 
@@ -152,8 +154,11 @@ def patch_samples(spark, sf_dir):
 
 @query("SELECT event_type AS channel, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def channel_split(spark, sf_dir):
-    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.round(F.col("value") * 100).cast("long").alias("x"))
-    return rows.groupBy("channel").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    """Through a table partitioned by channel."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("t"), F.round(F.col("value") * 100).cast("long").alias("x"))
+    at = shared_folder(spark, "split")
+    channels.split_into_channels(rows, at)
+    return channels.read_channels(spark, at).groupBy("channel").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
 
 
 # --- scores
@@ -162,13 +167,6 @@ KERNEL = {0: (-2, 5, -1), 1: (1, 0, 3), 2: (4, -3, 1)}
 _KERNEL_SQL = "kernel AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {k}, {v})" for c, vs in KERNEL.items() for k, v in enumerate(vs)) + ") AS x(c, k, v))"
 
 
-def _devices(spark, sf_dir):
-    """Three users are the channels of a device; a neuron of each device has the same kernel."""
-    s = signal(spark, sf_dir).select(F.floor(F.col("channel") / 3).alias("neuron_id"), (F.col("channel") % 3).alias("c"), "t", "x")
-    ends = s.groupBy("neuron_id").agg(F.max("t").alias("n"))
-    return s, ends
-
-
 @query(f"""WITH {SIG}, {_KERNEL_SQL}, ends AS (SELECT channel // 3 AS d, max(t) + 1 AS n FROM sig GROUP BY 1),
 starts AS (SELECT d, CAST(u AS BIGINT) AS t FROM ends, range(0, 100000) r(u) WHERE u < n - 3),
 parts AS (SELECT s.d, s.t, c, CAST(coalesce(sum(x * v), 0) AS BIGINT) AS dot FROM starts s JOIN kernel ON true LEFT JOIN sig ON sig.channel = 3 * s.d + c AND sig.t = s.t + k GROUP BY 1, 2, 3),
@@ -177,17 +175,16 @@ e AS (SELECT CAST(sum(CASE WHEN c < 2 THEN v * v ELSE 0 END) AS BIGINT) AS near,
 g AS (SELECT d AS device, t, CAST(2 * p.near - e.near AS DOUBLE) AS patch_score, CAST(2 * dot - al AS DOUBLE) AS all_score FROM p, e)
 SELECT device, t, patch_score, CASE WHEN patch_score > 0 THEN all_score ELSE patch_score END AS full_score FROM g""")
 def gated_score(spark, sf_dir):
-    s, ends = _devices(spark, sf_dir)
+    """Three users are the channels of a device; a neuron of each device has the same kernel, and two of them as its patch.
+    A device's starts end with its own longest channel."""
+    s = signal(spark, sf_dir)
+    users = s.groupBy("channel").agg(F.max("t").alias("last")).select("channel", F.floor(F.col("channel") / 3).alias("neuron_id"), (F.col("channel") % 3).alias("c"), "last")
     shape = F.array(*(F.struct(F.lit(c).alias("c"), F.array(*map(F.lit, vs)).alias("v")) for c, vs in KERNEL.items()))
-    want = ends.select("neuron_id", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 3, F.lit(0)))).alias("t"), "n").filter("t < n + 1 - 3")
-    places = want.select("neuron_id", "t", F.explode(shape).alias("s")).select("neuron_id", "t", "s.c", F.posexplode("s.v").alias("k", "v"))
-    have = s.withColumnRenamed("t", "u")
-    # short kernels: the equi-join of starts and places; long ones go by blocks (scoring.sliding_dot)
-    dots = places.withColumn("u", F.col("t") + F.col("k")).join(have, ["neuron_id", "c", "u"], "left").groupBy("neuron_id", "t").agg(
-        F.sum(F.when(F.col("c") < 2, F.coalesce("x", F.lit(0)) * F.col("v")).otherwise(0)).alias("near"), F.sum(F.coalesce("x", F.lit(0)) * F.col("v")).alias("dot"))
-    near, all_ = (sum(v * v for c in cs for v in KERNEL[c]) for cs in ((0, 1), (0, 1, 2)))
-    scored = dots.select(F.col("neuron_id").alias("device"), "t", (2 * F.col("near") - near).cast("double").alias("patch_score"), (2 * F.col("dot") - all_).cast("double").alias("all_score"))
-    return scored.select("device", "t", "patch_score", F.when(F.col("patch_score") > 0, F.col("all_score")).otherwise(F.col("patch_score")).alias("full_score"))
+    places = users.select("neuron_id").distinct().select("neuron_id", F.explode(shape).alias("s")).select("neuron_id", (3 * F.col("neuron_id") + F.col("s.c")).alias("channel"), F.posexplode("s.v").alias("k", "v"))
+    patches = users.select("neuron_id", F.explode(F.array(3 * F.col("neuron_id"), 3 * F.col("neuron_id") + 1)).alias("channel")).distinct()
+    ends = users.groupBy("neuron_id").agg((F.max("last") + 1).alias("n"))
+    found = scoring.gated_scores(s, places, patches, 3).join(ends, "neuron_id").filter("t < n - 3")
+    return found.select(F.col("neuron_id").alias("device"), "t", F.round("patch_score", 3).alias("patch_score"), F.round("full_score", 3).alias("full_score"))
 
 
 TEMPLATE = (1, -2, 4, -2, 1)
@@ -222,31 +219,25 @@ def gate_hits(spark, sf_dir):
 s AS (SELECT channel, x, CAST(i AS BIGINT) AS i, CASE WHEN down IS NULL THEN 2 * (up - x) WHEN up IS NULL THEN 2 * (x - down) ELSE up - down END AS s2 FROM o WHERE up IS NOT NULL OR down IS NOT NULL)
 SELECT channel, i, x, CAST(s2 AS BIGINT) AS twice_spacing, round(-ln(s2 / 2.0e0), 6) AS log_density, round(sqrt(s2 / 2.0e0), 6) AS root FROM s""")
 def spacing_logdensity(spark, sf_dir):
-    w = Window.partitionBy("channel").orderBy("x")
-    rows = signal(spark, sf_dir).select("channel", "x").distinct().select("channel", "x", (F.row_number().over(w) - 1).cast("long").alias("i"), F.lead("x").over(w).alias("up"), F.lag("x").over(w).alias("down"))
-    s2 = F.when(F.col("down").isNull(), 2 * (F.col("up") - F.col("x"))).when(F.col("up").isNull(), 2 * (F.col("x") - F.col("down"))).otherwise(F.col("up") - F.col("down"))
-    rows = rows.filter("up is not null or down is not null").select("channel", "i", "x", s2.alias("twice_spacing"))
-    half = F.col("twice_spacing") / F.lit(2.0)
-    return rows.withColumns({"log_density": F.round(-F.log(half), 6), "root": F.round(F.sqrt(half), 6)})
+    found = series.spacings(signal(spark, sf_dir))
+    return found.select("channel", "i", "x", "twice_spacing", F.round("log_density", 6).alias("log_density"), F.round("root", 6).alias("root"))
 
 
 @query(f"""WITH {SIG} SELECT channel, CAST(row_number() OVER w AS BIGINT) AS rank, x, CAST(sum(x) OVER (PARTITION BY channel ORDER BY x, t ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sum_x
 FROM sig WINDOW w AS (PARTITION BY channel ORDER BY x, t)""")
 def cumulative_curve(spark, sf_dir):
-    w = Window.partitionBy("channel").orderBy("x", "t")
-    return signal(spark, sf_dir).select("channel", F.row_number().over(w).cast("long").alias("rank"), "x", F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum_x"))
+    return series.cumulative(signal(spark, sf_dir))
 
 
 @query(f"WITH {SIG}, q AS (SELECT channel, x, t, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS r FROM sig) SELECT channel, x, t FROM q WHERE r = 1")
 def valley_bottom(spark, sf_dir):
-    return signal(spark, sf_dir).groupBy("channel").agg(F.min(F.struct("x", "t")).alias("m")).select("channel", "m.x", "m.t")
+    return series.least(signal(spark, sf_dir))
 
 
 @query(f"""WITH {SIG} SELECT a.channel, a.t, count(b.x) AS below, (SELECT count(*) FROM sig c WHERE c.channel = a.channel) AS n
 FROM sig a LEFT JOIN sig b ON b.channel = a.channel AND b.x < a.x GROUP BY 1, 2""")
 def empirical_share(spark, sf_dir):
-    w = Window.partitionBy("channel").orderBy("x")
-    return signal(spark, sf_dir).select("channel", "t", (F.rank().over(w) - 1).cast("long").alias("below"), F.count("*").over(Window.partitionBy("channel")).alias("n"))
+    return series.shares_below(signal(spark, sf_dir))
 
 
 _FIT = """p AS (SELECT channel, t, x, sum(x) OVER (PARTITION BY channel ORDER BY t) AS s FROM {0}),
@@ -255,6 +246,22 @@ low AS (SELECT channel, i, k, min(m) OVER (PARTITION BY channel, i ORDER BY k DE
 fit AS (SELECT channel, k AS t, max(m) AS fit FROM low GROUP BY 1, 2)"""
 
 
+# The best rising fit of every prefix (side 0) and, in reversed time, of every suffix (side 1): the greatest of the least means.
+# The peak is the first place with the least sum of both errors, up to rounding.
+_PEAK = """sides AS (SELECT channel, 0 AS side, t, x FROM src UNION ALL SELECT channel, 1, max(t) OVER (PARTITION BY channel) - t, x FROM src),
+p AS (SELECT *, sum(x) OVER (PARTITION BY channel, side ORDER BY t) AS s FROM sides),
+seg AS (SELECT a.channel, a.side, a.t AS i, b.t AS j, (b.s - a.s + a.x) / CAST(b.t - a.t + 1 AS DOUBLE) AS m FROM p a JOIN p b ON a.channel = b.channel AND a.side = b.side AND b.t >= a.t),
+low AS (SELECT s.channel, s.side, e.t AS p, s.i, s.j, min(s.m) OVER (PARTITION BY s.channel, s.side, e.t, s.i ORDER BY s.j DESC) AS m FROM seg s JOIN p e ON e.channel = s.channel AND e.side = s.side AND e.t >= s.j),
+rise AS (SELECT channel, side, p, j AS t, max(m) AS fit FROM low GROUP BY 1, 2, 3, 4),
+err AS (SELECT r.channel, r.side, r.p, sum((p.x - r.fit) * (p.x - r.fit)) AS e FROM rise r JOIN p ON p.channel = r.channel AND p.side = r.side AND p.t = r.t GROUP BY 1, 2, 3),
+ends AS (SELECT channel, max(t) AS last, 1e-12 * (1 + CAST(max(abs(x)) AS DOUBLE) * max(abs(x)) * count(*)) AS tiny FROM src GROUP BY 1),
+both_ AS (SELECT a.channel, a.p, a.e + b.e AS e, n.last, n.tiny FROM err a JOIN ends n ON n.channel = a.channel JOIN err b ON b.channel = a.channel AND b.side = 1 AND b.p = n.last - a.p WHERE a.side = 0),
+least AS (SELECT *, min(e) OVER (PARTITION BY channel) AS least FROM both_),
+peak AS (SELECT channel, min(p) AS p, any_value(last) AS last FROM least WHERE e <= least + tiny GROUP BY 1),
+fit AS (SELECT r.channel, r.t, r.fit FROM rise r JOIN peak k ON k.channel = r.channel AND r.side = 0 AND r.p = k.p
+UNION ALL SELECT r.channel, k.last - r.t, r.fit FROM rise r JOIN peak k ON k.channel = r.channel AND r.side = 1 AND r.p = k.last - k.p WHERE r.t < k.last - k.p)"""
+
+
 def _per_channel(samples: DataFrame, fit) -> DataFrame:
     import numpy as np
     import pyarrow as pa
@@ -276,19 +283,24 @@ def isotonic_fit_decreasing(spark, sf_dir):
     return _per_channel(signal(spark, sf_dir), decreasing).withColumn("fit", F.round("fit", 4))
 
 
-@query()
+@query(f"WITH {SIG}, src AS (SELECT channel, t, x FROM sig), {_PEAK} SELECT channel, t, round(fit, 4) AS fit FROM fit")
 def unimodal_fit(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), up_down)
+    return _per_channel(signal(spark, sf_dir), up_down).withColumn("fit", F.round("fit", 4))
 
 
-@query()
+@query(f"WITH {SIG}, src AS (SELECT channel, t, -x AS x FROM sig), {_PEAK} SELECT channel, t, round(-fit, 4) AS fit FROM fit")
 def valley_fit(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), lambda y: -up_down(-y))
+    return _per_channel(signal(spark, sf_dir), down_up).withColumn("fit", F.round("fit", 4))
 
 
 # --- feature vectors
 
 
+def _stretched(spark, sf_dir):
+    """The vectors with their components times the roots of 1, 2, 3, ..., since their own lengths are all alike."""
+    return vectors(spark, sf_dir).withColumn("f", F.transform("f", lambda v, i: v * F.sqrt(i + F.lit(1.0))))
+
+
 @query(f"WITH {VEC}, {CEN} SELECT label, pos, round(mean, 6) AS mean FROM cen")
 def centroids(spark, sf_dir):
     return clusters.centroids(vectors(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
@@ -324,10 +336,10 @@ def dense_relabel(spark, sf_dir):
     return clusters.dense_relabel(vectors(spark, sf_dir).withColumn("label", 3 * F.col("label") + 2))
 
 
-@query(f"""WITH {VEC}, q AS (SELECT id, label, sum(v * v) AS q FROM vec WHERE pos < 3 GROUP BY 1, 2), m AS (SELECT label, row_number() OVER (ORDER BY min(q), label) AS r FROM q GROUP BY 1),
+@query(f"""WITH {VEC}, q AS (SELECT id, label, sum(v * v * (pos + 1)) AS q FROM vec GROUP BY 1, 2), m AS (SELECT label, row_number() OVER (ORDER BY min(q), label) AS r FROM q GROUP BY 1),
 k AS (SELECT label, CASE WHEN r <= 2 THEN 0 ELSE sum(CASE WHEN r > 2 THEN 1 ELSE 0 END) OVER (ORDER BY label) END AS n FROM m) SELECT vec_id AS id, CAST(n AS BIGINT) AS label FROM embeddings e JOIN k ON k.label = e.label""")
 def drop_two_closest(spark, sf_dir):
-    return clusters.drop_two_closest(vectors(spark, sf_dir).withColumn("f", F.slice("f", 1, 3)))
+    return clusters.drop_two_closest(_stretched(spark, sf_dir))
 
 
 @query(f"WITH {VEC} SELECT CAST(pos AS BIGINT) AS pos, round(sum(v * v), 6) AS energy FROM vec GROUP BY 1")
@@ -335,9 +347,9 @@ def component_energy(spark, sf_dir):
     return clusters.component_energy(vectors(spark, sf_dir)).withColumn("energy", F.round("energy", 6))
 
 
-@query(f"WITH {VEC} SELECT CAST(label AS BIGINT) AS label, round(min(q), 6) AS least FROM (SELECT id, label, sum(v * v) AS q FROM vec WHERE pos < 3 GROUP BY 1, 2) GROUP BY 1")
+@query(f"WITH {VEC} SELECT CAST(label AS BIGINT) AS label, round(min(q), 6) AS least FROM (SELECT id, label, sum(v * v * (pos + 1)) AS q FROM vec GROUP BY 1, 2) GROUP BY 1")
 def least_norm(spark, sf_dir):
-    v = vectors(spark, sf_dir).withColumn("f", F.slice("f", 1, 3))
+    v = _stretched(spark, sf_dir)
     return v.groupBy("label").agg(F.round(F.min(clusters.norm_squared("f")), 6).alias("least"))
 
 
@@ -399,6 +411,124 @@ def as_int16(spark, sf_dir):
     return tensor.as_stored(cells, "int16").withColumn("value", F.col("value").cast("int"))
 
 
+@query(f"WITH {_CELLS} SELECT CAST(2 AS INTEGER) AS dims, n1 * n2 AS total, n1, n2 FROM (SELECT CAST(max(i1) + 1 AS BIGINT) AS n1, CAST(max(i2) + 1 AS BIGINT) AS n2 FROM cells)")
+def array_sizes(spark, sf_dir):
+    return tensor.sizes(_cells(spark, sf_dir))
+
+
+@query("SELECT i AS i1, j AS i2, 0.0e0 AS value FROM range(0, 3) a(i), range(0, (SELECT count(*) FROM embeddings)) b(j)")
+def allocate(spark, sf_dir):
+    """Zeros for three numbers of every vector."""
+    return tensor.allocate(spark, 3, read(spark, sf_dir, "embeddings").count())
+
+
+@query(f"WITH {_CELLS} SELECT i1, i2, CASE WHEN i1 = i2 % 70 THEN CAST(i2 AS DOUBLE) ELSE value END AS value FROM cells")
+def set_values(spark, sf_dir):
+    """Some of the updates lie outside the array."""
+    updates = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 70).alias("i1"), F.col("vec_id").alias("i2"), F.col("vec_id").cast("double").alias("value"))
+    return tensor.with_values(_cells(spark, sf_dir), updates)
+
+
+def _stored(spark, sf_dir, kind: str, scale: float, plain: str) -> DataFrame:
+    return tensor.as_stored(_cells(spark, sf_dir).withColumn("value", F.col("value") * scale), kind).withColumn("value", F.col("value").cast(plain))
+
+
+_WRAP = "SELECT i1, i2, CAST((((CAST(trunc(value * {scale}) AS BIGINT) - ({low})) % {span}) + {span}) % {span} + ({low}) AS {kind}) AS value FROM cells"
+
+
+@query(f"WITH {_CELLS} " + _WRAP.format(scale="10000", low="0", span="256", kind="INTEGER"))
+def as_uint8(spark, sf_dir):
+    return _stored(spark, sf_dir, "uint8", 10000, "int")
+
+
+@query(f"WITH {_CELLS} " + _WRAP.format(scale="1000000", low="0", span="65536", kind="INTEGER"))
+def as_uint16(spark, sf_dir):
+    return _stored(spark, sf_dir, "uint16", 1000000, "int")
+
+
+@query(f"WITH {_CELLS} " + _WRAP.format(scale="20000000000", low="-2147483648", span="4294967296", kind="INTEGER"))
+def as_int32(spark, sf_dir):
+    return _stored(spark, sf_dir, "int32", 20000000000, "int")
+
+
+@query(f"WITH {_CELLS} SELECT i1, i2, CAST(CAST(value * 0.7e0 AS FLOAT) AS DOUBLE) AS value FROM cells")
+def as_float32(spark, sf_dir):
+    return _stored(spark, sf_dir, "float32", 0.7, "double")
+
+
+@query(f"WITH {_CELLS} SELECT i1, i2, CAST(CAST(value * 0.7e0 AS FLOAT) AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM cells")
+def as_complex64(spark, sf_dir):
+    cells = tensor.as_stored(_cells(spark, sf_dir).withColumn("value", F.col("value") * 0.7), "complex64")
+    return cells.select("i1", "i2", F.col("value.re").cast("double").alias("re"), F.col("value.im").cast("double").alias("im"))
+
+
+@query(f"WITH {_CELLS} SELECT i2 % 8 AS name, (i2 // 8) * 64 + i1 AS idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM cells")
+def array_files_round_trip(spark, sf_dir):
+    """The vectors in eight array files of 32-bit floats, written by the tasks and read by ranges of bytes."""
+    n = read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    cells = _cells(spark, sf_dir).select((F.col("i2") % 8).cast("string").alias("name"), (F.floor(F.col("i2") / 8) * 64 + F.col("i1")).alias("idx"), "value")
+    at = shared_folder(spark, "arrays")
+    arrays.write_arrays(cells, "name", (64, n // 8 + 1), at)
+    # vectors that aren't there were written as zeros
+    found = arrays.read_arrays(spark, at, chunk=1000).select(F.regexp_extract("path", r"([0-9]+)\.mda$", 1).cast("long").alias("name"), "idx", "value")
+    there = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("name"), F.floor(F.col("vec_id") / 8).alias("slot"))
+    return found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "value")
+
+
+@query("SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS place, vec_id AS id FROM (SELECT CAST(label AS BIGINT) AS label, vec_id FROM embeddings)")
+def label_rows(spark, sf_dir):
+    return clusters.label_rows(vectors(spark, sf_dir))
+
+
+@query(f"WITH {VEC}, moved AS (SELECT id, pos, v, CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM vec) SELECT label, CAST(pos AS BIGINT) AS pos, round(avg(v), 6) AS mean FROM moved GROUP BY label, pos")
+def moved_centroids(spark, sf_dir):
+    """Every seventh vector goes to the next label."""
+    v = vectors(spark, sf_dir)
+    moves = v.filter("id % 7 = 0").select("id", ((F.col("label") + 1) % 10).alias("label"))
+    return clusters.moved_centroids(v, moves).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""WITH {SIG}, q AS (SELECT channel, x, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS k FROM sig)
+SELECT CAST(k AS BIGINT) AS k, count(*) AS n, round(avg(x), 6) AS avg, round(stddev_samp(x), 6) AS sd FROM q GROUP BY k""")
+def trial_statistics(spark, sf_dir):
+    """Each channel's sorted values are a trial's curve."""
+    curves = series.cumulative(signal(spark, sf_dir)).select(F.col("rank").alias("k"), "x")
+    return series.across(curves).select("k", "n", F.round("avg", 6).alias("avg"), F.round("sd", 6).alias("sd"))
+
+
+@query(f"WITH {SIG} SELECT channel, t, x FROM sig WHERE channel % 10 = 3")
+def channel_samples(spark, sf_dir):
+    """Some channels of a table that is partitioned by channel."""
+    s = signal(spark, sf_dir)
+    at = shared_folder(spark, "channels")
+    channels.split_into_channels(s, at)
+    wanted = [r["channel"] for r in s.select("channel").distinct().filter("channel % 10 = 3").collect()]
+    return channels.read_channels(spark, at, wanted).select(F.col("channel").cast("long").alias("channel"), "t", "x")
+
+
+@query(f"""WITH {SIG}, {EXT}, lab AS (SELECT DISTINCT channel, CASE WHEN x < 0 THEN 1 ELSE 2 END AS label FROM ext),
+neu AS (SELECT CAST(row_number() OVER (ORDER BY channel, label) - 1 AS BIGINT) AS neuron_id, channel, label FROM lab)
+SELECT neuron_id, m.channel AS member FROM neu JOIN (SELECT DISTINCT channel FROM sig) m ON abs(m.channel - neu.channel) <= 2""")
+def neuron_patches(spark, sf_dir):
+    """Users lie on a line, and those up to two apart are a patch."""
+    s = signal(spark, sf_dir)
+    labels = detect.local_extrema(s, RADIUS).select("channel", F.when(F.col("x") < 0, 1).otherwise(2).alias("label"))
+    places = s.select("channel").distinct().select("channel", F.col("channel").cast("double").alias("px"), F.lit(0.0).alias("py"))
+    return spatial.neuron_patches(clips.neuron_ids(labels), spatial.adjacency(places, 2.0))
+
+
+@query(f"""WITH {SIG}, {EXT}, {CLIPS}, lab AS (SELECT c.*, CASE WHEN e.x < 0 THEN 1 ELSE 2 END AS label FROM clips c JOIN ext e ON e.channel = c.channel AND e.t = c.t)
+SELECT channel, label, k, round(avg(x), 6) AS v FROM lab WHERE channel % 10 = 3 GROUP BY 1, 2, 3""")
+def template_slice(spark, sf_dir):
+    """The templates of some channels' neurons on their own channels."""
+    s = signal(spark, sf_dir)
+    events = detect.local_extrema(s, RADIUS)
+    kinds = events.select("channel", "t", F.when(F.col("x") < 0, 1).otherwise(2).alias("label"))
+    cut = clips.extract_clips(s, events, SIZE).join(kinds, ["channel", "t"])
+    means = clips.mean_template(cut, "channel", "label")
+    return means.filter("channel % 10 = 3").select("channel", "label", "k", F.round(F.col("sum_x") / F.col("n"), 6).alias("v"))
+
+
 # --- kernels
 
 
@@ -418,21 +548,23 @@ def calibrate(spark, sf_dir):
     return cal.calibrate(signal(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n")), trials=40, length=120)
 
 
-def _calibration(spark, largest: int):
-    return cal.collected(cal.calibrate(spark.createDataFrame([(n,) for n in cal.size_grid(largest, 1.4)], "n long"), trials=100, length=100))
+def _calibration(rows: DataFrame):
+    """For all sizes that the largest channel's samples may have."""
+    spark = rows.sparkSession
+    largest = rows.groupBy("channel").count().agg(F.max("count")).first()[0] or 8
+    return cal.collected(cal.calibrate(spark.createDataFrame([(n,) for n in cal.size_grid(int(largest))], "n long")))
 
 
 @query()
 def split_channels(spark, sf_dir):
     s = signal(spark, sf_dir)
-    largest = s.agg(F.max("t")).first()[0] or 8
-    return features.split_channels(s, _calibration(spark, min(int(largest) + 1, 2000)))
+    return features.split_channels(s, _calibration(s))
 
 
 @query()
 def cluster_labels(spark, sf_dir):
-    v = vectors(spark, sf_dir).select((F.col("label") % 4).alias("channel"), F.col("id").alias("t"), F.slice("f", 1, 8).alias("f"))
-    return features.cluster_channels(v, _calibration(spark, 600), clusters=8)
+    v = vectors(spark, sf_dir).select((F.col("label") % 4).alias("channel"), F.col("id").alias("t"), "f")
+    return features.cluster_channels(v, _calibration(v), clusters=8)
 
 
 @query()
@@ -450,5 +582,5 @@ def sort_signal(spark, sf_dir):
     s = signal(spark, sf_dir)
     places = s.select("channel").distinct().select("channel", F.col("channel").cast("double").alias("px"), F.lit(0.0).alias("py"))
     settings = Settings(adjacency_radius=1.0, clip_size=SIZE, critical_time_radius=RADIUS, num_features=3, clusters=4)
-    done = sorting.sort_events(s, places, _calibration(spark, 200), settings)
+    done = sorting.sort_events(s, places, _calibration(s), settings)
     return done.labels.join(done.neurons, ["channel", "label"]).select("neuron_id", "channel", "t", "label")

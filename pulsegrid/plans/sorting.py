@@ -30,9 +30,9 @@ def sort_events(samples: DataFrame, locations: DataFrame, calibration: Calibrati
     source = spatial.detection_channels(edges, s.detect_on)
     found = detect.local_extrema_blocks if s.critical_time_radius > 64 else detect.local_extrema
     events = found(samples, s.critical_time_radius).select(F.col("channel").alias("source"), "t").join(source, "source").select("channel", "t")
-    # a channel's clip has all members of its patch
+    # a channel's clip has all members of its patch, and only their samples are looked up
     members = spatial.patch_members(edges).select("channel", "member")
-    wide = clips.extract_clips(samples, events, s.clip_size, on_channel=False).join(members, ["channel", "member"])
+    wide = clips.extract_clips(samples, events, s.clip_size, members=members)
     patch = members.groupBy("channel").agg(F.count("*").alias("_members"))
     # members whose recording ends early leave gaps; such clips are left out
     vectors = clips.clip_vectors(wide).join(patch, "channel").filter(F.size("wave") == F.col("_members") * s.clip_size).drop("_members")
@@ -48,5 +48,5 @@ def score_all(samples: DataFrame, done: Sorted, settings: Settings | None = None
     """(neuron_id, t, patch_score, full_score) of every neuron at every start."""
     size = (settings or Settings()).clip_size
     kernels = done.templates.withColumnRenamed("member", "channel")
-    patches = done.neurons.join(done.edges, F.col("channel") == F.col("i")).select("neuron_id", F.col("j").alias("channel"))
+    patches = spatial.neuron_patches(done.neurons, done.edges).withColumnRenamed("member", "channel")
     return scoring.gated_scores(samples, kernels, patches, size)

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pulsegrid.plans import calibration
 from pulsegrid.sources import arrays, channels
 from pulsegrid.streaming.extrema import stream_extrema
 
@@ -14,6 +16,63 @@ def test_array_files_come_back(spark, tmp_path, kind):
     assert got == [(i, v, (2, 3, 4)) for i, v in enumerate(values.tolist())]
 
 
+def test_a_file_of_several_ranges_and_gaps_comes_back(spark, tmp_path):
+    n = 5000
+    cells = spark.range(n).filter("id % 7 <> 3").selectExpr("if(id % 2 = 0, 'a', 'b') as name", "id as idx", "cast(id as double) / 4 as value").repartition(5)
+    assert arrays.write_arrays(cells, "name", (50, 100), str(tmp_path)) == 2
+    read = arrays.read_arrays(spark, str(tmp_path), chunk=64)
+    got = {(r["path"][-5], r["idx"]): r["value"] for r in read.collect()}
+    there = {("ab"[i % 2], i): i / 4 for i in range(n) if i % 7 != 3}
+    assert got == {(name, i): there.get((name, i), 0.0) for name in "ab" for i in range(n)}
+    # the ranges are tasks of their own, and the driver holds none of them
+    assert read.rdd.getNumPartitions() > 1
+    with pytest.raises(Exception, match="outside"):
+        arrays.write_arrays(cells.withColumn("idx", F.col("idx") + 1), "name", (50, 100), str(tmp_path / "x"))
+    assert arrays.write_arrays(cells.limit(0), "name", (50, 100), str(tmp_path / "y")) == 0
+
+
+def test_complex_values_are_kept(spark, tmp_path):
+    cells = spark.createDataFrame([("z", 0, 1.5, -2.0), ("z", 2, 0.5, 4.0)], "name string, idx long, value double, im double")
+    arrays.write_arrays(cells, "name", (3, 1), str(tmp_path), "complex64", im_col="im")
+    got = sorted((r["idx"], r["value"], r["im"]) for r in arrays.read_arrays(spark, str(tmp_path), keep_complex=True).collect())
+    assert got == [(0, 1.5, -2.0), (1, 0.0, 0.0), (2, 0.5, 4.0)]
+
+
+def test_broken_files_raise(spark, tmp_path):
+    (tmp_path / "short.mda").write_bytes(arrays.encode(np.zeros(9), (3, 3))[:-2])
+    with pytest.raises(Exception, match="shorter"):
+        arrays.read_arrays(spark, str(tmp_path)).count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        arrays.read_arrays(spark, str(tmp_path / "none")).count()
+
+
+def test_calibrations_are_kept_and_read_again(spark, tmp_path):
+    table = calibration.calibrate(spark.createDataFrame([(9,), (20,)], "n long"), trials=6, length=10)
+    calibration.save(table, str(tmp_path / "p"))
+    assert sorted(map(tuple, calibration.load(spark, str(tmp_path / "p")).collect())) == sorted(map(tuple, table.collect()))
+    assert calibration.save_text(table, str(tmp_path / "t")) == 2
+    text = (tmp_path / "t" / "calibration_20.txt").read_text().split("\n")
+    assert text[:2] == ["10", "6"] and len(text) == 2 + 10 + 6 + 1
+    (tmp_path / "t" / "other_3.txt").write_text("nothing")
+    got, want = calibration.collected(calibration.load_text(spark, str(tmp_path / "t"))), calibration.collected(table)
+    assert sorted(got.mean) == [9, 20]
+    for n in (9, 20):
+        assert all(np.allclose(x[n], y[n], atol=1e-4) for x, y in ((got.mean, want.mean), (got.sd, want.sd), (got.scores, want.scores)))
+
+
+def test_results_are_kept_and_read_again(spark, tmp_path):
+    from pulsegrid.plans.sorting import Sorted
+    from pulsegrid.sources import results
+
+    rows = spark.range(6).selectExpr("cast(id % 2 as int) as i", "id as j", "id % 2 as channel", "id as t", "id % 3 as label", "id as neuron_id", "id as member", "id as k", "array(1.0d) as f")
+    done = Sorted(*(rows.select(*cols) for cols in (("i", "j"), ("channel", "t"), ("channel", "t", "f"), ("channel", "t", "label"), ("neuron_id", "channel", "label"), ("neuron_id", "member", "k"))))
+    results.save_results(done, str(tmp_path / "r"))
+    again = results.read_results(spark, str(tmp_path / "r"))
+    for name in ("edges", "events", "features", "labels", "neurons", "templates"):
+        a, b = getattr(done, name), getattr(again, name)
+        assert a.columns == b.columns and sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+
+
 def test_recordings_and_headers(spark, tmp_path):
     (tmp_path / "r.mda").write_bytes(arrays.encode(np.arange(6.0), (2, 3)))
     got = sorted(tuple(r) for r in arrays.read_recording(spark, str(tmp_path)).collect())
