@@ -7,8 +7,10 @@
    ones, and, where that leaves doubt, the item's answer (its last sentence).
 5. Of an item with several passages, every window is also held against the passage it hit: a quote is a leak too.
 
-The benchmark is taken in blocks of about BLOCK items and PASSAGES passages at most, so that what a task holds is
-bounded; the latent space of a block has a dimension for each passage, up to RANK.
+The benchmark is taken in blocks of about BLOCK items and PASSAGES passages at most, and items of more than ITEM_WORDS
+words in parts, so that what a task holds is bounded; the latent space of a block has a dimension for each passage, up
+to RANK. Frequencies are counted for all blocks in one pass over the corpus, and one pass searches it for as many blocks
+as INDEX_BYTES hold.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, span_hashes, table, text_slices, word_spans
+from .common import cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import FOLD
 
 BLOCK, PASSAGES, RANK, POWER = 256, 512, 1024, 2
+#: Words of an item that is taken whole, bytes of the indexes that a pass carries, and words of a whole benchmark.
+ITEM_WORDS, INDEX_BYTES, MOST_TERMS = 4096, 128 << 20, 8_000_000
 #: A passage that keeps less than this share of its norm in the latent space is found by weight alone, not by cosine.
 RETAINED = 0.9
 #: Words of a passage and of a window of a document, and how far apart they begin.
@@ -104,6 +108,10 @@ class Index:
     latent: np.ndarray
     faint: np.ndarray
 
+    @property
+    def size(self) -> int:
+        return self.basis.nbytes + self.latent.nbytes + 64 * len(self.weight)
+
     def hits(self, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float, float, bool]]:
         """(document, place of the item, LCS share, cosine, answer there) of every leak in these words."""
         at, term = self.terms.find(h)
@@ -221,6 +229,41 @@ def frequencies(docs: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, int]:
     return df, int(got["n"][~own].sum())
 
 
+def item_parts(items: DataFrame) -> DataFrame:
+    """(item_id, text, last) of items (item_id, text): each text whole, or in parts of ITEM_WORDS words. Null ids and texts
+    and texts without letters are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, last = [], [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                starts = word_spans(raw, np.array([0, len(raw)]), NOT_LETTER)[0]
+                if not len(starts):
+                    continue
+                cuts = [0, *starts[ITEM_WORDS::ITEM_WORDS].tolist(), len(raw)]
+                ids += [i] * (len(cuts) - 1)
+                texts += [raw[x:y].tobytes().decode() for x, y in zip(cuts, cuts[1:])]
+                last += [False] * (len(cuts) - 2) + [True]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(last, pa.bool_())], names=["item_id", "text", "last"])
+
+    return items.filter("item_id is not null and text is not null").select("item_id", "text").mapInArrow(run, "item_id long, text string, last boolean")
+
+
+def all_words(items: DataFrame) -> np.ndarray:
+    """The hashes of the benchmark's different words, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.zeros(0, np.uint64), *(hashed_words(buf, offs)[0] for _, _, buf, offs in text_slices(b.column(0)))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(h)).view(np.int64))], names=["h"])
+
+    found = items.select("text").mapInArrow(run, "h long").distinct().limit(MOST_TERMS + 1).toArrow().column("h")
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"a benchmark of more than {MOST_TERMS} different words must be taken in several")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
 def passages(words: np.ndarray) -> list[np.ndarray]:
     starts = range(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
     return [words[s : s + PASSAGE] for s in starts]
@@ -281,26 +324,29 @@ def randomised_svd(block: DataFrame, terms: Terms, weight: np.ndarray, rank: int
     return (basis @ turn)[:, keep][:, ::-1], np.sqrt(values[keep][::-1])
 
 
-def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
-    """The index of one block (item_id, text) of the benchmark. Items without letters are left out."""
-    rows = sorted({(r["item_id"], r["text"]) for r in block.collect() if r["text"] is not None and r["item_id"] is not None})
-    rows = [(i, t, w) for i, t in rows if len(w := words_of(t))]
+def build_index(docs: DataFrame, block: DataFrame, counted: tuple[np.ndarray, np.ndarray, int] | None = None) -> Index | None:
+    """The index of one block (item_id, text, and last if there are parts) of the benchmark. Items without letters are left
+    out. ``counted``: words of the whole benchmark, their frequencies in ``docs``, and the documents; else counted here."""
+    ends = "last" in block.columns
+    rows = sorted({(r["item_id"], r["text"], r["last"] if ends else True) for r in block.collect() if r["text"] is not None and r["item_id"] is not None})
+    rows = [(i, t, w, last) for i, t, last in rows if len(w := words_of(t))]
     if not rows:
         return None
-    hashes = np.unique(np.concatenate([w for _, _, w in rows]))
-    df, total = frequencies(docs, hashes)
+    hashes = np.unique(np.concatenate([w for _, _, w, _ in rows]))
+    known, df, total = (hashes, *frequencies(docs, hashes)) if counted is None else counted
+    df = df[np.searchsorted(known, hashes)]
     weight = np.log((total + 1) / (df + 1.0))
     # the rarer half of every item's words stays, however often the item itself has leaked
     heavy = df <= max(COMMON * total, 1)
-    for _, _, w in rows:
+    for _, _, w, _ in rows:
         k = np.unique(np.searchsorted(hashes, w))
         heavy[k[np.argsort(df[k], kind="stable")[: -(-len(k) // 2)]]] = True
     hashes, weight = hashes[heavy], np.maximum(weight[heavy], 0.1)
     terms = Terms(hashes)
-    rank = min(RANK, sum(len(passages(w)) for _, _, w in rows))
+    rank = min(RANK, sum(len(passages(w)) for _, _, w, _ in rows))
     basis, _ = randomised_svd(block.filter("text is not null and item_id is not null"), terms, weight, rank)
     item, quotes, mass, norm, latent = [], [], [], [], []
-    for j, (_, _, w) in enumerate(rows):
+    for j, (_, _, w, _) in enumerate(rows):
         parts = passages(w)
         for part, (t, a) in zip(parts, passage_rows(terms, weight, w), strict=True):
             if len(t):
@@ -312,13 +358,16 @@ def build_index(docs: DataFrame, block: DataFrame) -> Index | None:
     latent = np.array(latent)
     kept = np.sqrt((latent * latent).sum(1))
     latent /= np.maximum(kept[:, None], 1e-12)
-    heavy_words = [w[terms.find(w)[0]] for _, _, w in rows]
+    heavy_words = [w[terms.find(w)[0]] for _, _, w, _ in rows]
     answers = []
-    for _, t, _ in rows:
+    for _, t, _, last in rows:
+        if not last:  # a part that isn't the end has no answer that could settle a doubt
+            answers.append(np.zeros(1, np.uint64))
+            continue
         a = words_of(_answer(t))
         own = a[terms.find(a)[0]]
         answers.append(np.unique(own if len(own) else a))
-    return Index([i for i, _, _ in rows], [w for _, _, w in rows], heavy_words, answers, terms, weight, basis.astype(np.float32), np.array(item), quotes, np.array(mass), latent.astype(np.float32), kept < RETAINED * np.array(norm))
+    return Index([i for i, _, _, _ in rows], [w for _, _, w, _ in rows], heavy_words, answers, terms, weight, basis.astype(np.float32), np.array(item), quotes, np.array(mass), latent.astype(np.float32), kept < RETAINED * np.array(norm))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -326,39 +375,51 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a passage where only that is quoted; 0 without a leak) and leaked (boolean) appended (columns of these names are
     replaced).
 
-    Null and empty texts leak nothing, and null or letterless items are left out; items of equal texts are all named.
-    Empty tables give no rows, or no leaks. No row is moved: the index goes to the documents, a block at a time.
+    Null and empty texts leak nothing, and null or letterless items are left out; items of equal texts are all named, and
+    so are the ties of a document that leaks several. Very long documents are searched whole; an item of more than
+    ITEM_WORDS words leaks if a part does. Repeated rows are searched each. Empty tables give no rows, or no leaks. No row
+    is moved: the index goes to the documents.
     """
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("leaked_items", "leak_share", "leaked")))
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    items = cut(item_parts(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))))
     blocks = max(1, -(-items.count() // BLOCK), -(-passage_count(items) // PASSAGES))
     found = plain.withColumns({"leaked_items": F.array().cast("array<long>"), "leak_share": F.lit(0.0)})
     small_batches(docs.sparkSession)
+    words = all_words(items)
+    counted = (words, *frequencies(docs, words))
+    carried: list[Index] = []
     for k in range(blocks):
-        index = build_index(docs, items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k))
-        if index is not None:
-            found = found.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(index), found.columns), found.schema)
+        index = build_index(docs, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), counted)
+        if index is None:
+            continue
+        if carried and sum(i.size for i in (*carried, index)) > INDEX_BYTES:
+            found, carried = _searched(found, carried), []
+        carried.append(index)
+    if carried:
+        found = _searched(found, carried)
     return found.withColumn("leaked_items", F.array_sort(F.array_distinct("leaked_items"))).withColumn("leaked", F.size("leaked_items") > 0)
 
 
-def _searcher(shared, columns: list[str]):
-    at, items, share = columns.index("text"), columns.index("leaked_items"), columns.index("leak_share")
+def _searched(found: DataFrame, indexes: list[Index]) -> DataFrame:
+    """One pass over ``found`` that adds what these indexes hit."""
+    shared = found.sparkSession.sparkContext.broadcast(indexes)  # about INDEX_BYTES
+    at, items, share = (found.columns.index(c) for c in ("text", "leaked_items", "leak_share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
         for b in batches:
             lists, best = b.column(items).to_pylist(), b.column(share).to_pylist()
             for i, _, buf, offs in text_slices(b.column(at).cast(pa.string())):
                 h, doc = hashed_words(buf, offs)
-                for d, j, lcs, _, _ in index.hits(h, doc) if len(h) else ():
-                    lists[i + d] = [*lists[i + d], index.ids[j]]
-                    best[i + d] = max(best[i + d], lcs)
+                for index in shared.value if len(h) else ():
+                    for d, j, lcs, _, _ in index.hits(h, doc):
+                        lists[i + d] = [*lists[i + d], index.ids[j]]
+                        best[i + d] = max(best[i + d], lcs)
             own = list(b.columns)
             own[items], own[share] = pa.array(lists, pa.list_(pa.int64())), pa.array(best, pa.float64())
             yield pa.RecordBatch.from_arrays(own, names=b.schema.names)
         give_back()
 
-    return run
+    return found.mapInArrow(run, found.schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -115,3 +115,64 @@ def test_blocks_follow_passages_and_faint_passages_are_still_found(spark, monkey
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert decontaminate.build_index(df, bench).faint.any() and decontaminate.passage_count(bench) > 40
     assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(df, bench).collect()} == {i: [truth[i]] if i in truth else [] for i in docs}
+
+
+def brute_leaks(items, docs):
+    """Every item against every place of every document: the longest common subsequence of the whole document's words, of
+    all and of the weighty ones, at the thresholds, and in doubt the answer."""
+    n, out = len(docs), {}
+    df = {}
+    for words in docs.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    for j, words in enumerate(items):
+        own = sorted(set(words), key=lambda w: (df.get(w, 0), int(decontaminate.words_of(w)[0])))  # of equally rare words, by their hashes
+        heavy = {w for w in own if df.get(w, 0) <= max(decontaminate.COMMON * n, 1)} | set(own[: -(-len(own) // 2)])
+        code = {w: k for k, w in enumerate({*words, *(w for d in docs.values() for w in d)})}
+        num = lambda x: np.array([code[w] for w in x], np.int64)
+        for i, d in docs.items():
+            rare = [w for w in words if w in heavy]
+            share = min(common_length(num(words), num(d)) / len(words), common_length(num(rare), num(d)) / len(rare))
+            told = np.mean([w in d for w in set(rare)]) >= decontaminate.ANSWER  # items without sentences are their own answer
+            if share >= decontaminate.SURE or (share >= decontaminate.DOUBT and told):
+                out.setdefault(i, []).append(j)
+    return out
+
+
+def test_leaks_equal_brute_force_over_all_pairs(spark):
+    """Items of one passage each, of which documents hold three tenths of the words or eight tenths and more, in order."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 5))
+    items = [[word() for _ in range(int(rng.integers(12, 32)))] for _ in range(25)]
+    docs = {}
+    for i in range(90):
+        part = items[int(rng.integers(25))]
+        kept = np.sort(rng.choice(len(part), int(len(part) * rng.choice([0.3, 0.8, 0.9, 1.0])), replace=False))
+        docs[i] = [word() for _ in range(int(rng.integers(0, 120)))] + [part[k] for k in kept] + [word() for _ in range(10)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(t)) for j, t in enumerate(items)], "item_id long, text string")
+    want = brute_leaks(items, docs)
+    assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(df, bench).filter("leaked").collect()} == want and 40 < len(want) < 90
+
+
+def test_one_pass_for_many_blocks_and_parts_of_very_long_items(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 6))
+    long = [word() for _ in range(3000)]
+    items = [(1, " ".join(long)), (2, " ".join(word() for _ in range(30))), (3, None), (None, "a b c"), (4, " ".join(word() for _ in range(30)))]
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 700)
+    monkeypatch.setattr(decontaminate, "PASSAGES", 50)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = decontaminate.item_parts(bench).collect()
+    assert sum(r["item_id"] == 1 for r in parts) == 5 and sum(r["last"] for r in parts) == 3
+    assert [w for r in parts if r["item_id"] == 1 for w in r["text"].split()] == long
+    docs = spark.createDataFrame([(1, " ".join(long[1200:1300])), (2, "x " + items[1][1]), (3, " ".join(word() for _ in range(300))), (4, items[0][1] + " " + items[4][1]), *((100 + i, f"filler {word()}") for i in range(100))], "doc_id long, text string")
+    passes = []
+    real = decontaminate._searched
+    monkeypatch.setattr(decontaminate, "_searched", lambda found, indexes: (passes.append(len(indexes)), real(found, indexes))[1])
+    want = {1: [1], 2: [2], 3: [], 4: [1, 4]}
+    assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).filter("doc_id < 100").collect()} == want
+    assert len(passes) == 1 and passes[0] > 3
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1)
+    assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).filter("doc_id < 100").collect()} == want
+    assert len(passes) > 4
