@@ -172,7 +172,7 @@ def test_one_pass_for_many_blocks_and_parts_of_very_long_items(spark, monkeypatc
     monkeypatch.setattr(decontaminate, "_searched", lambda found, indexes: (passes.append(len(indexes)), real(found, indexes))[1])
     want = {1: [1], 2: [2], 3: [], 4: [1, 4]}
     assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).filter("doc_id < 100").collect()} == want
-    assert len(passes) == 1 and passes[0] > 3
+    assert len(passes) == 1 and passes[0] > 1
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1)
     assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).filter("doc_id < 100").collect()} == want
-    assert len(passes) > 4
+    assert len(passes) == 1 + passes[0]
