@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Centroids that may be compared with every row.
+MOST_CENTROIDS = 10_000
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
@@ -65,7 +69,10 @@ def closest_pair(distances: DataFrame, tried: DataFrame | None = None) -> DataFr
 
 
 def nearest_centroid(vectors: DataFrame, means: DataFrame) -> DataFrame:
-    """(id, nearest): the label of the closest centroid, the lowest of equals. The centroids are as many as the labels."""
+    """(id, nearest): the label of the closest centroid, the lowest of equals. All centroids go to every row's task, so
+    more than MOST_CENTROIDS labels are an error."""
+    if means.select("label").distinct().limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        raise ValueError(f"there are more than {MOST_CENTROIDS} centroids")
     c = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("c")).select("label", F.transform("c", lambda x: x["mean"]).alias("c"))
     every = c.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("every"))
 

@@ -18,6 +18,12 @@ GRAM_ROWS = 20_000
 CLUSTER_ROWS = 20_000
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The rows of a column of arrays of one length."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 def principal_axes(vectors: DataFrame, components: int) -> DataFrame:
     """(channel, axes): the leading eigenvectors of the sums of products, without subtracting a mean; the largest entry
     of each is positive. Fewer axes than ``components`` only if the waves are shorter."""
@@ -26,7 +32,7 @@ def principal_axes(vectors: DataFrame, components: int) -> DataFrame:
     kind = dict(vectors.dtypes)["channel"]
 
     def products(t: pa.Table) -> pa.Table:
-        x = np.array(t.column("wave").to_pylist(), float)
+        x = _matrix(t.column("wave"))
         return pa.table({"channel": t.column("channel")[:1], "gram": pa.array([(x.T @ x).tobytes()], pa.binary())})
 
     def axes(t: pa.Table) -> pa.Table:
@@ -68,7 +74,7 @@ def cluster_channels(features: DataFrame, calibration: Calibration, clusters: in
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("t")
-        x = np.array(t.column("f").to_pylist(), float)
+        x = _matrix(t.column("f"))
         return pa.table({"channel": t.column("channel"), "t": t.column("t"), "label": split_clusters(x, calibration, clusters, threshold, max_iterations, seed), "f": t.column("f")})
 
     fitted = sized.filter(spot < F.lit(float(rows)) / F.col("_n")).select("channel", "t", "f").groupBy("channel").applyInArrow(run, f"channel {kind}, t {when}, label long, f array<double>")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.isotonic import decreasing, down_up, increasing, up_down
+from ..functions.isotonic import down_up, up_down
 from ..operators import clips, clusters, detect, features, scoring, series, spatial, tensor
 from ..sources import arrays, channels
 from ..sources.folders import shared_folder
@@ -86,7 +86,7 @@ def local_extrema_pairwise(spark, sf_dir):
 
 @query(f"WITH {SIG}, {EXT} SELECT channel, t, CAST(x AS DOUBLE) AS x FROM ext")
 def local_extrema_blocks(spark, sf_dir):
-    return detect.local_extrema_blocks(signal(spark, sf_dir), RADIUS, block=64)
+    return detect.local_extrema_blocks(signal(spark, sf_dir), RADIUS)
 
 
 @query(f"WITH {SIG}, {EXT}, {CLIPS} SELECT * FROM clips")
@@ -275,12 +275,12 @@ def _per_channel(samples: DataFrame, fit) -> DataFrame:
 
 @query(f"WITH {SIG}, {_FIT.format('sig')} SELECT channel, t, round(fit, 4) AS fit FROM fit")
 def isotonic_fit(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), lambda y: increasing(y)[0]).withColumn("fit", F.round("fit", 4))
+    return series.monotone(signal(spark, sf_dir)).withColumn("fit", F.round("fit", 4))
 
 
 @query(f"WITH {SIG}, neg AS (SELECT channel, t, -x AS x FROM sig), {_FIT.format('neg')} SELECT channel, t, round(-fit, 4) AS fit FROM fit")
 def isotonic_fit_decreasing(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), decreasing).withColumn("fit", F.round("fit", 4))
+    return series.monotone(signal(spark, sf_dir), rising=False).withColumn("fit", F.round("fit", 4))
 
 
 @query(f"WITH {SIG}, src AS (SELECT channel, t, x FROM sig), {_PEAK} SELECT channel, t, round(fit, 4) AS fit FROM fit")

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.detect import sliding_max
+
 
 def stream_extrema(samples: DataFrame, radius: int) -> DataFrame:
     """(channel, t, x) of a stream (channel long, t long, x double) in which each channel's samples come in order of t.
     A sample is decided once the ``radius`` samples after it are there; the last ones of a stream that ends are not
-    events, as in a batch."""
+    events, as in a batch. A sample that comes too late, or twice, is an error: its neighbours have been decided."""
     if radius < 1:
         raise ValueError("a stream needs a radius of 1 or more")
 
@@ -21,11 +23,14 @@ def stream_extrema(samples: DataFrame, radius: int) -> DataFrame:
         old_t, old_x = state.get if state.exists else ([], [])
         new = pd.concat(list(frames)).sort_values("t")
         t, x = np.array([*old_t, *new["t"]], np.int64), np.array([*old_x, *new["x"]], float)
-        a, found = np.abs(x), []
+        if (np.diff(t) <= 0).any():
+            raise ValueError(f"channel {key[0]} has a sample that is late or repeated")
+        a, first = np.abs(x), max(radius, len(old_t) - radius)
+        found = np.zeros(0, np.int64)
         # what the state holds from before has been decided up to its last radius samples
-        for i in range(max(radius, len(old_t) - radius), len(x) - radius):
-            if a[i] > a[i - radius : i].max() and a[i] >= a[i + 1 : i + radius + 1].max():
-                found.append(i)
+        if len(x) - radius > first:
+            top, i = sliding_max(a, radius), np.arange(first, len(x) - radius)
+            found = i[(a[i] > top[i - radius]) & (a[i] >= top[i + 1])]
         state.update((t[-2 * radius :].tolist(), x[-2 * radius :].tolist()))
         yield pd.DataFrame({"channel": np.full(len(found), key[0], np.int64), "t": t[found], "x": x[found]})
 

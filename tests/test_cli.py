@@ -1,0 +1,36 @@
+import numpy as np
+import pytest
+
+from pulsegrid import cli
+from pulsegrid.sources import arrays, results
+
+
+def test_commands_from_a_recording_to_scores(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    m, n = 3, 600
+    x = rng.normal(0, 0.2, (n, m))
+    for t in range(20, n - 20, 25):
+        x[t : t + 3, (t // 25) % m] += (8, -5, 3)
+    (tmp_path / "recording.mda").write_bytes(arrays.encode(x.ravel(), (m, n)))
+    (tmp_path / "locations.mda").write_bytes(arrays.encode(np.array([0.0, 10, 500, 0, 0, 0]), (m, 2)))
+    at = lambda name: str(tmp_path / name)
+    settings = ["--clip-size=6", "--critical-time-radius=5", "--clusters=2", "--curve-length=30"]
+    cli.run(spark, ["split", at("recording.mda"), at("channels")])
+    assert spark.read.parquet(at("channels")).count() == m * n
+    cli.run(spark, ["calibrate", "30", at("calibration"), *settings])
+    cli.run(spark, ["analyse", at("channels"), at("locations.mda"), at("calibration"), at("results"), *settings])
+    done = results.read_results(spark, at("results"))
+    assert {(r["i"], r["j"]) for r in done.edges.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)}
+    planted = {((t // 25) % m, t) for t in range(20, n - 20, 25)}
+    assert planted <= {(r["channel"], r["t"]) for r in done.events.collect()}
+    cli.run(spark, ["scores", at("channels"), at("results"), at("scores"), *settings])
+    scores = spark.read.parquet(at("scores"))
+    assert scores.select("neuron_id").distinct().count() == done.neurons.count() and scores.groupBy("neuron_id").count().first()["count"] == n - 6
+    cli.run(spark, ["analyse", at("channels"), at("locations.mda"), at("calibration"), at("one"), "--channel=1", *settings])
+    assert {r["channel"] for r in results.read_results(spark, at("one")).labels.collect()} == {1}
+    first = done.neurons.first()["neuron_id"]
+    cli.run(spark, ["scores", at("channels"), at("results"), at("few"), f"--neuron={first}", *settings])
+    assert {r["neuron_id"] for r in spark.read.parquet(at("few")).collect()} == {first}
+    for bad in (["nothing"], ["split", "a"], ["split", "a", "b", "--unknown=1"]):
+        with pytest.raises((ValueError, SystemExit)):
+            cli.run(spark, bad)

@@ -5,9 +5,10 @@ from hypothesis import strategies as st
 
 from pulsegrid.config import Settings, parse
 from pulsegrid.functions import isotonic, splitting
-from pulsegrid.operators import clips, clusters, detect, features, scoring, spatial, tensor
+from pulsegrid.operators import clips, clusters, detect, features, scoring, series, spatial, tensor
 from pulsegrid.plans import calibration, sorting
 
+# fixed values: the two known series, with their known results in the tests below
 TEXTBOOK = np.array([1.1, 3.2, 5.3, 2.4, 4.5, 6.6, 3.7, 5.8, 7.9, 10.0, 9.2, 11.2, 7.3, 3.4, 5.5, 2.6, 3.7, 1.8])
 
 
@@ -149,6 +150,46 @@ def test_large_channels_are_clustered_on_a_sample(spark, small_calibration):
     assert len(got) == 600 and len({got[t] for t in range(300)}) == 1 and got[0] != got[300]
 
 
+@pytest.mark.parametrize("rising", [True, False])
+def test_monotone_fits_by_blocks_equal_the_whole(spark, rising):
+    rng = np.random.default_rng(4)
+    data = {c: np.cumsum(rng.normal(0.1 * (c - 2), 1, 90)) + rng.normal(0, 2, 90) for c in range(5)} | {9: np.arange(40.0), 10: -np.arange(40.0), 11: np.zeros(1)}
+    got = {(r["channel"], r["t"]): r["fit"] for r in series.monotone(samples_of(spark, data), rising, block=11).collect()}
+    for c, y in data.items():
+        fit = isotonic.increasing(y)[0] if rising else isotonic.decreasing(y)
+        assert [got.pop((c, t)) for t in range(len(y))] == pytest.approx(fit.tolist(), abs=1e-9)
+    assert not got and series.monotone(samples_of(spark, {0: [1.0]}).limit(0), rising).count() == 0
+
+
+def test_spacings_equal_those_of_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    data = {c: rng.integers(0, 400, 30) for c in range(4)}
+    rows = series.spacings(samples_of(spark, data)).collect()
+    for c, x in data.items():
+        own = sorted((r["i"], r["twice_spacing"] / 2, r["log_density"]) for r in rows if r["channel"] == c)
+        want = splitting.spacings(np.unique(x).astype(float))
+        assert [s for _, s, _ in own] == want.tolist() and [d for _, _, d in own] == pytest.approx(np.log(1 / want).tolist())
+
+
+def test_spread_k_means_fills_all_clusters():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.1, (40, 2)) for m in (0, 5, 10, 15)])
+    for kernel in (splitting.lloyd_plus, splitting.lloyd):
+        label = kernel(x, 4)
+        assert label.shape == (160,) and label.min() >= 0 and label.max() <= 3
+    label = splitting.lloyd_plus(x, 4)
+    assert len(np.unique(label)) == 4 and all(len(np.unique(label[i : i + 40])) == 1 for i in range(0, 160, 40))
+    # fewer different points than clusters
+    assert len(np.unique(splitting.lloyd_plus(np.ones((6, 2)), 4))) == 1
+
+
+def test_too_many_centroids_raise(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "MOST_CENTROIDS", 1)
+    v = spark.createDataFrame([(1, 1, [0.0]), (2, 2, [1.0])], "id long, label long, f array<double>")
+    with pytest.raises(ValueError):
+        clusters.nearest_centroid(v, clusters.centroids(v))
+
+
 def test_arrays(spark):
     cells = tensor.from_linear(spark.range(24).selectExpr("id as idx", "cast(id as double) as value"), 2, 3, 4)
     got = {(r["i1"], r["i2"], r["i3"]): r["value"] for r in tensor.reshape(cells, (2, 3, 4), (4, 3, 2)).collect()}

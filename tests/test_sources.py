@@ -109,3 +109,13 @@ def test_stream_finds_what_a_batch_finds(spark, tmp_path):
     a = np.abs(x)
     want = [i for i in range(3, 117) if a[i] > a[i - 3 : i].max() and a[i] >= a[i + 1 : i + 4].max()]
     assert sorted(r["t"] for r in spark.table("found_extrema").collect()) == want
+
+
+def test_a_late_sample_of_a_stream_is_an_error(spark, tmp_path):
+    for k, times in enumerate((range(20), [5], range(20, 30))):
+        spark.createDataFrame([(0, t, 1.0) for t in times], "channel long, t long, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel long, t long, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_extrema(stream, 3).writeStream.format("memory").queryName("late_extrema").outputMode("append").start()
+    with pytest.raises(Exception, match="late or repeated"):
+        q.processAllAvailable()
+    q.stop()
