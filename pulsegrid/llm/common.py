@@ -6,7 +6,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole documents must stay small; a lower value of the user's stays."""
+    """Arrow batches of whole documents must stay small: so many rows, besides the bytes that Spark allows a batch. A lower
+    value of the user's stays. The setting is read when a plan runs, so it can't be put back before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
@@ -58,6 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of our own that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """A broadcast hint if ``df`` (already cut, so cheap to go over) has at most ``rows`` rows and, of tables with texts
     or arrays, at most BROADCAST_BYTES by ``size``, the bytes of a row; else ``df``, for a shuffled join."""
@@ -71,8 +78,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edge table (a, b): component is the least node reachable.
 
     Alternating large-star and small-star steps; every round is one grouped minimum and one join, and is
-    written to the checkpoint folder. Hot nodes are pre-aggregated before the shuffle. Null ends are ignored. The rounds needed grow with the logarithm of the
-    nodes; should ``rounds`` not do, an error is raised.
+    written to the checkpoint folder. Hot nodes are pre-aggregated before the shuffle, and where a hub's edges meet its
+    minimum, adaptive execution splits the skewed join. Null ends are ignored. The rounds needed grow with the logarithm
+    of the nodes; should ``rounds`` not do, an error is raised.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u is not null and v is not null and u <> v")
     e, before = cut(e.distinct()), None
@@ -93,6 +101,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(roots.distinct())
 
 
+def filtered(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of ``docs`` for which what ``judge`` appends fulfils the condition, with the columns that they had: those
+    that no operator reads go by other names meanwhile, so that none is replaced."""
+    names = {c: c if c in ("doc_id", "text", "lang", "source") else f"_own{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in names.items()))
+    return judge(plain).filter(condition).select(*(F.col(name).alias(c) for c, name in names.items()))
+
+
 def give_back() -> None:
     """Returns a worker's freed memory to the system: workers live on between tasks, and an executor's count together."""
     pa.default_memory_pool().release_unused()

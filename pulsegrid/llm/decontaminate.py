@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
+from .common import cut, filtered, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import FOLD
 
 BLOCK, PASSAGES, RANK, POWER = 256, 512, 1024, 2
@@ -424,7 +424,7 @@ def _searched(found: DataFrame, indexes: list[Index]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` that leak no item."""
-    return leaks(docs, benchmark).filter("not leaked").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return filtered(docs, lambda d: leaks(d, benchmark), "not leaked")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_column, bounded_broadcast, cut, fixed_rows, mix, small_batches, span_hashes, table, text_slices, word_spans
+from .common import binary_column, bounded_broadcast, cut, filtered, fixed_rows, mix, small_batches, span_hashes, table, text_slices, word_spans
 
 #: Topics are clusters of hashed bags of longer words of all documents; the first centres come from about SAMPLE_ROWS.
 TOPICS, WIDTH, SAMPLE_ROWS, LONG_WORD = 8, 256, 2000, 4
@@ -291,6 +291,11 @@ def mixed(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float
     return rows.join(keyed, [f"_{d}" for d in MARGINS]).drop(*(f"_{d}" for d in MARGINS)).withColumn("kept", draw < F.col("keep"))
 
 
+def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET, seed: int = 1) -> DataFrame:
+    """The rows and columns of ``docs`` that are drawn."""
+    return filtered(docs, lambda d: mixed(d, targets, budget, seed), "kept")
+
+
 def calibrated_cells(docs: DataFrame, centers: np.ndarray, targets: dict[str, dict] | None = None, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, tokens, weight, keep) of all documents."""
     cells = cut(with_topics(docs.select("source", "lang", "text"), centers).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))

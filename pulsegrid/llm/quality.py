@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_broadcast, cut, give_back, small_batches, span_hashes, table, text_slices, word_spans
+from .common import BROADCAST_ROWS, bounded_broadcast, cut, filtered, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import hash_sample, remainder
 
 #: The classifier is fitted on at most about so many labelled rows of each class.
@@ -242,7 +242,8 @@ def judged(docs: DataFrame, model: Model, host: Column | None = None, path: Colu
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` that the classifier accepts."""
-    return judged(docs, fit(docs, labels)).filter("accepted").select(*(F.col(f"`{c}`") for c in docs.columns))
+    model = fit(docs, labels)
+    return filtered(docs, lambda d: judged(d, model), "accepted")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,3 +209,84 @@ def test_hash_sample(spark):
     sizes = {r["k"]: r["count"] for r in hash_sample(df, "k", "id", 1000).groupBy("k").count().collect()}
     assert abs(sizes["few"] - 1000) < 150 and abs(sizes["many"] - 1000) < 150
     assert hash_sample(df.limit(0), "k", "id", 5).count() == 0
+
+
+def test_too_many_keys_raise_and_repeated_ids_stay_bounded(spark):
+    with pytest.raises(ValueError):
+        hash_sample(spark.range(3000).selectExpr("id", "id as k"), "k", "id", 5)
+    same = spark.range(50_000).selectExpr("1L as id", "'a' as k")
+    assert hash_sample(same, "k", "id", 100).count() <= 1400
+
+
+def test_empty_tables_of_the_models(spark, corpus):
+    docs, labels = corpus
+    none = docs.limit(0)
+    assert language.identify(none, language.fit(docs.limit(40))).count() == 0
+    assert {r["lang_pred"] for r in language.identify(docs, language.fit(none)).collect()} == {"und"}
+    assert quality.judged(none, quality.fit(none, labels.limit(0))).count() == 0
+    assert toxicity.score(none, toxicity.fit(none, labels.limit(0))).count() == 0
+
+
+def test_quality_equals_a_plain_version(spark, corpus):
+    """Sites, strengths and probabilities by the formulas of the docstring, over rows in memory."""
+    docs, labels = corpus
+    model = quality.fit(docs, labels)
+    rows = quality.with_evidence(docs.select("doc_id", "text", "lang", "source"), model).toPandas()
+    host = rows.source.fillna("").str.split("/").str[0]
+    rest = rows.source.fillna("").str.split("/", n=1).str[1]
+    path = rest.where(rest.notna() & (rest != ""), rows.lang).fillna("")
+    e = np.floor(rows.evidence.abs().to_numpy() * 10 + 0.5) * np.sign(rows.evidence.to_numpy()) / 10  # halves away from zero
+    share = min(max(model.share, 1e-3), 1 - 1e-3)
+    for _ in range(100):
+        share = float(np.clip((1 / (1 + np.exp(-(e + np.log(share / (1 - share)))))).mean(), 1e-3, 1 - 1e-3))
+    p = 1 / (1 + np.exp(-(e + np.log(share / (1 - share)))))
+
+    def strength(n, s, center):
+        if len(n) < 2:
+            return 1e3
+        v = (n * center * (1 - center)).sum() / n.sum()
+        room = n.sum() - (n * n).sum() / n.sum()
+        tau = ((n * (s / n - center) ** 2).sum() - (len(n) - 1) * v) / room if room > 0 else 0.0
+        return float(min(1e4, max(2.0, v / tau - 1))) if tau > 1e-9 else 1e4
+
+    import pandas as pd
+
+    t = pd.DataFrame({"h": host, "p": path, "s": p, "n": 1})
+    hosts, paths = t.groupby("h")[["s", "n"]].sum(), t.groupby(["h", "p"])[["s", "n"]].sum().reset_index()
+    k1 = strength(hosts.n, hosts.s, share)
+    above = paths.join(hosts, on="h", rsuffix="h")
+    k2 = strength(paths.n, paths.s, (above.sh + k1 * share) / (above.nh + k1))
+    hs, hn = hosts.s[t.h].to_numpy(), hosts.n[t.h].to_numpy()
+    own = t.merge(paths, on=["h", "p"], suffixes=("", "p"))
+    up = (hs - p + k1 * share) / (hn - 1 + k1)
+    site = (own.sp.to_numpy() - p + k2 * up) / (own.np.to_numpy() - 1 + k2)
+    clipped = np.clip(site, 1e-4, 1 - 1e-4)
+    want = 1 / (1 + np.exp(-(rows.evidence.to_numpy() + np.log(clipped / (1 - clipped)))))
+    got = quality.judged(docs, model).toPandas().set_index("doc_id")
+    assert got.probability[rows.doc_id].to_numpy() == pytest.approx(want, abs=1e-6) and got.site[rows.doc_id].to_numpy() == pytest.approx(site, abs=1e-6)
+
+
+def test_many_sites_are_joined_by_salted_keys(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HOT_ROWS", 20)
+    monkeypatch.setattr(quality, "SALTS", 5)
+    rows = spark.range(200).selectExpr("id", "if(id % 3 = 0, 'hot', concat('h', id % 40)) as _host", "'p' as _path", "if(id % 7 = 0, null, concat('t', id)) as text")
+    sites = rows.groupBy("_host", "_path").agg(F.count("*").alias("n"))
+    few = quality.with_sites(rows, sites).collect()
+    many = quality.with_sites(rows, sites, most=1).select(*rows.columns, "n").collect()
+    key = lambda r: r["id"]
+    assert [(r["id"], r["n"]) for r in sorted(few, key=key)] == [(r["id"], r["n"]) for r in sorted(many, key=key)] and len(many) == 200
+
+
+def test_language_equals_the_chain_of_a_whole_text(spark):
+    rng = np.random.default_rng(12)
+    texts = [(sentence(rng, k), k) for k in ("aa", "bb") for _ in range(40)]
+    model = language.train([t for t, _ in texts], [k for _, k in texts], epochs=20)
+    mixed = [sentence(rng, "aa", 9) + " " + sentence(rng, "bb", 14), sentence(rng, "bb", 5), sentence(rng, "aa", 60)]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(mixed):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        scores = model.emissions(Words(raw, np.array([0, len(raw)])))
+        ahead, back = language.chain(np.exp(scores - scores.max(1, keepdims=True))[:, None], np.exp(model.step), np.exp(model.start))
+        post = (ahead * back)[:, 0]
+        share = (post / post.sum(1, keepdims=True)).mean(0)
+        assert got[i]["lang_pred"] == model.langs[share.argmax()] and got[i]["score"] == pytest.approx(share.max(), abs=1e-3)

@@ -1,8 +1,10 @@
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from pulsegrid.llm.registry import ORACLE_SQL, QUERIES
@@ -49,6 +51,42 @@ def test_stages_work_on_all_that_is_left(spark, folder, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == ids[4]
 
 
+def test_stages_take_empty_tables_and_odd_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.withColumns({c: F.lit("x") for c in ("topic", "tokens", "keep", "kept", "leaked", "evidence", "component_id", "part", "task")})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        few = stage(spark, odd.filter("doc_id < 30 or doc_id >= 3000"), folder)
+        assert few.columns == odd.columns and few.filter("topic = 'x'").count() > 20
+
+
+def test_the_pipeline_equals_a_plain_one(spark, folder):
+    """The decisions of quality and mixing are taken from the operators; duplicates, leaks and token ids are found plainly."""
+    from tokenizers import Tokenizer
+
+    from pulsegrid.llm import mixing, quality, token_files
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source", "lang")
+    good = {r["doc_id"]: r["text"] for r in quality.judged(docs, quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))).filter("probability >= 0.5").collect()}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    sets = {i: shingles(t) for i, t in good.items()}
+    kept = []
+    for i in sorted(good):  # the planted copies have one original each
+        if not any(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in kept if sets[i]):
+            kept.append(i)
+    items = [r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    kept = [i for i in kept if not any(x in (good[i] or "") for x in items)]
+    left = spark.read.parquet(f"{folder}/documents.parquet").filter(F.col("doc_id").isin(kept))
+    drawn = sorted(r["doc_id"] for r in mixing.mixed(left, budget=corpus_pipeline.BUDGET).filter("kept").collect())
+    coder, want, start = Tokenizer.from_file(token_files.tokenizer_path()), {}, 0
+    for i in drawn:
+        ids = np.array([*coder.encode(good[i] or "", add_special_tokens=False).ids, 2], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect()} == want
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
