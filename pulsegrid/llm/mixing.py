@@ -166,10 +166,10 @@ def reachable(margin: DataFrame, tokens: float) -> DataFrame:
     if not row["top"] or tokens >= row["have"]:
         return margin.withColumn("reach", F.when(F.col("goal") > 0, F.col("tokens").cast("double")).otherwise(F.lit(0.0)))
     low, high = 0.0, float(row["top"])
-    for _ in range(9):  # a grid over all values at once, then a finer one: 64 to the power 9 steps
-        grid = np.linspace(low, high, 65)
+    for _ in range(13):  # a grid over all values at once, then a finer one: 16 to the power 13 steps
+        grid = np.linspace(low, high, 17)
         got = np.array(margin.agg(*(F.sum(F.least(F.col("tokens").cast("double"), F.col("goal") * float(g))).alias(f"g{i}") for i, g in enumerate(grid))).first(), float)
-        i = min(64, max(1, int(np.searchsorted(got, tokens))))
+        i = min(16, max(1, int(np.searchsorted(got, tokens))))
         low, high = grid[i - 1], grid[i]
     return margin.withColumn("reach", F.least(F.col("tokens").cast("double"), F.col("goal") * high))
 
@@ -208,29 +208,57 @@ def _rake_spread(cells: DataFrame, margins: dict[str, DataFrame], most: float) -
     return cells
 
 
+def _reach_here(tokens: np.ndarray, goal: np.ndarray, total: float) -> np.ndarray:
+    """``reachable`` for values in memory."""
+    some = goal > 0
+    if total >= tokens[some].sum():
+        return np.where(some, tokens, 0.0)
+    ratio = np.where(some, tokens / np.where(some, goal, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    # with the values up to a place in this order kept whole, the others' share of what is left
+    left = total - np.concatenate(([0], np.cumsum(tokens[order])))[:-1]
+    rest = np.cumsum(goal[order][::-1])[::-1]
+    scale = left / np.maximum(rest, 1e-300)
+    first = int(np.argmax(scale <= ratio[order]))
+    return np.minimum(tokens, goal * scale[first])
+
+
+def _rake_all(cells: pd.DataFrame, targets: dict[str, dict] | None, temper: float, budget: float | None) -> np.ndarray:
+    """The weights of a table of cells in memory."""
+    tokens = cells["tokens"].fillna(0).to_numpy(float)
+    codes, reach = [], []
+    order = np.lexsort([cells[f"_{d}"].to_numpy(str) for d in MARGINS])
+    for d in MARGINS:
+        keys, code = np.unique(cells[f"_{d}"].to_numpy(str), return_inverse=True)
+        own = np.bincount(code, tokens, minlength=len(keys))
+        if targets and d in targets:
+            wanted = {f"v{k}": v for k, v in targets[d].items()}
+            goal = np.array([wanted.get(k, 0.0) for k in keys]) / (float(sum(targets[d].values())) or 1.0)
+        else:
+            goal = own**temper / ((own**temper).sum() or 1.0)
+        codes.append(code[order])
+        reach.append(goal * tokens.sum() if budget is None else _reach_here(own, goal, budget * tokens.sum()))
+    weight = np.ones(len(cells))
+    weight[order] = _rake_here(tokens[order], codes, reach, cells["weight"].to_numpy(float)[order], HUGE if budget is None else 1.0)
+    return weight
+
+
 def _rake(cells: DataFrame, targets: dict[str, dict] | None, temper: float, budget: float | None) -> DataFrame:
     """``cells`` (source, lang, topic, tokens, weight) with the weight raked: freely, or, with a budget, to the tokens that
     are kept if no more than all of a cell can be."""
+    keyed = cells.withColumns({f"_{d}": _key(d) for d in MARGINS})
+    if cells.limit(CELLS_HERE + 1).count() <= CELLS_HERE:
+        here = keyed.select("tokens", "weight", *(f"_{d}" for d in MARGINS)).toPandas()
+        made = pd.DataFrame({f"_{d}": here[f"_{d}"].astype(str) for d in MARGINS})
+        made["_w"] = _rake_all(here, targets, temper, budget) if len(here) else np.zeros(0)
+        found = cells.sparkSession.createDataFrame(made, "_source string, _lang string, _topic string, _w double")
+        return keyed.drop("weight").join(F.broadcast(found), [f"_{d}" for d in MARGINS]).select(*MARGINS, "tokens", F.col("_w").alias("weight"))  # a row a cell
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     margins = {}
     for d in MARGINS:
         margin = goals(cells, d, targets, temper)
         margins[d] = cut(margin.withColumn("reach", F.col("goal") * total) if budget is None else reachable(margin, budget * total))
-    most = HUGE if budget is None else 1.0
-    keyed = cells.withColumns({f"_{d}": _key(d) for d in MARGINS})
-    if cells.limit(CELLS_HERE + 1).count() > CELLS_HERE:
-        return _rake_spread(cut(keyed), margins, most).select(*MARGINS, "tokens", "weight")
-    here = keyed.toPandas()  # counted: at most CELLS_HERE rows
-    codes, reach = [], []
-    for d, margin in margins.items():
-        own = margin.select("key", "reach").toPandas()
-        codes.append(here[f"_{d}"].map(dict(zip(own["key"], range(len(own)), strict=True))).to_numpy(np.int64))
-        reach.append(own["reach"].to_numpy(float))
-    order = np.lexsort([here[f"_{d}"].to_numpy(str) for d in MARGINS]) if len(here) else np.zeros(0, np.int64)
-    weight = np.ones(len(here))
-    weight[order] = _rake_here(here["tokens"].to_numpy(float)[order], [c[order] for c in codes], reach, here["weight"].to_numpy(float)[order], most)
-    found = cells.sparkSession.createDataFrame(pd.DataFrame({**{f"_{d}": here[f"_{d}"].astype(str) for d in MARGINS}, "_w": weight}), "_source string, _lang string, _topic string, _w double")
-    return keyed.drop("weight").join(F.broadcast(found), [f"_{d}" for d in MARGINS]).select(*MARGINS, "tokens", F.col("_w").alias("weight"))  # a row a cell
+    return _rake_spread(cut(keyed), margins, HUGE if budget is None else 1.0).select(*MARGINS, "tokens", "weight")
 
 
 def raked(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float = TEMPER) -> DataFrame:
