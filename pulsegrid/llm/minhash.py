@@ -250,6 +250,8 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     # a class has COORDS tokens, so this list is short; the tokens that it has alone come first in the order
     ranked = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("cnt", "token"))).alias("own")).filter(F.size("own") >= MATCHES)
     prefix = ranked.withColumn("own", F.slice("own", 1, F.lit(keep) - (F.lit(COORDS) - F.size("own"))))
+    if some_hot:
+        prefix = cut(prefix)  # hot and other lists are taken from it
     rows = prefix.join(classes.select("rep", "n_shingles", "low"), "rep").select(F.col("rep").alias("node"), F.col("n_shingles").alias("size"), "low", F.explode("own").alias("p"))
     rows = rows.select(F.col("p.token").alias("group"), "node", "size", "low", F.ceil(F.col("p.cnt") / LIST_BLOCK).cast("int").alias("blocks"), (LEADERS / F.col("p.cnt")).alias("lead"))
     few = rows.filter("blocks = 1").select(F.col("group").alias("task"), "node", F.lit(0).alias("role"), "size", "low")
@@ -334,9 +336,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sets = cut(signed(docs))
     real = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
+    classes = cut(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.first("low").alias("low")))
     groups = connected_components(candidate_links(classes))
-    names = real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    names = classes.select("h1", "h2", "n_shingles", "rep")
     groups = cut(groups.join(names.select(F.col("rep").alias("node"), "n_shingles"), "node"))
     parts = connected_components(confirmed_links(docs, groups).unionByName(_same_id(real)))
     named = names.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "rep").alias("component"))
