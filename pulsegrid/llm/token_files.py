@@ -5,6 +5,7 @@ A file row is (part, seq, block): parts are ranges of doc_id in ascending order,
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core; idle helpers would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
