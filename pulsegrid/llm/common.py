@@ -25,12 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole documents must stay small: so many rows, besides the bytes that Spark allows a batch. A lower
-    value of the user's stays. The setting is read when a plan runs, so it can't be put back before."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Arrow batches of whole documents must stay small: so many rows, and so many bytes or a single longer document. Lower
+    values of the user's stay. The settings are read when a plan runs, so they can't be put back before."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m")) <= size:
+        spark.conf.set(key, str(size))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
