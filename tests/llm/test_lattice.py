@@ -1,0 +1,81 @@
+import hashlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from pulsegrid.llm import lattice
+
+
+def plain(rows, k=8, rounds=10, seed=3):
+    """The contract by loops over Python's numbers."""
+    order = sorted(range(len(rows)), key=lambda i: (hashlib.sha256(f"{seed}:{rows[i][0]}".encode()).hexdigest() if rows[i][0] is not None else "~", rows[i][1]))
+    centers = [rows[i][1] for i in order[:k]]
+
+    def assign():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centers)) for _, v in rows]
+
+    for _ in range(rounds):
+        at = assign()
+        for j in range(len(centers)):
+            own = [v for (_, v), (_, c) in zip(rows, at) if c == j]
+            if own:
+                centers[j] = [sum(x) // len(own) for x in zip(*own)]
+    at = assign()
+    inertia = {j: sum(d for d, c in at if c == j) for j in range(len(centers))}
+    return [(i, c, d, inertia[c], sum(inertia.values()), hashlib.sha256(",".join(map(str, centers[c])).encode()).hexdigest()) for (i, _), (d, c) in zip(rows, at)]
+
+
+def test_search_equals_all_distances():
+    rng = np.random.default_rng(5)
+    for n, k, scale in ((64, 8, 300), (3, 50, 4), (1, 20, 3), (5, 1, 9), (64, 300, 1 << 25)):
+        c = rng.integers(-scale, scale, (k, n))
+        c[k // 2 :: 3] = c[0]  # equal centroids
+        x = np.concatenate([rng.integers(-scale, scale, (500, n)), c, c + 1, np.zeros((3, n), np.int64)])
+        every = ((x[:, None].astype(object) - c[None]) ** 2).sum(2).astype(np.int64)
+        search = lattice.Searcher(c)
+        label, d = search.nearest(x)
+        assert (label == every.argmin(1)).all() and (d == every.min(1)).all()
+        assert search.measured <= every.size
+    # far from each other in their means, most centroids are never measured
+    c = np.repeat(np.arange(0, 100_000, 1000)[:, None], 8, 1) + rng.integers(-9, 9, (100, 8))
+    search = lattice.Searcher(c)
+    search.nearest(np.repeat(c, 20, 0) + rng.integers(-9, 9, (2000, 8)))
+    assert search.measured < 2 * 2000
+
+
+def test_clusters_equal_the_plain_version(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-40, 40, 4).tolist()) for i in range(150)] + [(7, [1, 2, 3, 4]), (7, [1, 2, 3, 4]), (7, [0, 2, 3, 4]), (None, [5, 5, 5, 5])] + [(1000 + i, [9, -9, 9, -9]) for i in range(100)]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in rows], "id long, v array<int>, cluster string").repartition(3)
+    got = [tuple(r) for r in lattice.clustered(df).collect()]
+    assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
+    few = spark.createDataFrame(rows[:3], "id long, v array<int>")
+    assert sorted(map(tuple, lattice.clustered(few).collect())) == sorted(plain(rows[:3]))
+    assert lattice.clustered(few.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, [2, 2]) for i in range(20)], "id long, v array<int>")
+    assert {(r.cluster, r.distance) for r in lattice.clustered(same).collect()} == {(0, 0)}
+
+
+def test_which_vectors_count(spark):
+    rows = [(1, [0.5, -0.0001]), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (5, None), (6, [float("-inf"), 0.0]), (None, [1.0, 1e-9])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, v string")
+    got = lattice.whole_vectors(df, 2, "vec_id", "embedding", 1024).collect()
+    assert [(r.id, r.v) for r in got] == [(1, [512, -1]), (None, [1024, 0])]
+    with pytest.raises(Exception, match="too large"):
+        lattice.whole_vectors(spark.createDataFrame([(1, [1e30, 1.0])], "vec_id long, embedding array<float>"), 2, "vec_id", "embedding", 1024).collect()
+
+
+def test_query_equals_its_sql_and_the_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    got = lattice.op12_lattice(spark, sf).toPandas()
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    want = db.sql(lattice.OP12_SQL).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    key = lambda d: sorted(map(tuple, d[cols].astype(object).values.tolist()))
+    assert key(got) == key(want)
+    rows = [(r.vec_id, np.floor(1024 * np.array(r.embedding, float)).astype(int).tolist()) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    names = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert sorted(map(tuple, got[names].values.tolist())) == sorted(plain(rows))
