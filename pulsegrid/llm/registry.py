@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, lattice, minhash, mixing, pieces, pii, quality, token_files, toxicity, url_filter
+from . import conversations, decontaminate, fingerprint, language, lattice, minhash, mixing, pieces, pii, quality, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_fingerprint": fingerprint.op1_fingerprint,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_minhash": minhash.op10_minhash,
+    "op11_conversations": conversations.op11_conversations,
     "op12_lattice": lattice.op12_lattice,
     "op13_pieces": pieces.op13_pieces,
 }

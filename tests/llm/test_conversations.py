@@ -1,0 +1,169 @@
+import hashlib
+import itertools
+import re
+import zlib
+from functools import cache
+
+import numpy as np
+import pytest
+
+from pulsegrid.llm import conversations
+
+GRAMMAR = re.compile(r"(s?(ua)+)?\Z")
+
+
+def damage(rows):
+    out = []
+    for conv, turn, role, text in rows:
+        k = zlib.crc32(":".join(" " if x is None else str(x) for x in (conv, turn)).encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text
+        out += [(conv, turn, "user" if k == 4 else role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+    return out
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        solid = re.findall(r"[^\x20\x09-\x0D]", text)
+        out.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(rows, marks):
+    """(cost, audit, repaired rows) by comparing whole audits; states are the initials so far, as far as they matter."""
+
+    def after(state, role):
+        got = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+        return got[state].get(role[:1])
+
+    @cache
+    def best(i, state, inserted):
+        options = [] if i < len(rows) or state in "su" and state else [(0, "", ())]
+        if inserted < 3:
+            for role in ("user", "assistant"):
+                if (q := after(state, role)) is not None:
+                    c, a, r = best(i, q, inserted + 1)
+                    options.append((5 + c, "I" + a, ((role, ""), *r)))
+        if i < len(rows):
+            _, role, text = rows[i]
+            c, a, r = best(i + 1, state, 0)
+            options.append((2 + c, "D" + a, r))
+            if marks[i] in ("", "truncated"):
+                more = 5 if marks[i] else 0
+                for edit, cost, new in [("K", 0, role), ("R", 1, "user"), ("R", 1, "assistant")]:
+                    if (q := after(state, new)) is not None:
+                        c, a, r = best(i + 1, q, 0)
+                        options.append((cost + more + c, edit + a, ((new, text), *r)))
+        return min(options, key=lambda o: o[:2], default=(10**9, "", ()))
+
+    for i in range(len(rows), 0, -50):  # from the end, so that no recursion is deep
+        for state in ("", "s", "u", "a"):
+            best(i, state, 0)
+    return best(0, "", 0)
+
+
+def plain(rows, ids):
+    out = []
+    for conv in ids:
+        own = [(t, r, x) for c, t, r, x in rows if c == conv]
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest()))
+        marks = faults(own)
+        turns = {t for t, _, _ in own if t is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        illegal = sum((x[1][:1] + y[1][:1]) not in ("su", "ua", "au") for x, y in itertools.pairwise(own))
+        cost, audit, kept = cheapest(own, marks)
+        assert GRAMMAR.match("".join(r[:1] for r, _ in kept))
+        text = "\n".join(f"{r}:{t}" for r, t in kept)
+        out.append((conv, gaps, *(marks.count(m) for m in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256(text.encode()).hexdigest()))
+    return out
+
+
+def test_the_plain_version_equals_trying_all_edits():
+    """All strings of edits for short conversations."""
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        rows = [(i, str(rng.choice(["user", "assistant", "system", "tool"])), str(rng.choice(["a.", "b.", "", "cut"]))) for i in range(int(rng.integers(0, 4)))]
+        marks, found = faults(rows), []
+        for n in range(len(rows) + 4):
+            for edits in itertools.product("DIKR", repeat=n):
+                if sum(e != "I" for e in edits) != len(rows):
+                    continue
+                for roles in itertools.product(("user", "assistant"), repeat=sum(e in "IR" for e in edits)):
+                    left, i, cost, kept = list(roles), 0, 0, []
+                    for e in edits:
+                        if e == "I":
+                            cost, _ = cost + 5, kept.append((left.pop(0), ""))
+                            continue
+                        if e == "D":
+                            cost += 2
+                        elif marks[i] in ("blank", "duplicate"):
+                            break
+                        else:
+                            cost += (e == "R") + 5 * (marks[i] == "truncated")
+                            kept.append((rows[i][1] if e == "K" else left.pop(0), rows[i][2]))
+                        i += 1
+                    else:
+                        if GRAMMAR.match("".join(r[:1] for r, _ in kept)):
+                            found.append((cost, "".join(edits), tuple(kept)))
+        assert min(found, key=lambda o: o[:2]) == cheapest(rows, marks)
+
+
+def test_automaton_equals_the_plain_version_and_shares_suffixes():
+    rng = np.random.default_rng(4)
+    signatures = ["".join(rng.choice(list(conversations.SYMBOLS), int(rng.integers(0, 12)))) for _ in range(800)] + ["", "ua" * 20, "sua", "x"]
+    signatures.sort(key=lambda s: s[::-1])
+    automaton = conversations.Suffixes()
+    for s in signatures:
+        names = {"s": "system", "u": "user", "a": "assistant", "o": "tool", "x": "tool"}
+        rows = [(i, names[c.lower()], str(i)) for i, c in enumerate(s)]
+        marks = ["blank" if c == "x" else "truncated" if c.isupper() else "" for c in s]
+        assert automaton.solve(s) == cheapest(rows, marks)[:2], s
+    assert automaton.nodes == len({s[i:] for s in signatures for i in range(len(s))})
+    assert len(automaton.kinds) < 500
+
+
+@pytest.fixture(scope="module")
+def some():
+    rng = np.random.default_rng(8)
+    texts = ["Well.", "Is it?", "cut off", "", " \t", "same.", "x! ", "é", " . \n"]
+    rows = []
+    for conv in [*range(60), None]:
+        for turn in range(int(rng.integers(1, 9))):
+            rows.append((conv, None if rng.random() < 0.1 else turn + int(rng.integers(0, 2)), str(rng.choice(["user", "assistant", "system", "tool", "User"])) if rng.random() > 0.05 else None, str(rng.choice(texts)) if rng.random() > 0.1 else None))
+    rows += rows[:20]
+    rows += [(500, t, "user" if t % 2 else "assistant", f"turn {t % 700}.") for t in range(1200)]  # a long one
+    return rows
+
+
+def test_repairs_equal_the_plain_version(spark, some):
+    df = spark.createDataFrame([(*r, "clash") for r in some], "conv_id long, turn long, role string, text string, audit string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # parts of conversations in many batches
+    got = [tuple(r) for r in conversations.repaired(conversations.damaged(df), every=df).collect()]
+    ids = list(dict.fromkeys(r[0] for r in some))
+    want = plain(damage(some), ids)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    rows = conversations.damaged(df)
+    answers = conversations.solved(conversations.signatures(rows))
+    turns = conversations.repaired_turns(rows, answers).toPandas().sort_values(["conv_id", "place"])
+    own = turns[turns.conv_id == 7]
+    assert hashlib.sha256("\n".join(f"{r}:{t}" for r, t in zip(own.role, own.text)).encode()).hexdigest() == next(w[-1] for w in want if w[0] == 7)
+    assert conversations.repaired(df.limit(0)).count() == 0
+
+
+def test_very_long_text_and_only_dropped_rows(spark):
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(gone, 0, "user", "all."), (-1, 3, "user", "word " * 400_000 + "."), (-1, 4, "assistant", "ok.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(tuple(r) for r in conversations.repaired(conversations.damaged(df), every=df).collect())
+    assert got == sorted(plain(damage(rows), [gone, -1]))
+    assert got[-1][1:] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_query_equals_the_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = conversations.op11_conversations(spark, sf)
+    assert got.columns[:1] == ["conv_id"]
+    assert sorted(map(tuple, got.collect())) == sorted(plain(damage(rows), list(dict.fromkeys(r[0] for r in rows))))
