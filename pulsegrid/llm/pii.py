@@ -30,8 +30,8 @@ SECRET, SECRET_BITS = r"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]{20,}+", 3.0
 KINDS = (*PATTERNS, "secret")
 #: Characters on either side of an entity that tell its contexts apart, and the shortest term.
 CONTEXT, LETTERS = 80, 4
-#: A term must stand in documents with so many different contexts of the entity, so that copies of one text, edited
-#: elsewhere or not, prove nothing.
+#: A term must stand with the entity in so many documents that aren't copies of each other. A document counts once, however
+#: often it names the entity, and those whose first or whose last contexts (in the order of texts) are the same count as one.
 SUPPORT = 3
 #: Shares of an entity's information that a term may disclose before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.9, 0.97
@@ -133,7 +133,7 @@ def _holders(found: DataFrame) -> DataFrame:
     every = []
     for kind in KINDS:
         value = F.col("m.value") if kind == "secret" else F.lower("m.value") if kind in ("email", "ip") else F.regexp_replace("m.value", "[^0-9]", "")
-        every.append(found.select("_row", F.explode(kind).alias("m")).select("_row", F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.xxhash64("m.before", "m.after").alias("context")))
+        every.append(found.select("_row", F.explode(kind).alias("m")).select("_row", F.concat(F.lit(f"{kind}:"), value).alias("entity"), F.struct("m.before", "m.after").alias("context")))
     rows = every[0]
     for one in every[1:]:
         rows = rows.unionByName(one)
@@ -149,28 +149,27 @@ def _words(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(term, share) of the terms that disclose too much of any entity, over counts of rows.
 
-    Entities with fewer than SUPPORT contexts can't have such a term, nor can terms that stand in more rows than any
+    Entities with fewer than SUPPORT unlike documents can't have such a term, nor can terms that stand in more rows than any
     entity allows: log2(N n_both / (n_entity n_term)) >= GENERALISE log2(N / n_entity) asks for n_term <= n_entity (N /
     n_entity)^(1 - GENERALISE). Both fall out before entities meet words.
     """
     total = float(max(found.count(), 1))
-    holders = _holders(found)
-    sizes = holders.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"), F.countDistinct("context").alias("contexts")).filter(F.col("contexts") >= SUPPORT)
+    ends = [F.xxhash64(f("context")).alias(c) for f, c in ((F.min, "first"), (F.max, "last"))]
+    holders = cut(_holders(found).groupBy("_row", "entity").agg(*ends))  # a row for each document that names an entity
+    sizes = holders.groupBy("entity").agg(F.count("*").alias("n_entity"), F.countDistinct("first").alias("unlike"), F.countDistinct("last").alias("unlike_last"))
     most = F.col("n_entity") * F.pow(total / F.col("n_entity"), F.lit(1 - GENERALISE))
-    sizes = cut(sizes.select("entity", "n_entity", most.alias("most")))
+    sizes = cut(sizes.filter(F.least("unlike", "unlike_last") >= SUPPORT).select("entity", "n_entity", most.alias("most")))
     limit = sizes.agg(F.max("most")).first()[0] or 0.0
-    held = cut(holders.join(sizes, "entity").groupBy("_row", "entity", "n_entity", "most").agg(F.collect_set("context").alias("contexts")))  # a row's mentions
+    held = holders.join(sizes, "entity")
     # counted where they stand: only sums of each task are shuffled
     counts = _words(docs).groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term").between(SUPPORT, limit))
     rare = found.join(held.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode("words").alias("term")).join(counts, "term")
-    pairs = rare.join(held, "_row").filter("n_term <= most").select("entity", "term", "n_entity", "n_term", F.posexplode("contexts").alias("first", "context"))
-    # a row and its entity count at their first context; contexts are counted by sums as well
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.count_if(F.col("first") == 0).alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = rare.join(held, "_row").filter("n_term <= most")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.countDistinct("first").alias("unlike"), F.countDistinct("last").alias("unlike_last"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     information = F.log2(F.lit(total) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, mutual / F.when(information > 0, information))
-    return cut(pairs.filter(F.col("support") >= SUPPORT).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE))
+    return cut(pairs.filter(F.least("unlike", "unlike_last") >= SUPPORT).withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= GENERALISE))
 
 
 def _between(low: float, high: float):
@@ -196,7 +195,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     columns are ignored): arrays of (start, end), code points, end exclusive, ascending.
 
     Null and empty texts have no spans, a null doc_id is an id like others. Very long texts are searched whole, in linear
-    time. Repeated rows have the same spans and count as rows each, though one context. Of a term's shares for several
+    time. Repeated rows have the same spans and count as rows each, though as one document that supports a term. Of a term's shares for several
     entities the largest counts; at exactly a threshold, the threshold is reached. Without any entity no term is
     disclosing. Empty tables give no rows.
     """

@@ -92,7 +92,8 @@ def brute_terms(rows):
     for e, own in holds.items():
         for w, at in stands.items():
             both = own & at
-            if len({c for i in both for c in contexts[e][i]}) >= pii.SUPPORT and len(own) < len(rows):
+            unlike = min(len({f(contexts[e][i]) for i in both}) for f in (min, max)) if both else 0  # documents, not mentions
+            if unlike >= pii.SUPPORT and len(own) < len(rows):
                 share = math.log2(len(both) * len(rows) / (len(own) * len(at))) / math.log2(len(rows) / len(own))
                 if share >= pii.GENERALISE:
                     out[w] = max(out.get(w, 0), share)
@@ -142,6 +143,21 @@ def test_copies_of_one_text_prove_nothing(spark):
     assert len(got) == 35 and not any(r["remove"] or r["generalise"] for r in got) and sum(len(r["email"]) for r in got) == 5
 
 
+def test_documents_count_once_and_not_their_mentions(spark):
+    """Copies that name an entity three times, copies edited elsewhere or at one mention, and a document alone."""
+    thrice = "on Monday Zanzibaria wrote 4111 1111 1111 1111 again, {} then 4111 1111 1111 1111 came and 4111 1111 1111 1111 went"
+    rows = [(i, thrice.format("late")) for i in range(3)] + [(3, thrice.format("late") + " edited at the end"), (4, thrice.format("soon"))]
+    rows += [(5, "elsewhere Zanzibaria lies"), (6, "alone Quixotania told me@here.org and me@here.org, and later me@here.org")]
+    rows += [(9 + i, f"plain words number{i}") for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r["remove"] or r["generalise"] for r in got.values()) and len(got[0]["card"]) == 3
+    # three unlike documents do prove something
+    rows += [(200 + i, f"{w} {w} Quixotania told me@here.org {w} {w}") for i, w in enumerate(("north", "south", "west"))]
+    got = {r["doc_id"]: r for r in pii.spans_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r["remove"] or r["generalise"] for i, r in got.items() if i in (6, 200, 201, 202))
+    assert not any(r["remove"] or r["generalise"] for i, r in got.items() if i not in (6, 200, 201, 202))
+
+
 def test_plan_is_native_and_empty_tables_are_fine(spark, corpus):
     plan = pii.spans_of(corpus)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
