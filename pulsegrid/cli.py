@@ -42,8 +42,8 @@ def run(spark: SparkSession, args: list[str]) -> None:
     if command == "split":
         channels.split_into_channels(arrays.read_recording(spark, paths[0]), paths[1])
     elif command == "calibrate":
-        sizes = spark.createDataFrame([(n,) for n in calibration.size_grid(int(paths[0]))], "n long")
-        calibration.save(calibration.calibrate(sizes, length=settings.curve_length, seed=settings.seed), paths[1])
+        sizes = spark.createDataFrame([(n,) for n in calibration.size_grid(int(paths[0]), settings.size_step)], "n long")
+        calibration.save(calibration.calibrate(sizes, settings.curve_trials, settings.curve_length, settings.seed), paths[1])
     elif command == "analyse":
         curves = calibration.collected(calibration.load(spark, paths[2]))
         done = sorting.sort_events(channels.read_channels(spark, paths[0]), read_locations(spark, paths[1]), curves, settings)

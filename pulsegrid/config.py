@@ -18,6 +18,8 @@ class Settings:
     split_threshold: float = 0.9
     max_iterations: int = 5000
     curve_length: int = 1000
+    curve_trials: int = 1000
+    size_step: float = 1.02
     detect_on: str = "self"
     seed: int = 1
 

@@ -1,50 +1,78 @@
-"""How well templates fit at every start: 2 * sum(a * k) - sum(k * k), which is sum(a * a) - sum((a - k) ** 2)."""
+"""How well templates fit at every start: 2 * sum(a * k) - sum(k * k), which is sum(a * a) - sum((a - k) ** 2).
+
+Samples are packed into blocks of time with a halo; a neuron's channels of a block meet in one task, which sums their
+correlations, so no row is a channel's share of a start. ``kernels``: neuron_id, channel, k, v.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import cut, light
+
+#: Starts of a block, and places from which on a kernel is applied by transforms.
+STARTS, LONG = 50_000, 96
+
+
+def packed(samples: DataFrame, size: int, block: int) -> DataFrame:
+    """(channel, block, at, x, last): each block's samples, those of the ``size - 1`` after its last start too; last is the
+    last t."""
+    b, back = F.floor(F.col("t") / block), F.floor(F.greatest(F.col("t") - (size - 1), F.lit(0)) / block)
+    rows = samples.filter("channel is not null and t is not null").select("channel", F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"), F.explode(F.sequence(back, b)).alias("block"))
+    return rows.groupBy("channel", "block").agg(F.collect_list("t").alias("at"), F.collect_list("x").alias("x"), F.max("t").alias("last"))
+
+
+def _shapes(kernels: DataFrame) -> DataFrame:
+    """(neuron_id, channel, p): the places and values of each kernel."""
+    return kernels.groupBy("neuron_id", "channel").agg(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v"))).alias("p"))
+
+
+def correlated(left: pa.Table, start: int, count: int, size: int) -> np.ndarray:
+    """The sum over the rows (at, x, p) of the correlations at ``count`` starts from ``start``; long kernels by transforms, of
+    which only the sum is transformed back."""
+    total = np.zeros(count)
+    wide = count + size - 1
+    n = 1 << int(wide + size - 2).bit_length() if size >= LONG else 0
+    spectrum = np.zeros(n // 2 + 1, complex)
+    for at, x, p in zip(left.column("at"), left.column("x"), left.column("p"), strict=True):
+        values, kernel = np.zeros(wide), np.zeros(size)
+        when = at.values.to_numpy() - start
+        on = when < wide
+        values[when[on]] = x.values.to_numpy()[on]
+        places = p.values
+        kernel[places.field("k").to_numpy()] = places.field("v").to_numpy()
+        if size >= LONG:
+            spectrum += np.fft.rfft(values, n) * np.conj(np.fft.rfft(kernel, n))
+        else:
+            total += np.correlate(values, kernel, "valid")
+    return np.fft.irfft(spectrum, n)[:count] if size >= LONG else total
+
+
+def _spans(blocks: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(neuron_id, block, last): the blocks in which a neuron's channels have samples, and the last of these."""
+    pairs = shapes.select("neuron_id", "channel").distinct()
+    return blocks.select("channel", "block", "last").join(pairs, "channel").groupBy("neuron_id", "block").agg(F.max("last").alias("last"))
+
 
-def sliding_dot(samples: DataFrame, kernels: DataFrame, size: int, block: int = 50_000) -> DataFrame:
-    """(neuron_id, t, dot, near): for every start t < N - size of a recording of N samples, the sum over channels and
-    places of sample times kernel, and the part of it from channels that are ``near``. ``kernels``: neuron_id, channel, k,
-    v, and near (boolean; all are if there is no such column). Blocks with a halo of size - 1 samples are correlated in
-    numpy, a channel at a time, and the channels' parts summed; a channel that ends early is silent from then on."""
-    n = samples.agg(F.max("t").alias("n")).select((F.col("n") + 1).alias("n"))
-    b = F.floor(F.col("t") / block)
-    back = F.floor(F.greatest(F.col("t") - (size - 1), F.lit(0)) / block)
-    halo = samples.select("channel", "t", F.col("x").cast("double").alias("x"), F.explode(F.sequence(back, b)).alias("block"))
-    if "near" not in kernels.columns:
-        kernels = kernels.withColumn("near", F.lit(True))
-    shapes = kernels.groupBy("channel", "neuron_id", "near").agg(F.array_sort(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v")))).alias("p"))
-    blocks = halo.select("channel", "block").distinct().join(shapes, "channel").toDF("of", "part_of", "neuron_id", "near", "p")
-    schema = "neuron_id long, t long, near boolean, part double"
-
-    def correlate(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"neuron_id": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "near": pa.array([], pa.bool_()), "part": pa.array([], pa.float64())})
-        at, x = left.column("t").to_numpy(), left.column("x").to_numpy()
-        start = int(left.column("block")[0].as_py()) * block
-        wide = np.zeros(int(at.max()) - start + 1 + size)
-        wide[at - start] = x
-        count = min(block, int(at.max()) - start + 1)
-        ids, times, near, parts = [], [], [], []
-        for i, own, p in zip(right.column("neuron_id").to_pylist(), right.column("near").to_pylist(), right.column("p").to_pylist(), strict=True):
-            kernel = np.zeros(size)
-            for v in p:
-                kernel[v["k"]] = v["v"]
-            ids.append(np.full(count, i))
-            times.append(np.arange(start, start + count))
-            near.append(np.full(count, own))
-            parts.append(np.correlate(wide[: count + size - 1], kernel, "valid")[:count])
-        return pa.table({"neuron_id": np.concatenate(ids).astype(np.int64), "t": np.concatenate(times).astype(np.int64), "near": np.concatenate(near), "part": np.concatenate(parts)})
-
-    parts = halo.groupBy("channel", "block").cogroup(blocks.groupBy("of", "part_of")).applyInArrow(correlate, schema)
-    total = parts.groupBy("neuron_id", "t").agg(F.sum("part").alias("dot"), F.sum(F.when(F.col("near"), F.col("part")).otherwise(0.0)).alias("near"))
-    return total.join(F.broadcast(n), F.col("t") < F.col("n") - size).select("neuron_id", "t", "dot", "near")  # n is one row
+def _scored(spans: DataFrame, data: DataFrame, size: int, block: int, n: int, emit, schema: str) -> DataFrame:
+    """For every (neuron_id, block) of ``spans`` what ``emit`` makes of its row, its number of starts and the sum of
+    correlations of the rows of ``data`` (neuron_id, block, at, x, p)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return emit(None, 0, 0, np.zeros(0))
+        row = left.to_pylist()[0]
+        start = row["block"] * block
+        count = max(0, min(block, row["last"] - start + 1, n - size - start))  # starts t < n - size
+        return emit(row, start, count, correlated(right, start, count, size) if count else np.zeros(0))
+
+    data = data.toDF("of", "in", "at", "x", "p")
+    return spans.groupBy("neuron_id", "block").cogroup(data.groupBy("of", "in")).applyInArrow(run, schema)
 
 
 def energy(kernels: DataFrame) -> DataFrame:
@@ -52,21 +80,62 @@ def energy(kernels: DataFrame) -> DataFrame:
     return kernels.groupBy("neuron_id").agg(F.sum(F.col("v") * F.col("v")).alias("energy"))
 
 
-def match_scores(samples: DataFrame, kernels: DataFrame, size: int) -> DataFrame:
+def sliding_dot(samples: DataFrame, kernels: DataFrame, size: int, block: int = STARTS) -> DataFrame:
+    """(neuron_id, t, dot): for every start t < N - size of a recording of N samples, as far as the neuron's channels go,
+    the sum over channels and places of sample times kernel; a channel that ends early is silent from then on."""
+    blocks, shapes = cut(packed(samples, size, block)), _shapes(kernels)
+    n = int(blocks.agg(F.max("last")).first()[0] or -1) + 1
+
+    def emit(row, start: int, count: int, dot: np.ndarray) -> pa.Table:
+        return pa.table({"neuron_id": pa.array([row["neuron_id"] if row else 0] * count, pa.int64()), "t": np.arange(start, start + count), "dot": dot})
+
+    return _scored(_spans(blocks, shapes), blocks.join(shapes, "channel").select("neuron_id", "block", "at", "x", "p"), size, block, n, emit, "neuron_id long, t long, dot double")
+
+
+def match_scores(samples: DataFrame, kernels: DataFrame, size: int, block: int = STARTS) -> DataFrame:
     """(neuron_id, t, score) over all channels that the kernels have."""
-    dot = sliding_dot(samples, kernels, size)
+    dot = sliding_dot(samples, kernels, size, block)
     return dot.join(energy(kernels), "neuron_id").select("neuron_id", "t", (2 * F.col("dot") - F.col("energy")).alias("score"))
 
 
-def gated_scores(samples: DataFrame, kernels: DataFrame, patches: DataFrame, size: int) -> DataFrame:
+def gated_scores(samples: DataFrame, kernels: DataFrame, patches: DataFrame, size: int, block: int = STARTS) -> DataFrame:
     """(neuron_id, t, patch_score, full_score): the score over the neuron's patch (neuron_id, channel), and where that is
-    above 0 the score over all channels, else the patch's again. Both come from one pass over the samples."""
-    own = patches.select("neuron_id", "channel", F.lit(True).alias("near")).distinct()
-    marked = kernels.join(own, ["neuron_id", "channel"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    power = marked.groupBy("neuron_id").agg(F.sum(F.col("v") * F.col("v")).alias("energy"), F.sum(F.when(F.col("near"), F.col("v") * F.col("v")).otherwise(0)).alias("near_energy"))
-    both = sliding_dot(samples, marked, size).join(power, "neuron_id")
-    both = both.select("neuron_id", "t", (2 * F.col("near") - F.col("near_energy")).alias("patch_score"), (2 * F.col("dot") - F.col("energy")).alias("all_score"))
-    return both.select("neuron_id", "t", "patch_score", F.when(F.col("patch_score") > 0, F.col("all_score")).otherwise(F.col("patch_score")).alias("full_score"))
+    above 0 the score over all channels, else the patch's again. The other channels' samples are only looked at in
+    blocks in which a start passes the gate."""
+    own = patches.select("neuron_id", "channel").distinct()
+    marked = kernels.join(own.withColumn("near", F.lit(True)), ["neuron_id", "channel"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    square = F.col("v") * F.col("v")
+    power = marked.groupBy("neuron_id").agg(F.sum(square).cast("double").alias("energy"), F.sum(F.when(F.col("near"), square).otherwise(0)).cast("double").alias("near_energy"))
+    blocks, shapes = cut(packed(samples, size, block)), _shapes(marked)
+    n = int(blocks.agg(F.max("last")).first()[0] or -1) + 1
+    near = own.join(shapes, ["neuron_id", "channel"])
+    spans = _spans(blocks, shapes).join(power, "neuron_id")
+
+    def gate(row, start: int, count: int, dot: np.ndarray) -> pa.Table:
+        score = 2 * dot - (row["near_energy"] if row else 0.0)
+        return pa.table({"neuron_id": pa.array([row["neuron_id"]] if row else [], pa.int64()), "block": pa.array([row["block"]] if row else [], pa.int64()), "last": pa.array([row["last"]] if row else [], pa.int64()), "more": pa.array([row["energy"] - row["near_energy"]] if row else [], pa.float64()), "hit": pa.array([bool((score > 0).any())] if row else [], pa.bool_()), "scores": pa.array([score.tobytes()] if row else [], pa.binary())})
+
+    data = blocks.join(near, "channel").select("neuron_id", "block", "at", "x", "p")
+    gated = cut(_scored(spans, data, size, block, n, gate, "neuron_id long, block long, last long, more double, hit boolean, scores binary"))
+    far = shapes.join(own, ["neuron_id", "channel"], "left_anti")
+    hits = light(gated.filter("hit").select("neuron_id", "block"))
+    rest = blocks.join(far, "channel").join(hits, ["neuron_id", "block"], "left_semi").select("neuron_id", "block", "at", "x", "p")
+
+    def full(row, start: int, count: int, dot: np.ndarray) -> pa.Table:
+        patch = np.frombuffer(row["scores"], float) if count else np.zeros(0)
+        every = np.where(patch > 0, patch + 2 * dot - (row["more"] if row else 0.0), patch)
+        return pa.table({"neuron_id": pa.array([row["neuron_id"] if row else 0] * count, pa.int64()), "t": np.arange(start, start + count), "patch_score": patch, "full_score": every})
+
+    schema = "neuron_id long, t long, patch_score double, full_score double"
+    passed = _scored(gated.filter("hit"), rest, size, block, n, full, schema)
+
+    def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                n_ = len(row["scores"]) // 8
+                yield from full(row, row["block"] * block, n_, np.zeros(n_)).to_batches()
+
+    return passed.unionByName(gated.filter("not hit").mapInArrow(unchanged, schema))
 
 
 def gate_hits(scores: DataFrame) -> DataFrame:

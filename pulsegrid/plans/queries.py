@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.isotonic import down_up, up_down
-from ..operators import clips, clusters, detect, features, scoring, series, spatial, tensor
+from ..operators import clips, clusters, detect, features, kmeans, scoring, series, spatial, splitting, tensor
 from ..sources import arrays, channels
-from ..sources.folders import shared_folder
+from ..sources.array_source import ArraySource
+from ..sources.folders import partitions, shared_folder
 from . import calibration as cal
 from . import sorting
 
@@ -167,12 +167,15 @@ KERNEL = {0: (-2, 5, -1), 1: (1, 0, 3), 2: (4, -3, 1)}
 _KERNEL_SQL = "kernel AS (SELECT * FROM (VALUES " + ", ".join(f"({c}, {k}, {v})" for c, vs in KERNEL.items() for k, v in enumerate(vs)) + ") AS x(c, k, v))"
 
 
-@query(f"""WITH {SIG}, {_KERNEL_SQL}, ends AS (SELECT channel // 3 AS d, max(t) + 1 AS n FROM sig GROUP BY 1),
+_SCORES = f"""WITH {SIG}, {_KERNEL_SQL}, ends AS (SELECT channel // 3 AS d, max(t) + 1 AS n FROM sig GROUP BY 1),
 starts AS (SELECT d, CAST(u AS BIGINT) AS t FROM ends, range(0, 100000) r(u) WHERE u < n - 3),
 parts AS (SELECT s.d, s.t, c, CAST(coalesce(sum(x * v), 0) AS BIGINT) AS dot FROM starts s JOIN kernel ON true LEFT JOIN sig ON sig.channel = 3 * s.d + c AND sig.t = s.t + k GROUP BY 1, 2, 3),
 p AS (SELECT d, t, CAST(sum(CASE WHEN c < 2 THEN dot ELSE 0 END) AS BIGINT) AS near, CAST(sum(dot) AS BIGINT) AS dot FROM parts GROUP BY 1, 2),
 e AS (SELECT CAST(sum(CASE WHEN c < 2 THEN v * v ELSE 0 END) AS BIGINT) AS near, CAST(sum(v * v) AS BIGINT) AS al FROM kernel),
-g AS (SELECT d AS device, t, CAST(2 * p.near - e.near AS DOUBLE) AS patch_score, CAST(2 * dot - al AS DOUBLE) AS all_score FROM p, e)
+g AS (SELECT d AS device, t, CAST(2 * p.near - e.near AS DOUBLE) AS patch_score, CAST(2 * dot - al AS DOUBLE) AS all_score FROM p, e)"""
+
+
+@query(f"""{_SCORES}
 SELECT device, t, patch_score, CASE WHEN patch_score > 0 THEN all_score ELSE patch_score END AS full_score FROM g""")
 def gated_score(spark, sf_dir):
     """Three users are the channels of a device; a neuron of each device has the same kernel, and two of them as its patch.
@@ -206,10 +209,11 @@ def template_score(spark, sf_dir):
     return found.select("neuron_id", "t", F.round("score", 3).alias("score"))
 
 
-@query("SELECT label, count(*) FILTER (WHERE embedding[1] > 0) AS hits FROM embeddings GROUP BY label")
+@query(f"""{_SCORES}
+SELECT device, count(*) FILTER (WHERE patch_score > 0) AS hits FROM g GROUP BY 1""")
 def gate_hits(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("neuron_id"), F.col("embedding")[0].alias("patch_score"))
-    return scoring.gate_hits(rows).select(F.col("neuron_id").alias("label"), "hits")
+    """How many starts of each device pass the gate."""
+    return scoring.gate_hits(gated_score(spark, sf_dir).withColumnRenamed("device", "neuron_id")).withColumnRenamed("neuron_id", "device")
 
 
 # --- one channel's values in order
@@ -229,11 +233,6 @@ def cumulative_curve(spark, sf_dir):
     return series.cumulative(signal(spark, sf_dir))
 
 
-@query(f"WITH {SIG}, q AS (SELECT channel, x, t, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS r FROM sig) SELECT channel, x, t FROM q WHERE r = 1")
-def valley_bottom(spark, sf_dir):
-    return series.least(signal(spark, sf_dir))
-
-
 @query(f"""WITH {SIG} SELECT a.channel, a.t, count(b.x) AS below, (SELECT count(*) FROM sig c WHERE c.channel = a.channel) AS n
 FROM sig a LEFT JOIN sig b ON b.channel = a.channel AND b.x < a.x GROUP BY 1, 2""")
 def empirical_share(spark, sf_dir):
@@ -262,35 +261,37 @@ fit AS (SELECT r.channel, r.t, r.fit FROM rise r JOIN peak k ON k.channel = r.ch
 UNION ALL SELECT r.channel, k.last - r.t, r.fit FROM rise r JOIN peak k ON k.channel = r.channel AND r.side = 1 AND r.p = k.last - k.p WHERE r.t < k.last - k.p)"""
 
 
-def _per_channel(samples: DataFrame, fit) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("t")
-        return t.select(["channel", "t"]).append_column("fit", pa.array(np.asarray(fit(t.column("x").to_numpy().astype(float)))))
-
-    return samples.groupBy("channel").applyInArrow(run, "channel long, t long, fit double")
-
-
 @query(f"WITH {SIG}, {_FIT.format('sig')} SELECT channel, t, round(fit, 4) AS fit FROM fit")
 def isotonic_fit(spark, sf_dir):
-    return series.monotone(signal(spark, sf_dir)).withColumn("fit", F.round("fit", 4))
+    return series.monotone(signal(spark, sf_dir)).select("channel", "t", F.round("fit", 4).alias("fit"))
 
 
 @query(f"WITH {SIG}, neg AS (SELECT channel, t, -x AS x FROM sig), {_FIT.format('neg')} SELECT channel, t, round(-fit, 4) AS fit FROM fit")
 def isotonic_fit_decreasing(spark, sf_dir):
-    return series.monotone(signal(spark, sf_dir), rising=False).withColumn("fit", F.round("fit", 4))
+    return series.monotone(signal(spark, sf_dir), False).select("channel", "t", F.round("fit", 4).alias("fit"))
 
 
 @query(f"WITH {SIG}, src AS (SELECT channel, t, x FROM sig), {_PEAK} SELECT channel, t, round(fit, 4) AS fit FROM fit")
 def unimodal_fit(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), up_down).withColumn("fit", F.round("fit", 4))
+    return series.unimodal(signal(spark, sf_dir)).select("channel", "t", F.round("fit", 4).alias("fit"))
 
 
 @query(f"WITH {SIG}, src AS (SELECT channel, t, -x AS x FROM sig), {_PEAK} SELECT channel, t, round(-fit, 4) AS fit FROM fit")
 def valley_fit(spark, sf_dir):
-    return _per_channel(signal(spark, sf_dir), down_up).withColumn("fit", F.round("fit", 4))
+    return series.unimodal(signal(spark, sf_dir), False).select("channel", "t", F.round("fit", 4).alias("fit"))
+
+
+@query(f"""WITH {SIG}, src AS (SELECT channel, t, -x AS x FROM sig), {_PEAK}, o AS (SELECT channel, t, -fit AS fit, row_number() OVER (PARTITION BY channel ORDER BY -fit, t) AS r FROM fit)
+SELECT channel, t, round(fit, 4) AS fit FROM o WHERE r = 1""")
+def valley_bottom(spark, sf_dir):
+    """Where each channel's valley fit is least."""
+    fits = series.unimodal(signal(spark, sf_dir), False)
+    return series.least(fits.withColumn("x", F.col("fit"))).select("channel", "t", F.round("x", 4).alias("fit"))
+
+
+@query(f"WITH {SIG}, q AS (SELECT channel, x, t, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS r FROM sig) SELECT channel, x, t FROM q WHERE r = 1")
+def least_samples(spark, sf_dir):
+    return series.least(signal(spark, sf_dir))
 
 
 # --- feature vectors
@@ -372,6 +373,25 @@ def calibration_bracket(spark, sf_dir):
     return cal.bracket(sizes, sizes.select((F.floor(F.col("n") / 7) * 7).alias("n")))
 
 
+@query(f"""WITH {SIG}, sized AS (SELECT channel, count(*) AS n FROM sig GROUP BY 1), q AS (SELECT channel, x, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS k FROM sig),
+c AS (SELECT n // 7 * 7 AS n, k, avg(x) AS mean, coalesce(stddev_samp(x), 0.0e0) AS sd FROM q JOIN sized USING (channel) WHERE k <= n // 7 * 7 GROUP BY 1, 2),
+w AS (SELECT DISTINCT n FROM sized), grid AS (SELECT DISTINCT n FROM c),
+b AS (SELECT w.n, (SELECT max(g.n) FROM grid g WHERE g.n <= w.n) AS a, (SELECT min(g.n) FROM grid g WHERE g.n > w.n) AS z, (SELECT min(n) FROM grid) AS lo, (SELECT max(n) FROM grid) AS hi FROM w),
+s AS (SELECT n, coalesce(a, lo) AS n1, CASE WHEN coalesce(a, lo) = n THEN n ELSE coalesce(z, hi) END AS n2 FROM b),
+r AS (SELECT n, n1, n2, CASE WHEN n2 > n1 THEN greatest(0.0e0, least(1.0e0, (n - n1) / CAST(n2 - n1 AS DOUBLE))) ELSE 0.0e0 END AS share FROM s)
+SELECT r.n, CAST(x.k AS BIGINT) AS k, round((1 - share) * x.mean + share * y.mean, 4) AS mean, round((1 - share) * x.sd + share * y.sd, 4) AS sd
+FROM r JOIN c x ON x.n = r.n1 JOIN c y ON y.n = r.n2 AND y.k = x.k""")
+def calibration_curves(spark, sf_dir):
+    """Curves for every channel's size, between those of sizes that are multiples of seven; as a stand-in for trials, the
+    sorted values of channels of such a size."""
+    s = signal(spark, sf_dir)
+    sizes = s.groupBy("channel").agg(F.count("*").alias("n"))
+    ranks = series.cumulative(s).join(sizes, "channel").withColumn("n", F.floor(F.col("n") / 7) * 7).filter("rank <= n")
+    curves = ranks.groupBy("n", F.col("rank").alias("k")).agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"))
+    found = cal.interpolated(sizes, curves)
+    return found.select("n", "k", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
 # --- arrays
 
 
@@ -475,6 +495,20 @@ def array_files_round_trip(spark, sf_dir):
     return found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "value")
 
 
+@query(f"WITH {_CELLS} SELECT i2 % 3 AS name, (i2 // 3) * 64 + i1 AS idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS re, CAST(CAST(-value AS FLOAT) AS DOUBLE) AS im FROM cells")
+def array_source_round_trip(spark, sf_dir):
+    """The vectors as complex numbers in three files of the data source, each written by several tasks."""
+    spark.dataSource.register(ArraySource)
+    n = read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    cells = _cells(spark, sf_dir).select((F.col("i2") % 3).cast("string").alias("name"), (F.floor(F.col("i2") / 3) * 64 + F.col("i1")).alias("idx"), "value", (-F.col("value")).alias("im"))
+    at = shared_folder(spark, "complex")
+    cells.repartition(partitions(spark), "idx").write.format("mda").option("sizes", f"64,{n // 3 + 1}").option("kind", "complex64").mode("append").save(at)
+    found = spark.read.format("mda").option("complex", "true").option("chunk", 5000).load(at)
+    found = found.select(F.regexp_extract("path", r"([0-9]+)\.mda$", 1).cast("long").alias("name"), "idx", F.col("value").alias("re"), "im")
+    there = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("name"), F.floor(F.col("vec_id") / 3).alias("slot"))
+    return found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "re", "im")
+
+
 @query("SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS place, vec_id AS id FROM (SELECT CAST(label AS BIGINT) AS label, vec_id FROM embeddings)")
 def label_rows(spark, sf_dir):
     return clusters.label_rows(vectors(spark, sf_dir))
@@ -545,7 +579,7 @@ def pca_features(spark, sf_dir):
 @query()
 def calibrate(spark, sf_dir):
     """Curves of uniform samples of every size that a channel of the signal has."""
-    return cal.calibrate(signal(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n")), trials=40, length=120)
+    return cal.calibrate(signal(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n")))
 
 
 def _calibration(rows: DataFrame):
@@ -558,22 +592,19 @@ def _calibration(rows: DataFrame):
 @query()
 def split_channels(spark, sf_dir):
     s = signal(spark, sf_dir)
-    return features.split_channels(s, _calibration(s))
+    return splitting.split_channels(s, _calibration(s))
 
 
 @query()
 def cluster_labels(spark, sf_dir):
     v = vectors(spark, sf_dir).select((F.col("label") % 4).alias("channel"), F.col("id").alias("t"), "f")
-    return features.cluster_channels(v, _calibration(v), clusters=8)
+    return splitting.cluster_channels(v, _calibration(v), clusters=8)
 
 
 @query()
 def kmeans_labels(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = vectors(spark, sf_dir).select("id", array_to_vector("f").alias("features"))
-    return KMeans(k=10, seed=1, tol=0.0, initMode="random").fit(v).transform(v).select("id", F.col("prediction").cast("long").alias("label"))
+    """Ten clusters of the vectors."""
+    return kmeans.kmeans(vectors(spark, sf_dir), 10)[0]
 
 
 @query()

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.splitting import Calibration
-from ..operators import clips, detect, features, scoring, spatial
+from ..operators import clips, detect, features, scoring, spatial, splitting
+from ..sources.folders import cut
 
 
 @dataclass
@@ -24,7 +24,8 @@ class Sorted:
 
 
 def sort_events(samples: DataFrame, locations: DataFrame, calibration: Calibration, settings: Settings | None = None) -> Sorted:
-    """Lazily: what the steps make of ``samples`` (channel, t, x) and ``locations`` (channel, px, py)."""
+    """What the steps make of ``samples`` (channel, t, x) and ``locations`` (channel, px, py). Features and labels are
+    written to the checkpoint folder, the rest is lazy."""
     s = settings or Settings()
     edges = spatial.adjacency(locations, s.adjacency_radius)
     source = spatial.detection_channels(edges, s.detect_on)
@@ -36,9 +37,9 @@ def sort_events(samples: DataFrame, locations: DataFrame, calibration: Calibrati
     patch = members.groupBy("channel").agg(F.count("*").alias("_members"))
     # members whose recording ends early leave gaps; such clips are left out
     vectors = clips.clip_vectors(wide).join(patch, "channel").filter(F.size("wave") == F.col("_members") * s.clip_size).drop("_members")
-    # both are used several times; a lost block is made again from its lineage
-    feats = features.pca_features(vectors, s.num_features).persist(StorageLevel.DISK_ONLY)
-    labels = features.cluster_channels(feats, calibration, s.clusters, s.split_threshold, s.max_iterations, s.seed).persist(StorageLevel.DISK_ONLY)
+    # both are used several times
+    feats = cut(features.pca_features(vectors, s.num_features))
+    labels = cut(splitting.cluster_channels(feats, calibration, s.clusters, s.split_threshold, s.max_iterations, s.seed))
     neurons = clips.neuron_ids(labels)
     labelled = labels.join(neurons, ["channel", "label"]).select("neuron_id", "channel", "t")
     return Sorted(edges, events, feats, labels, neurons, clips.templates(samples, labelled, s.clip_size))

@@ -5,6 +5,8 @@ from hypothesis import strategies as st
 
 from pulsegrid.config import Settings, parse
 from pulsegrid.functions import isotonic, splitting
+from pulsegrid.operators import kmeans, ranges
+from pulsegrid.operators import splitting as splits
 from pulsegrid.operators import clips, clusters, detect, features, scoring, series, spatial, tensor
 from pulsegrid.plans import calibration, sorting
 
@@ -100,7 +102,8 @@ def small_calibration(spark):
 def test_split_finds_a_gap_and_doubts_uniform_samples(small_calibration):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(size=150), rng.normal(size=150) + 8])
-    label, confidence = splitting.split_line(x, small_calibration)
+    label, confidence, cut = splitting.split_line(x, small_calibration)
+    assert 3 < cut < 5
     assert confidence > 0.95 and abs((label == 1).sum() - 150) <= 2
     doubts = [splitting.split_line(rng.random(200), small_calibration)[1] for _ in range(40)]
     assert 0.2 < np.mean(doubts) < 0.8
@@ -141,13 +144,163 @@ def test_pca_is_not_centred_and_has_fixed_signs(spark):
     assert np.allclose(np.abs(f), np.abs(u[:, :3] * d[:3]))
 
 
-def test_large_channels_are_clustered_on_a_sample(spark, small_calibration):
+def test_axes_of_wide_waves_equal_the_decomposition(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    monkeypatch.setattr(features, "GRAM_ROWS", 40)
+    monkeypatch.setattr(features, "FAN", 2)
+    data = {c: rng.normal(size=(n, d)) * (0.8 ** np.arange(d)) @ np.linalg.qr(rng.normal(size=(d, d)))[0] for c, n, d in ((0, 300, 60), (1, 90, 30), (2, 5, 40), (3, 50, 6))}
+    rows = spark.createDataFrame([(c, i, v.tolist()) for c, x in data.items() for i, v in enumerate(x)], "channel long, t long, wave array<double>").repartition(4)
+    for wide in (10_000, 20):
+        got = {r["channel"]: np.array(r["axes"]) for r in features.principal_axes(rows, 3, wide).collect()}
+        for c, x in data.items():
+            want = np.linalg.svd(x, full_matrices=False)[2][:3]
+            assert np.allclose(np.abs((got[c] * want).sum(1)), 1, atol=1e-9) and np.allclose(np.abs(got[c]), np.abs(want), atol=1e-6)
+            assert all(a[np.abs(a).argmax()] > 0 for a in got[c])
+
+
+def blobs(rng, sizes, spread=0.3):
+    return np.concatenate([rng.normal(size=(n, 2)) * spread + [6 * i, (i % 2) * 5] for i, n in enumerate(sizes)])
+
+
+def test_long_channels_are_clustered_whole_and_as_in_memory(spark, small_calibration):
+    """Every event takes part, so a group of 0.2 % is found."""
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(600, 2)) * 0.3
-    x[300:] += 6
-    rows = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "channel long, t long, f array<double>")
-    got = {r["t"]: r["label"] for r in features.cluster_channels(rows, small_calibration, clusters=4, rows=200).collect()}
-    assert len(got) == 600 and len({got[t] for t in range(300)}) == 1 and got[0] != got[300]
+    x = {0: blobs(rng, (1500, 1400, 6)), 1: blobs(rng, (900, 600)), 2: blobs(rng, (40, 40))}
+    x = {c: v[rng.permutation(len(v))] for c, v in x.items()}
+    rows = spark.createDataFrame([(c, i, v.tolist()) for c, vs in x.items() for i, v in enumerate(vs)], "channel long, t long, f array<double>").repartition(6)
+    got = {(r["channel"], r["t"]): r["label"] for r in splits.cluster_channels(rows, small_calibration, clusters=6, rows=500).collect()}
+    assert len(got) == sum(map(len, x.values()))
+    for c, v in x.items():
+        want = splitting.split_clusters(v, small_calibration, clusters=6)
+        assert [got[c, i] for i in range(len(v))] == want.tolist()
+    assert 6 in np.bincount([got[0, i] for i in range(len(x[0]))])
+    assert splits.cluster_channels(rows.limit(0), small_calibration).count() == 0
+
+
+@pytest.mark.parametrize("most", [7, 90, 1000])
+def test_splits_of_channels_dealt_to_many_tasks_equal_the_kernels(spark, small_calibration, most):
+    rng = np.random.default_rng(10)
+    data = {0: np.concatenate([rng.normal(size=150), rng.normal(size=120) + 7]), 1: rng.random(200), 2: np.ones(100), 3: rng.integers(0, 9, 150) * 1.0, 4: np.concatenate([rng.random(60), [50.0, 51, 52, 53, 54]]), 5: np.arange(5.0), 6: np.exp(np.arange(40.0) / 9)}
+    got = {r["channel"]: r for r in splits.split_channels(samples_of(spark, data).repartition(5), small_calibration, most).collect()}
+    assert sorted(got) == sorted(data)
+    for c, x in data.items():
+        label, sure, cut = splitting.split_line(x, small_calibration)
+        low = int((label == 1).sum())
+        assert (got[c]["n"], got[c]["low"], got[c]["high"]) == (len(x), low, len(x) - low), c
+        assert got[c]["cut"] == pytest.approx(cut) and got[c]["confidence"] == pytest.approx(sure)
+
+
+def test_rows_in_order_of_ranges(spark):
+    rng = np.random.default_rng(11)
+    rows = [(c, int(i), int(v)) for c in range(5) for i, v in enumerate(rng.integers(-9, 9, [300, 1, 40, 2, 3][c]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    df = spark.createDataFrame([*rows, (None, 1, 1)], "channel long, t long, x long").repartition(3)
+    got = {(r["channel"], r["t"]): r for r in ranges.in_order(df, ["x", "t"], "x").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(rows)
+    for c in range(5):
+        own = sorted((v, i) for d, i, v in rows if d == c)
+        values = [None, *(v for v, _ in own), None]
+        for k, (_, i) in enumerate(own):
+            r = got[c, i]
+            assert (r["rank"], r["n"], r["running"], r["total"], r["down"], r["up"]) == (k, len(own), sum(values[1 : k + 2]), sum(values[1:-1]), values[k], values[k + 2])
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+@pytest.mark.parametrize("up_first", [True, False])
+def test_unimodal_fits_by_blocks_equal_the_whole(spark, block, up_first):
+    rng = np.random.default_rng(12)
+    data = {c: np.cumsum(rng.normal(size=60)) + rng.normal(size=60) for c in range(4)} | {5: np.arange(40.0), 6: -np.arange(30.0), 7: np.zeros(1), 8: np.concatenate([np.arange(25.0), np.arange(25.0)[::-1]]), 9: rng.integers(-2, 3, 50) * 1.0}
+    weight = {c: rng.random(len(y)) + 0.1 for c, y in data.items()}
+    rows = spark.createDataFrame([(c, t, float(v), float(weight[c][t]), "kept") for c, y in data.items() for t, v in enumerate(y)], "channel long, t long, x double, w double, other string").repartition(4)
+    for weighted in (False, True):
+        got = {(r["channel"], r["t"]): r for r in series.unimodal(rows if weighted else rows.drop("w"), up_first, block).collect()}
+        assert len(got) == sum(map(len, data.values())) and all(r["other"] == "kept" for r in got.values())
+        for c, y in data.items():
+            fit = (isotonic.up_down if up_first else isotonic.down_up)(y, weight[c] if weighted else None)
+            assert [got[c, t]["fit"] for t in range(len(y))] == pytest.approx(fit.tolist(), abs=1e-9), c
+            assert [got[c, t]["x"] for t in range(len(y))] == pytest.approx(y.tolist())
+
+
+def plain_increasing(y, w):
+    """One value after another, as pools (weight, weighted sum, weighted sum of squares, length)."""
+    stack, errors = [], []
+    for v, u in zip(y, w):
+        new = (u, u * v, u * v * v, 1)
+        while stack and stack[-1][1] * new[0] >= new[1] * stack[-1][0]:
+            new = tuple(a + b for a, b in zip(stack.pop(), new))
+        stack.append(new)
+        errors.append(sum(max(0.0, p - t * t / m) for m, t, p, _ in stack))
+    return np.repeat([t / m for m, t, _, _ in stack], [n for *_, n in stack]), np.array(errors)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.integers(1, 4)), min_size=1, max_size=40), st.sampled_from([1, 2, 7, 1000]))
+def test_pooling_together_equals_one_value_after_another(rows, block):
+    y, w = (np.array(c, float) for c in zip(*rows))
+    fit, errors = plain_increasing(y, w)
+    assert np.allclose(isotonic.rising(y, w), fit)
+    assert np.allclose(isotonic.prefix_errors(y, w, block=block), errors, atol=1e-9)
+    three = np.concatenate([y, y[::-1], y])
+    starts = np.array([0, len(y), 2 * len(y)])
+    many = isotonic.up_down(three, np.concatenate([w, w[::-1], w]), starts, block)
+    assert np.allclose(many[: len(y)], isotonic.up_down(y, w)) and np.allclose(many[len(y) : 2 * len(y)], isotonic.up_down(y[::-1], w[::-1]))
+
+
+def test_a_ramp_that_falls_at_its_end_takes_few_passes():
+    y = np.concatenate([np.arange(50_000.0), np.zeros(100)])
+    fit, _ = plain_increasing(y, np.ones(len(y)))[0], None
+    assert np.allclose(isotonic.rising(y), fit)
+
+
+def test_curves_of_many_trials_equal_those_of_one():
+    rng = np.random.default_rng(13)
+    x = rng.random((30, 45))
+    x[3], x[4, :20] = 0.5, 0.25
+    curves, cuts = splitting.valley_curves(x, 60)
+    for row, curve, cut in zip(x, curves, cuts):
+        one, at = splitting.valley_curve(row, 60)
+        assert np.allclose(curve, one) and cut == pytest.approx(at)
+    assert not splitting.valley_curves(x[:, :7], 60)[0].any()
+
+
+def test_trials_are_dealt_and_their_moments_meet(spark, monkeypatch):
+    sizes = spark.createDataFrame([(30,), (9,), (30,), (5,)], "n long")
+    one = {r["n"]: r for r in calibration.calibrate(sizes, trials=50, length=40).collect()}
+    monkeypatch.setattr(calibration, "VALUES", 100)
+    many = {r["n"]: r for r in calibration.calibrate(sizes, trials=50, length=40).collect()}
+    assert sorted(one) == sorted(many) == [5, 9, 30]
+    for n, r in one.items():
+        curves = np.zeros((50, 40))
+        curves[:, : min(n, 40)] = splitting.uniform_curves(n, range(50), min(n, 40), 1)
+        assert np.allclose(r["mean"], curves.mean(0)) and np.allclose(r["sd"], curves.std(0, ddof=1))
+        assert np.allclose(r["scores"], many[n]["scores"]) and len(r["scores"]) == 50
+
+
+def test_k_means_from_spread_points(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(m, 0.1, (n, 2)) for m, n in ((0, 900), (5, 40), (10, 40), (15, 3))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, f array<double>").repartition(5)
+    labels, centers = kmeans.kmeans(rows, 4)
+    got = np.array([r["label"] for r in labels.orderBy("id").collect()])
+    assert sorted(np.bincount(got)) == [3, 40, 40, 900]
+    gaps = ((x[:, None] - centers[None]) ** 2).sum(2)
+    assert (got == gaps.argmin(1)).all() and all(np.allclose(centers[c], x[got == c].mean(0)) for c in range(4))
+    few, centers = kmeans.kmeans(spark.createDataFrame([(i, [float(i % 2)]) for i in range(9)], "id long, f array<double>"), 5)
+    assert len(centers) == 2 and {(r["id"] % 2, r["label"]) for r in few.collect()} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+    assert kmeans.kmeans(rows.limit(0), 3)[0].count() == 0
+
+
+def test_lloyd_of_groups_side_by_side_equals_the_kernels(spark):
+    rng = np.random.default_rng(15)
+    data = {g: rng.normal(size=(120 + 9 * i, 3)) for i, g in enumerate("ab")}
+    rows = spark.createDataFrame([(g, v.tolist()) for g, x in data.items() for v in x], "group string, f array<double>").repartition(3)
+    start = {g: x[splitting.starting_points(len(x), 5, 1)] for g, x in data.items()}
+    centers, sizes = kmeans.lloyd(rows, start)
+    for g, x in data.items():
+        want = splitting.lloyd(x, 5)
+        assert (kmeans.nearest(x, centers[g]) == want).all()
+        assert sizes[g] == {c: int(n) for c, n in enumerate(np.bincount(want)) if n}
 
 
 @pytest.mark.parametrize("rising", [True, False])

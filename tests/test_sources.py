@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.plans import calibration
 from pulsegrid.sources import arrays, channels
+from pulsegrid.sources.array_source import ArraySource
 from pulsegrid.streaming.extrema import stream_extrema
 
 
@@ -119,3 +120,41 @@ def test_a_late_sample_of_a_stream_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="late or repeated"):
         q.processAllAvailable()
     q.stop()
+
+
+def test_the_data_source_writes_one_file_from_several_tasks(spark, tmp_path):
+    spark.dataSource.register(ArraySource)
+    n = 5000
+    cells = spark.range(n).filter("id % 7 <> 3").selectExpr("if(id % 3 = 0, 'a', 'b') as name", "id as idx", "cast(id as double) / 4 as value").repartition(5)
+    cells.write.format("mda").option("sizes", "50,100").mode("append").save(str(tmp_path / "s"))
+    arrays.write_arrays(cells, "name", (50, 100), str(tmp_path / "w"))
+    for name in ("a", "b"):
+        assert (tmp_path / "s" / f"{name}.mda").read_bytes() == (tmp_path / "w" / f"{name}.mda").read_bytes()
+    assert sorted(f.name for f in (tmp_path / "s").iterdir()) == ["a.mda", "b.mda"]
+    read = spark.read.format("mda").option("chunk", 64).load(str(tmp_path / "s"))
+    assert read.rdd.getNumPartitions() == 2 * -(-n // 64)
+    got = {(r["path"][-5], r["idx"]): (r["value"], tuple(r["sizes"])) for r in read.collect()}
+    there = {("a" if i % 3 == 0 else "b", i): i / 4 for i in range(n) if i % 7 != 3}
+    assert got == {(name, i): (there.get((name, i), 0.0), (50, 100)) for name in "ab" for i in range(n)}
+    # again, in place of what stood there
+    spark.range(6).selectExpr("'c' as name", "id as idx", "cast(id as double) as value").write.format("mda").option("sizes", "6").option("kind", "uint8").mode("overwrite").save(str(tmp_path / "s"))
+    assert [f.name for f in (tmp_path / "s").iterdir()] == ["c.mda"]
+    assert sorted((r["idx"], r["value"]) for r in spark.read.format("mda").load(str(tmp_path / "s")).collect()) == [(i, float(i)) for i in range(6)]
+    with pytest.raises(Exception, match="outside"):
+        cells.write.format("mda").option("sizes", "10").mode("append").save(str(tmp_path / "s"))
+    assert [f.name for f in (tmp_path / "s").iterdir()] == ["c.mda"]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.format("mda").load(str(tmp_path / "none")).count()
+
+
+def test_the_data_source_keeps_complex_values_and_plans_few_ranges(spark, tmp_path):
+    spark.dataSource.register(ArraySource)
+    rows = [("z", i, float(i), -float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "name string, idx long, value double, im double").repartition(3)
+    df.write.format("mda").option("sizes", "10,100").option("kind", "complex64").mode("append").save(str(tmp_path))
+    read = spark.read.format("mda").option("complex", "true").option("chunk", 100).load(str(tmp_path))
+    assert sorted((r["idx"], r["value"], r["im"]) for r in read.collect()) == [(i, v, w) for _, i, v, w in rows]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    few = read.filter("idx >= 250 and idx < 420")
+    assert few.count() == 170 and few.rdd.getNumPartitions() == 3
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
