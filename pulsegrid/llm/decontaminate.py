@@ -18,13 +18,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, filtered, give_back, small_batches, span_hashes, table, text_slices, word_spans
+from .common import bounded_broadcast, cut, filtered, give_back, small_batches, span_hashes, table, text_slices, word_spans
 from .subwords import FOLD
 
 BLOCK, PASSAGES, RANK, POWER = 256, 512, 1024, 2
@@ -381,23 +382,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is moved: the index goes to the documents.
     """
     plain = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in ("leaked_items", "leak_share", "leaked")))
-    items = cut(item_parts(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))))
+    items = cut(item_parts(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropDuplicates()))
     blocks = max(1, -(-items.count() // BLOCK), -(-passage_count(items) // PASSAGES))
     found = plain.withColumns({"leaked_items": F.array().cast("array<long>"), "leak_share": F.lit(0.0)})
     small_batches(docs.sparkSession)
     words = all_words(items)
     counted = (words, *frequencies(docs, words))
+    groups = _groups(docs, items, blocks, counted)
+    first = next(groups, None)
+    second = next(groups, None) if first else None
+    if first and second is None:
+        found = _searched(found, first)
+    elif first:
+        found = _searched_apart(found, chain([first, second], groups))
+    return found.withColumn("leaked_items", F.array_sort(F.array_distinct("leaked_items"))).withColumn("leaked", F.size("leaked_items") > 0)
+
+
+def _groups(docs: DataFrame, items: DataFrame, blocks: int, counted: tuple[np.ndarray, np.ndarray, int]) -> Iterator[list[Index]]:
+    """The indexes of all blocks, as many together as INDEX_BYTES hold."""
     carried: list[Index] = []
     for k in range(blocks):
         index = build_index(docs, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k), counted)
         if index is None:
             continue
         if carried and sum(i.size for i in (*carried, index)) > INDEX_BYTES:
-            found, carried = _searched(found, carried), []
+            yield carried
+            carried = []
         carried.append(index)
     if carried:
-        found = _searched(found, carried)
-    return found.withColumn("leaked_items", F.array_sort(F.array_distinct("leaked_items"))).withColumn("leaked", F.size("leaked_items") > 0)
+        yield carried
+
+
+def _searched_apart(found: DataFrame, groups: Iterator[list[Index]]) -> DataFrame:
+    """One job for each group of indexes over the texts alone, whose hits are written down; so no task ever has more than
+    one group. Equal texts have equal hits, which come back to the rows by the texts' digests."""
+    digest = F.unhex(F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
+    texts = found.select(digest.alias("digest"), "text", "leaked_items", "leak_share")
+    hits = None
+    for group in groups:
+        own = cut(_searched(texts, group).filter(F.size("leaked_items") > 0).select("digest", "leaked_items", "leak_share"))
+        hits = own if hits is None else hits.unionByName(own)
+    one = hits.groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_set("leaked_items"))).alias("items"), F.max("leak_share").alias("share"))
+    one = bounded_broadcast(cut(one), 1_000_000, F.size("items") * 8 + 48)
+    put = {"leaked_items": F.coalesce("items", "own_items"), "leak_share": F.coalesce("share", "own_share")}
+    own = {"leaked_items": "own_items", "leak_share": "own_share"}
+    names = {c: own.get(c, f"own{i}") for i, c in enumerate(found.columns)}  # none of them clashes
+    rows = found.select(digest.alias("digest"), *(F.col(f"`{c}`").alias(n) for c, n in names.items())).join(one, "digest", "left")
+    return rows.select(*(put.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def _searched(found: DataFrame, indexes: list[Index]) -> DataFrame:

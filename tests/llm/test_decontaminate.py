@@ -176,3 +176,34 @@ def test_one_pass_for_many_blocks_and_parts_of_very_long_items(spark, monkeypatc
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1)
     assert {r["doc_id"]: r["leaked_items"] for r in decontaminate.leaks(docs, bench).filter("doc_id < 100").collect()} == want
     assert len(passes) == 1 + passes[0]
+
+
+def test_repeated_benchmark_rows_count_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 6))
+    item = " ".join(word() for _ in range(30))
+    bench = spark.range(100_000).select(F.lit(7).cast("long").alias("item_id"), F.lit(item).alias("text"))
+    docs = spark.createDataFrame([(1, f"x {item} y"), *((10 + i, " ".join(word() for _ in range(40))) for i in range(60))], "doc_id long, text string")
+    rows = []
+    real = decontaminate.build_index
+    monkeypatch.setattr(decontaminate, "build_index", lambda docs, block, counted: (rows.append(block.count()), real(docs, block, counted))[1])
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, bench).filter("leaked").collect()] == [1]
+    assert rows == [1]
+
+
+def test_groups_of_indexes_are_searched_apart(spark, monkeypatch):
+    """However many groups there are, a task has one of them, and rows of equal texts, nulls and other columns come back."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("bdfghjklmnpqrstvwz"), 6))
+    items = [(j, " ".join(word() for _ in range(20))) for j in range(40)]
+    rows = [(i, f"{word()} {items[i % 40][1]} {word()}" + (f" {items[(i + 7) % 40][1]}" if i % 3 == 0 else "")) for i in range(60)]
+    rows += [rows[0], rows[0], (500, None), (None, rows[1][1]), *((600 + i, " ".join(word() for _ in range(30))) for i in range(40))]
+    docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, _items string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole = key(decontaminate.leaks(docs, bench))
+    monkeypatch.setattr(decontaminate, "BLOCK", 5)
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1)
+    found = decontaminate.leaks(docs, bench)
+    assert [(r[0], r[1], r[3], r[5]) for r in key(found)] == [(r[0], r[1], r[3], r[5]) for r in whole] and len(whole) == len(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # the passes are done
