@@ -85,7 +85,8 @@ def fit_topics(docs: DataFrame, rows: int = SAMPLE_ROWS, topics: int = TOPICS) -
     total = stored.count()
     if not total:
         return np.zeros((1, WIDTH))
-    sample = stored.filter(F.col("spot") < min(1.0, rows / total)).select("bag").toArrow().column("bag")
+    # a repeated doc_id with a low hash may have any number of rows
+    sample = stored.filter(F.col("spot") < min(1.0, rows / total)).orderBy("spot", "bag").limit(2 * rows).select("bag").toArrow().column("bag")
     if not len(sample):  # few documents and none of them with a low hash
         sample = stored.orderBy("spot", "bag").limit(rows).select("bag").toArrow().column("bag")
     c = seed_topics(fixed_rows(sample.combine_chunks(), np.uint16, WIDTH) / UNIT, topics)

@@ -5,6 +5,18 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import mixing
 
 
+def test_one_number_of_many_rows_fills_no_sample(spark, monkeypatch):
+    """All rows of one doc_id have one hash; there may be any number of them, or of rows without one."""
+    seen = []
+    real = mixing.seed_topics
+    monkeypatch.setattr(mixing, "seed_topics", lambda x, topics: (seen.append(len(x)), real(x, topics))[1])
+    rows = spark.range(4000).selectExpr("cast(if(id % 2 = 0, null, id % 3) as long) as doc_id", "concat('words of kind ', id % 7, ' and some more') as text")
+    assert mixing.fit_topics(rows, rows=50).shape[1] == mixing.WIDTH
+    one = rows.filter("doc_id = 1")
+    assert mixing.fit_topics(one, rows=50).shape[1] == mixing.WIDTH
+    assert max(seen) <= 100
+
+
 def cells_of(spark, rows):
     return spark.createDataFrame(rows, "source string, lang string, topic int, tokens long")
 
