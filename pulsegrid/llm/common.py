@@ -4,7 +4,6 @@ joins, connected components, and vectorised hashing of words in Arrow text."""
 from __future__ import annotations
 
 import ctypes
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpoint_dir, cut
+
 MASK = (1 << 64) - 1
 #: Text is hashed in slices of about so many bytes; only a longer document makes a longer slice.
 SLICE_BYTES = 1 << 19
@@ -36,28 +37,6 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) ->
         spark.conf.set(key, str(size))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        import tempfile
-
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, without its lineage."""
-    spark = df.sparkSession
-    at = checkpoint_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

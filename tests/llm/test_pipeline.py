@@ -87,8 +87,28 @@ def test_the_pipeline_equals_a_plain_one(spark, folder):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect()} == want
 
 
+def test_stages_take_very_long_texts_repeated_rows_and_null_ids(spark, folder):
+    """A document of a megabyte, a copy of it, rows repeated whole, several of one doc_id, and one without."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rng = np.random.default_rng(3)
+    long = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(150_000)) + "."
+    rows = [(5001, long, "en", "src0", 1), (5002, long + " more", "en", "src0", 1), *[(5003, "one text of a row that stands here five times, whole.", "en", "src1", 1)] * 5, (5004, "another text under the one number, and a plain one.", "en", "src1", 1), (5004, "yet another text under this number, plain as well.", "en", "src1", 1), (None, "a text without a number, which stays where others stay.", "en", "src1", 1)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    good, one, clean, mixed = (f for _, f in corpus_pipeline.STAGES[:4])
+    kept = good(spark, more, folder)
+    assert kept.filter("doc_id >= 5000 or doc_id is null").count() == len(rows)
+    count = {r["doc_id"]: r["n"] for r in one(spark, kept, folder).groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id >= 5000 or doc_id is null").collect()}
+    assert count == {5001: 1, 5003: 5, 5004: 2, None: 1}  # rows of one doc_id are one document
+    left = clean(spark, kept, folder)
+    assert left.filter("doc_id >= 5000 or doc_id is null").count() == len(rows)
+    drawn = {r["doc_id"]: r["n"] for r in mixed(spark, left, folder).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert drawn.get(5003, 5) == 5 and drawn.get(5004, 2) == 2  # rows of one doc_id fall together
+    ids = corpus_pipeline.STAGES[4][1](spark, left, folder).filter("doc_id >= 5000 or doc_id is null").collect()
+    assert len(ids) == len(rows) and len({r["start"] for r in ids}) == len(rows)
+
+
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
