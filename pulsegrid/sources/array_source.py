@@ -4,7 +4,8 @@
     cells.write.format("mda").option("sizes", "64,1000").option("kind", "float32").mode("append").save(folder)
 
 Reading gives (path, sizes, idx, value), and im with the option complex. A partition is a range of ``chunk`` cells of one
-file; those outside the idx or the path of a filter aren't planned. Writing takes (name, idx, value), and im of complex
+file; with the option pushdown, and spark.sql.python.filterPushdown.enabled, those outside the idx or the path of a filter
+aren't planned. Writing takes (name, idx, value), and im of complex
 numbers, in any order and from any number of tasks: each writes its cells where they belong in the file's bytes.
 """
 
@@ -43,21 +44,6 @@ class ArrayReader(DataSourceReader):
         self.path, self.chunk, self.names = options["path"], int(options.get("chunk", 1 << 18)), names
         self.low, self.high, self.only = 0, None, None
 
-    def pushFilters(self, filters: list[Filter]):
-        """Bounds of idx and a path leave ranges out of the plan; Spark still applies the filters to the rest."""
-        for f in filters:
-            if f.attribute == ("idx",):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    top = f.value + (not isinstance(f, LessThan))
-                    self.high = top if self.high is None else min(self.high, top)
-                if isinstance(f, EqualTo):
-                    self.low = max(self.low, f.value)
-            elif f.attribute == ("path",) and isinstance(f, EqualTo):
-                self.only = f.value
-            yield f
-
     def _files(self) -> Iterator[tuple[str, int]]:
         """The address and the length of every file, in the form in which the path was given."""
         system, at = located(self.path)
@@ -95,6 +81,23 @@ class ArrayReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([cols[c] for c in self.names], names=self.names)
 
 
+class PushingReader(ArrayReader):
+    def pushFilters(self, filters: list[Filter]):
+        """Bounds of idx and a path leave ranges out of the plan; Spark still applies the filters to the rest."""
+        for f in filters:
+            if f.attribute == ("idx",):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    top = f.value + (not isinstance(f, LessThan))
+                    self.high = top if self.high is None else min(self.high, top)
+                if isinstance(f, EqualTo):
+                    self.low = max(self.low, f.value)
+            elif f.attribute == ("path",) and isinstance(f, EqualTo):
+                self.only = f.value
+            yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     names: list[str]
@@ -178,7 +181,8 @@ class ArraySource(DataSource):
         return "path string, sizes array<int>, idx long, value double" + (", im double" if self.options.get("complex", "false").lower() == "true" else "")
 
     def reader(self, schema: StructType) -> ArrayReader:
-        return ArrayReader(self.options, schema.names)
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushes else ArrayReader)(self.options, schema.names)
 
     def writer(self, schema: StructType, overwrite: bool) -> ArrayWriter:
         return ArrayWriter(self.options, schema, overwrite)

@@ -155,6 +155,7 @@ def test_the_data_source_keeps_complex_values_and_plans_few_ranges(spark, tmp_pa
     read = spark.read.format("mda").option("complex", "true").option("chunk", 100).load(str(tmp_path))
     assert sorted((r["idx"], r["value"], r["im"]) for r in read.collect()) == [(i, v, w) for _, i, v, w in rows]
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    few = read.filter("idx >= 250 and idx < 420")
+    pushing = spark.read.format("mda").option("complex", "true").option("chunk", 100).option("pushdown", "true").load(str(tmp_path))
+    few = pushing.filter("idx >= 250 and idx < 420")
     assert few.count() == 170 and few.rdd.getNumPartitions() == 3
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
