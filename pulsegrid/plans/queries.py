@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..operators import clips, clusters, detect, features, kmeans, scoring, series, spatial, splitting, tensor
-from ..sources import arrays, channels
+from ..sources import arrays, channels, results
 from ..sources.array_source import ArraySource
-from ..sources.folders import partitions, shared_folder
+from ..sources.folders import cut, drop_folder, partitions, shared_folder
 from . import calibration as cal
 from . import sorting
 
@@ -57,6 +57,13 @@ DIST = "dist AS (SELECT a.label AS label1, b.label AS label2, sqrt(sum((a.mean -
 EDGES = """edges AS (SELECT a.s_suppkey AS i, b.s_suppkey AS j FROM supplier a, supplier b WHERE sqrt((a.s_acctbal - b.s_acctbal) * (a.s_acctbal - b.s_acctbal)
     + (CAST(a.s_nationkey AS DOUBLE) - b.s_nationkey) * (CAST(a.s_nationkey AS DOUBLE) - b.s_nationkey)) <= 100)"""
 
+def _taken(found: DataFrame, at: str) -> DataFrame:
+    """What was read from a folder that is deleted now."""
+    found = cut(found)
+    drop_folder(found.sparkSession, at)
+    return found
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -158,7 +165,7 @@ def channel_split(spark, sf_dir):
     rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), F.col("event_id").alias("t"), F.round(F.col("value") * 100).cast("long").alias("x"))
     at = shared_folder(spark, "split")
     channels.split_into_channels(rows, at)
-    return channels.read_channels(spark, at).groupBy("channel").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    return _taken(channels.read_channels(spark, at).groupBy("channel").agg(F.count("*").alias("n"), F.sum("x").alias("total")), at)
 
 
 # --- scores
@@ -492,7 +499,7 @@ def array_files_round_trip(spark, sf_dir):
     # vectors that aren't there were written as zeros
     found = arrays.read_arrays(spark, at, chunk=1000).select(F.regexp_extract("path", r"([0-9]+)\.mda$", 1).cast("long").alias("name"), "idx", "value")
     there = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("name"), F.floor(F.col("vec_id") / 8).alias("slot"))
-    return found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "value")
+    return _taken(found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "value"), at)
 
 
 @query(f"WITH {_CELLS} SELECT i2 % 3 AS name, (i2 // 3) * 64 + i1 AS idx, CAST(CAST(value AS FLOAT) AS DOUBLE) AS re, CAST(CAST(-value AS FLOAT) AS DOUBLE) AS im FROM cells")
@@ -506,7 +513,7 @@ def array_source_round_trip(spark, sf_dir):
     found = spark.read.format("mda").option("complex", "true").option("chunk", 5000).load(at)
     found = found.select(F.regexp_extract("path", r"([0-9]+)\.mda$", 1).cast("long").alias("name"), "idx", F.col("value").alias("re"), "im")
     there = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("name"), F.floor(F.col("vec_id") / 3).alias("slot"))
-    return found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "re", "im")
+    return _taken(found.withColumn("slot", F.floor(F.col("idx") / 64)).join(there, ["name", "slot"], "left_semi").select("name", "idx", "re", "im"), at)
 
 
 @query("SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS place, vec_id AS id FROM (SELECT CAST(label AS BIGINT) AS label, vec_id FROM embeddings)")
@@ -537,7 +544,7 @@ def channel_samples(spark, sf_dir):
     at = shared_folder(spark, "channels")
     channels.split_into_channels(s, at)
     wanted = [r["channel"] for r in s.select("channel").distinct().filter("channel % 10 = 3").collect()]
-    return channels.read_channels(spark, at, wanted).select(F.col("channel").cast("long").alias("channel"), "t", "x")
+    return _taken(channels.read_channels(spark, at, wanted).select(F.col("channel").cast("long").alias("channel"), "t", "x"), at)
 
 
 @query(f"""WITH {SIG}, {EXT}, lab AS (SELECT DISTINCT channel, CASE WHEN x < 0 THEN 1 ELSE 2 END AS label FROM ext),
@@ -563,6 +570,69 @@ def template_slice(spark, sf_dir):
     return means.filter("channel % 10 = 3").select("channel", "label", "k", F.round(F.col("sum_x") / F.col("n"), 6).alias("v"))
 
 
+# --- sinks, read back
+
+
+@query(f"WITH {SIG}, {EXT} SELECT channel, CAST(CASE WHEN x < 0 THEN 1 ELSE 2 END AS BIGINT) AS label, t FROM ext")
+def spike_times_round_trip(spark, sf_dir):
+    """Through a table partitioned by channel and label."""
+    at = shared_folder(spark, "times")
+    found = detect.local_extrema(signal(spark, sf_dir), RADIUS)
+    channels.save_spike_times(found.select("channel", "t", F.when(F.col("x") < 0, 1).otherwise(2).alias("label")), at)
+    return _taken(spark.read.parquet(at).select(F.col("channel").cast("long").alias("channel"), F.col("label").cast("long").alias("label"), "t"), at)
+
+
+@query(f"WITH {VEC} SELECT label AS channel, id AS t, CAST(pos AS BIGINT) AS pos, v FROM vec")
+def features_round_trip(spark, sf_dir):
+    at = shared_folder(spark, "results")
+    results.save_table(vectors(spark, sf_dir).select(F.col("label").alias("channel"), F.col("id").alias("t"), "f"), at, "features")
+    rows = spark.read.parquet(f"{at}/features").select("channel", "t", F.posexplode("f").alias("pos", "v"))
+    return _taken(rows.withColumn("pos", F.col("pos").cast("long")), at)
+
+
+@query(f"WITH {EDGES} SELECT * FROM edges")
+def edges_round_trip(spark, sf_dir):
+    at = shared_folder(spark, "results")
+    results.save_table(spatial.adjacency(supplier_places(spark, sf_dir), 100.0), at, "edges")
+    return _taken(spark.read.parquet(f"{at}/edges"), at)
+
+
+@query(f"""WITH {SIG}, {EXT}, m AS (SELECT channel, max(t) AS last FROM sig GROUP BY channel),
+lab AS (SELECT channel, t, CASE WHEN x < 0 THEN 1 ELSE 2 END AS label FROM ext),
+neu AS (SELECT CAST(row_number() OVER (ORDER BY channel, label) - 1 AS BIGINT) AS neuron_id, channel, label FROM (SELECT DISTINCT channel, label FROM lab))
+SELECT n.neuron_id, s.channel AS member, CAST(k.k AS BIGINT) AS k, round(avg(s.x), 6) AS v FROM lab e JOIN neu n ON n.channel = e.channel AND n.label = e.label, range(0, {SIZE}) k(k), sig s, m
+WHERE s.t = e.t - {SIZE // 2} + k.k AND m.channel = s.channel AND s.channel % 25 = 1 AND e.t - {SIZE // 2} >= 0 AND e.t + {SIZE - 1 - SIZE // 2} <= m.last GROUP BY 1, 2, 3""")
+def shapes_round_trip(spark, sf_dir):
+    """The neurons' templates on some channels, and what numbers the neurons."""
+    at = shared_folder(spark, "results")
+    s = signal(spark, sf_dir)
+    labels = detect.local_extrema(s, RADIUS).select("channel", "t", F.when(F.col("x") < 0, 1).otherwise(2).alias("label"))
+    labelled = labels.join(clips.neuron_ids(labels), ["channel", "label"]).select("neuron_id", "channel", "t")
+    results.save_table(clips.templates(s.filter("channel % 25 = 1"), labelled, SIZE), at, "templates")
+    return _taken(spark.read.parquet(f"{at}/templates").withColumn("v", F.round("v", 6)), at)
+
+
+@query(f"""WITH {SIG}, sized AS (SELECT channel, count(*) AS n FROM sig GROUP BY 1), q AS (SELECT channel, x, row_number() OVER (PARTITION BY channel ORDER BY x, t) AS k FROM sig)
+SELECT n // 7 * 7 AS n, CAST(k AS BIGINT) AS k, CAST(min(x) AS DOUBLE) AS mean, CAST(max(x) AS DOUBLE) AS sd FROM q JOIN sized USING (channel) WHERE k <= n // 7 * 7 GROUP BY 1, 2""")
+def calibration_round_trip(spark, sf_dir):
+    """Through text files, one a size; as a stand-in for means and deviations, the least and the greatest value."""
+    s, at = signal(spark, sf_dir), shared_folder(spark, "curves")
+    ranks = series.cumulative(s).join(s.groupBy("channel").agg(F.count("*").alias("n")), "channel").withColumn("n", F.floor(F.col("n") / 7) * 7).filter("rank <= n")
+    rows = ranks.groupBy("n", "rank").agg(F.min("x").cast("double").alias("mean"), F.max("x").cast("double").alias("sd"))
+    curve = F.array_sort(F.collect_list(F.struct("rank", "mean", "sd")))  # a size's places
+    table = rows.groupBy("n").agg(curve.alias("c")).select("n", F.transform("c", lambda p: p["mean"]).alias("mean"), F.transform("c", lambda p: p["sd"]).alias("sd"), F.array(F.lit(0.5), F.lit(1.25)).alias("scores"))
+    cal.save_text(table, at)
+    return _taken(cal.places(cal.load_text(spark, at)), at)
+
+
+@query(ORACLE_SQL["template_score"].replace("SELECT neuron_id, t, CAST(2 * dot", "SELECT neuron_id, count(*) AS n, CAST(sum(2 * dot").replace("AS DOUBLE) AS score FROM d", ") AS DOUBLE) AS total FROM d GROUP BY 1"))
+def scores_round_trip(spark, sf_dir):
+    """Through a table partitioned by neuron."""
+    at = shared_folder(spark, "scores")
+    channels.save_scores(template_score(spark, sf_dir), at)
+    return _taken(spark.read.parquet(at).groupBy(F.col("neuron_id").cast("long").alias("neuron_id")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total")), at)
+
+
 # --- kernels
 
 
@@ -576,6 +646,14 @@ def pca_features(spark, sf_dir):
     return features.pca_features(_waves(spark, sf_dir), 3)
 
 
+@query(f"WITH {SIG}, {EXT}, {CLIPS} SELECT channel, t, CAST(sum(x * x) AS DOUBLE) AS energy FROM clips GROUP BY 1, 2")
+def pca_energy(spark, sf_dir):
+    """A clip's squared coordinates on as many axes as it has numbers, added up: what the clip itself has, if the axes are at
+    right angles to each other and of length 1."""
+    f = features.pca_features(_waves(spark, sf_dir), SIZE)
+    return f.select("channel", "t", F.round(clusters.norm_squared("f"), 2).alias("energy"))
+
+
 @query()
 def calibrate(spark, sf_dir):
     """Curves of uniform samples of every size that a channel of the signal has."""

@@ -159,3 +159,22 @@ def test_the_data_source_keeps_complex_values_and_plans_few_ranges(spark, tmp_pa
     few = pushing.filter("idx >= 250 and idx < 420")
     assert few.count() == 170 and few.rdd.getNumPartitions() == 3
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_what_a_neuron_is_scored_with_is_written(spark, tmp_path):
+    from pulsegrid.plans.sorting import Sorted
+    from pulsegrid.sources.debug import save_debug
+
+    rng = np.random.default_rng(2)
+    x, v = rng.integers(-9, 9, (3, 50)) * 1.0, rng.integers(-3, 4, (3, 4)) * 1.0
+    samples = spark.createDataFrame([(c, t, float(x[c, t])) for c in range(3) for t in range(50)], "channel long, t long, x double")
+    edges = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (1, 2), (2, 2), (2, 1)], "i long, j long")
+    neurons = spark.createDataFrame([(0, 0, 1), (1, 2, 1)], "neuron_id long, channel long, label long")
+    templates = spark.createDataFrame([(1, c, k, float(v[c, k])) for c in range(3) for k in range(4)], "neuron_id long, member long, k long, v double")
+    save_debug(samples, Sorted(edges, neurons, neurons, neurons, neurons, templates), 1, 4, str(tmp_path))
+    got = {f.name: arrays.decode(f.read_bytes()) for f in tmp_path.iterdir()}
+    want = {"shape": v, "patch_shape": v[1:], "patch_data": x[1:], "convolution": np.append(np.array([(x[1:, t : t + 4] * v[1:]).sum() for t in range(46)]), np.zeros(4))[None]}
+    assert sorted(got) == sorted(f"1-{n}.mda" for n in want)
+    for name, a in want.items():
+        sizes, values = got[f"1-{name}.mda"]
+        assert sizes == a.shape and np.allclose(values.reshape(sizes, order="F"), a), name
