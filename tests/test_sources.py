@@ -178,3 +178,29 @@ def test_what_a_neuron_is_scored_with_is_written(spark, tmp_path):
     for name, a in want.items():
         sizes, values = got[f"1-{name}.mda"]
         assert sizes == a.shape and np.allclose(values.reshape(sizes, order="F"), a), name
+
+
+@pytest.mark.parametrize("late", ["drop", "divert"])
+def test_repeated_samples_of_a_stream_are_left_out(spark, tmp_path, late):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-5, 6, 90).astype(float)
+    odd = []
+    for i in range(3):
+        part = [(0, t, float(x[t])) for t in range(30 * i, 30 * i + 30)]
+        again = [(0, t, 99.0) for t in (30 * i - 3, 30 * i + 5) if t >= 0]  # one from before, one from this batch
+        odd += [t for _, t, _ in again]
+        spark.createDataFrame([*part, *again], "channel long, t long, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("channel long, t long, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_extrema(stream, 3, late).writeStream.format("memory").queryName(f"again_{late}").outputMode("append").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.table(f"again_{late}").collect()
+    a = np.abs(x)
+    want = [i for i in range(3, 87) if a[i] > a[i - 3 : i].max() and a[i] >= a[i + 1 : i + 4].max()]
+    assert sorted(r["t"] for r in rows if late == "drop" or not r["late"]) == want
+    if late == "divert":
+        assert sorted(r["t"] for r in rows if r["late"]) == sorted(odd)
+    with pytest.raises(ValueError):
+        stream_extrema(stream, 3, "sometimes")
