@@ -23,7 +23,7 @@ NO_ID = -(1 << 63)
 #: Bytes of text in a part, which is a task's.
 PART_BYTES = 32 << 20
 #: A worker remembers the ids of at most so many different pieces of text.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 
 def tokenizer_path() -> str:
