@@ -23,7 +23,7 @@ NO_ID = -(1 << 63)
 #: Bytes of text in a part, which is a task's.
 PART_BYTES = 32 << 20
 #: A worker remembers the ids of at most so many different pieces of text.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 def tokenizer_path() -> str:
@@ -41,6 +41,8 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
 _MARK = _PLAIN & ~_ALPHA
 _MARK[48:58] = False
+#: The four as bits of a byte's class.
+_CLASS = (_WHITE * 1 + _PLAIN * 2 + _MARK * 4 + _ALPHA * 8).astype(np.uint8).tobytes()
 
 
 class PieceEncoder:
@@ -69,7 +71,24 @@ class PieceEncoder:
         self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.full(1 << 16, END_ID, np.int32), 1  # the end of a text is the id in the first place
+        self.again = np.zeros(0, bool)  # met in a later slice than the one that they were learnt from
+
+    def _tidy(self) -> None:
+        """Most different pieces are never met again: those that were stay, unless even they are too many."""
+        stay = np.flatnonzero(self.again)
+        if len(stay) > REMEMBERED // 2:
+            return self._forget()
+        at, length, first, count = self.at[stay], self.length[stay], self.first[stay], self.count[stay].astype(np.int64)
+        self.written, self.used = int(length.sum()), int(count.sum()) + 1
+        text, pool = np.zeros(max(1 << 20, self.written + 8), np.uint8), np.full(max(1 << 16, self.used), END_ID, np.int32)
+        text[: self.written], pool[1 : self.used] = self.text[runs(at, length)], self.pool[runs(first, count)]
+        number = np.cumsum(self.again, dtype=np.int32) - 1
+        own = self.again[self.place]
+        self.keys, self.place = self.keys[own], number[self.place[own]]
+        self.text, self.at, self.length = text, np.cumsum(length) - length, length
+        self.pool, self.first, self.count = pool, np.cumsum(count) - count + 1, count.astype(np.int32)
+        self.again = np.zeros(len(stay), bool)
 
     def _learn(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Pieces that begin with white space and end with a printable one are encoded in one go; the bytes of the ids
@@ -101,6 +120,7 @@ class PieceEncoder:
         self.text[self.written : self.written + size] = buf[runs(starts, length)]
         self.at = np.concatenate([self.at, np.cumsum(length) - length + self.written])
         self.length = np.concatenate([self.length, length])
+        self.again = np.concatenate([self.again, np.zeros(len(length), bool)])
         self.written += size
         where = np.searchsorted(self.keys, keys)
         self.place = np.insert(self.place, where, np.arange(len(self.first) - len(keys), len(self.first), dtype=np.int32))
@@ -127,12 +147,15 @@ class PieceEncoder:
         n = len(buf)
         cuts = np.zeros(n + 1, bool)
         if n:
-            plain = _PLAIN[buf]
-            plain[1:] |= (buf[:-1] == 0xC3) & (buf[1:] >= 0x80)
-            cuts[1:n] = _WHITE[buf[1:]] & plain[:-1]
             raw = buf.tobytes()
+            kind = np.frombuffer(raw.translate(_CLASS), np.uint8).copy()
+            accented = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80)
+            kind[1:] |= accented.view(np.uint8) << 1
+            accented &= (buf[1:] != 0x97) & (buf[1:] != 0xB7)  # no letters: the signs of multiplication and division
+            kind[1:] |= accented.view(np.uint8) << 3
+            cuts[1:n] = kind[1:] & (kind[:-1] >> 1) & 1
             if not any(t in raw for t in self.special):
-                cuts[1:n] |= _MARK[buf[1:]] & _ALPHA[buf[:-1]]
+                cuts[1:n] |= ((kind[1:] >> 2) & (kind[:-1] >> 3) & 1).view(bool)
             cuts[offs[:-1][offs[:-1] < offs[1:]]] = True
             cuts[0] = True
         starts = np.flatnonzero(cuts[:n])
@@ -145,24 +168,28 @@ class PieceEncoder:
         keys, one, back = ranked[head], order[head], np.empty(len(h), np.int64)
         back[order] = np.cumsum(head) - 1
         if len(self.keys) + len(keys) > REMEMBERED:
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+            self._tidy()
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            fresh = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+            self.again[self.place[at[~fresh]]] = True
+            new = np.flatnonzero(fresh)
+        else:
+            at, new = np.zeros(0, np.int64), np.arange(len(keys))
         if len(new):
             self._learn(keys[new], buf, starts[one[new]], ends[one[new]])
             at = np.searchsorted(self.keys, keys)
         place = self.place[at][back] if len(keys) else at
         if not self._known(buf, starts, ends - starts, place):
             return self._plain(buf, offs)
-        size = self.count[place].astype(np.int64)
-        # of several texts at one place, all but the last are empty
-        doc = np.searchsorted(offs, starts, "right") - 1
-        per_doc = np.bincount(doc, size, minlength=docs).astype(np.int64)
-        total = int(size.sum())
-        flat = runs(self.first[place], size)
-        out = np.full(total + docs, END_ID, np.int32)
-        out[np.arange(total) + np.repeat(np.arange(docs), per_doc)] = self.pool[flat]
-        return out, per_doc + 1
+        # a text's end is a piece after those that begin before it; a piece has an id at least
+        last = np.searchsorted(starts, offs[1:])
+        first, size = np.insert(self.first[place], last, 0), np.insert(self.count[place], last, 1)
+        ends = np.cumsum(size, dtype=np.int64)
+        flat = np.ones(ends[-1] if docs else 0, np.int64)
+        flat[:1] = first[:1]
+        flat[ends[:-1]] = first[1:] - first[:-1] - size[:-1] + 1
+        return self.pool.take(np.cumsum(flat, out=flat)), np.diff(ends[last + np.arange(docs)], prepend=0)
 
 
 _encoders: dict[str, PieceEncoder] = {}

@@ -115,3 +115,21 @@ def test_empty_table_ties_and_null_ids(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a b"), (None, "n"), (1, "b")], "doc_id long, text string")
     got = [tuple(r)[:3] for r in token_files.tokens_of(df).orderBy("start").collect()]
     assert got == [(None, 0, 2), (1, 2, 3), (1, 5, 2), (1, 7, 2)]
+
+
+def test_pieces_that_are_met_again_are_encoded_once(monkeypatch):
+    """Words that no other slice has don't drive out those that all have; nor is an accented letter a piece with each mark."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "REMEMBERED", 500)
+    coder = token_files.PieceEncoder(token_files.tokenizer_path())
+    learnt, real = [], coder._learn
+    coder._learn = lambda keys, *rest: (learnt.append(len(keys)), real(keys, *rest))
+    common = [f"c{k}" for k in range(100)]
+    texts = [" ".join([*common, *(f"f{k}x{i}" for i in range(50))]) for k in range(40)]
+    texts += [f"caf\u00e9{a}{b}" for a in ".,;:!?" for b in ".,;:!?"]
+    got = [coder.encode(buf, offs) for _, _, buf, offs in token_files.text_slices(pa.array(texts), 300)]
+    assert (np.concatenate([x for x, _ in got]) == np.concatenate(reference(texts))).all()
+    assert sum(learnt) < 40 * 50 + 100 + 60
+    got = [coder.encode(buf, offs) for _, _, buf, offs in token_files.text_slices(pa.array(["\u00d7. a\u00f7! \u00ff. \u00c0?"]), 300)]
+    assert (got[0][0] == reference(["\u00d7. a\u00f7! \u00ff. \u00c0?"])[0]).all()
