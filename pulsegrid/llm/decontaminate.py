@@ -31,6 +31,8 @@ from .subwords import FOLD
 BLOCK, PASSAGES, RANK, POWER = 256, 512, 1024, 2
 #: Words of an item that is taken whole, bytes of the indexes that a pass carries, and words of a whole benchmark.
 ITEM_WORDS, INDEX_BYTES, MOST_TERMS = 4096, 128 << 20, 8_000_000
+#: Windows gather so many bytes of an index's basis at a time, or a single window's rows.
+GATHER_BYTES = 4 << 20
 #: A passage that keeps less than this share of its norm in the latent space is found by weight alone, not by cosine.
 RETAINED = 0.9
 #: Words of a passage and of a window of a document, and how far apart they begin.
@@ -129,6 +131,7 @@ class Index:
         sums = np.concatenate(([0], np.cumsum(self.weight[term] ** 2)))
         some = sums[hi] - sums[lo] >= MASS * self.mass.min()
         start, stop, lo, hi = start[some], stop[some], lo[some], hi[some]
+        room = GATHER_BYTES // (self.basis.itemsize * max(self.basis.shape[1], 1))
         found: dict[tuple[int, int], list[tuple[int, int, float, int]]] = {}
         for i in range(0, len(start), 512):
             s, e = lo[i : i + 512], hi[i : i + 512]
@@ -141,7 +144,13 @@ class Index:
             w = self.weight[t] * (1 + np.log(count))
             z = np.zeros((len(s), self.basis.shape[1]), np.float32)
             heads = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-            z[rows[heads]] = np.add.reduceat(w.astype(np.float32)[:, None] * self.basis[t], heads, axis=0)
+            own, tails, w = rows[heads], np.append(heads[1:], len(rows)), w.astype(np.float32)
+            x = 0
+            while x < len(heads):  # windows full of known words would gather the basis many times over
+                y = max(x + 1, int(np.searchsorted(tails, heads[x] + room, "right")))
+                a, b = heads[x], tails[y - 1]
+                z[own[x:y]] = np.add.reduceat(w[a:b, None] * self.basis[t[a:b]], heads[x:y] - a, axis=0)
+                x = y
             mass = np.bincount(rows, self.weight[t] ** 2, minlength=len(s))
             z /= np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), np.float32(1e-12))
             cos = z @ self.latent.T
@@ -291,11 +300,12 @@ def passage_count(items: DataFrame) -> int:
 
 def randomised_svd(block: DataFrame, terms: Terms, weight: np.ndarray, rank: int = RANK, power: int = POWER, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The leading right singular vectors (terms, rank) and singular values of the TF-IDF matrix of the block's passages:
-    each task multiplies its passages' rows with the current basis, transposed products are summed by chunks of terms."""
+    each task multiplies its passages' rows with the current basis and sends the products of the terms that it has, which
+    are summed by chunks of terms."""
     spark, n = block.sparkSession, len(weight)
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(rng.normal(size=(n, min(rank, n))))[0]
-    chunk = 256
+    chunk = 32
     know = spark.sparkContext.broadcast((terms, weight))
 
     def product(current: np.ndarray) -> np.ndarray:
@@ -303,19 +313,28 @@ def randomised_svd(block: DataFrame, terms: Terms, weight: np.ndarray, rank: int
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (t, w), q = know.value, now.value
-            total = np.zeros_like(q)
+            total, there = np.zeros_like(q), np.zeros(len(q), bool)
             for b in batches:
                 for text in b.column(0).to_pylist():
                     for own, a in passage_rows(t, w, words_of(text or "")):
                         total[own] += np.outer(a, a @ q[own])
-            parts = range(0, len(total), chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([total[i : i + chunk].tobytes() for i in parts], pa.binary())], names=["first", "part"])
+                        there[own] = True
+            k = np.flatnonzero(there)
+            parts = np.split(k, np.flatnonzero(np.diff(k // chunk)) + 1) if len(k) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) // chunk * chunk for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([total[p].tobytes() for p in parts], pa.binary())], names=["first", "terms", "part"])
 
         def add(t: pa.Table) -> pa.Table:
-            return pa.table({"first": t.column(0)[:1], "part": pa.array([sum(np.frombuffer(x, np.float64) for x in t.column(1).to_pylist()).tobytes()], pa.binary())})
-
-        sums = block.select("text").mapInArrow(run, "first long, part binary").groupBy("first").applyInArrow(add, "first long, part binary").orderBy("first").toArrow()
-        return np.frombuffer(b"".join(sums.column("part").to_pylist()), np.float64).reshape(current.shape)
+            total, first = np.zeros((chunk, width)), t.column(0)[0].as_py()
+            for own, part in zip(t.column(1), t.column(2), strict=True):  # no copies: there is a part for each task
+                total[np.frombuffer(own.as_buffer(), np.int64) - first] += np.frombuffer(part.as_buffer()).reshape(-1, width)
+            return pa.table({"first": t.column(0)[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+        width = current.shape[1]
+        sums = block.select("text").mapInArrow(run, "first long, terms binary, part binary").groupBy("first").applyInArrow(add, "first long, part binary").toArrow()
+        out = np.zeros((-(-n // chunk) * chunk, width))
+        for first, part in zip(sums.column("first").to_pylist(), sums.column("part"), strict=True):
+            out[first : first + chunk] = np.frombuffer(part.as_buffer()).reshape(chunk, width)
+        return out[:n]
 
     for _ in range(power):
         basis = np.linalg.qr(product(basis))[0]

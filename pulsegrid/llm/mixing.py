@@ -250,9 +250,9 @@ def _rake(cells: DataFrame, targets: dict[str, dict] | None, temper: float, budg
     keyed = cells.withColumns({f"_{d}": _key(d) for d in MARGINS})
     if cells.limit(CELLS_HERE + 1).count() <= CELLS_HERE:
         here = keyed.select("tokens", "weight", *(f"_{d}" for d in MARGINS)).toPandas()
-        made = pd.DataFrame({f"_{d}": here[f"_{d}"].astype(str) for d in MARGINS})
-        made["_w"] = _rake_all(here, targets, temper, budget) if len(here) else np.zeros(0)
-        found = cells.sparkSession.createDataFrame(made, "_source string, _lang string, _topic string, _w double")
+        made = {f"_{d}": pa.array(here[f"_{d}"].astype(str), pa.string()) for d in MARGINS}
+        made["_w"] = pa.array(_rake_all(here, targets, temper, budget) if len(here) else np.zeros(0), pa.float64())
+        found = cells.sparkSession.createDataFrame(pa.table(made))  # of rows, executors would start workers of another kind
         return keyed.drop("weight").join(F.broadcast(found), [f"_{d}" for d in MARGINS]).select(*MARGINS, "tokens", F.col("_w").alias("weight"))  # a row a cell
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     margins = {}

@@ -207,3 +207,44 @@ def test_groups_of_indexes_are_searched_apart(spark, monkeypatch):
     found = decontaminate.leaks(docs, bench)
     assert [(r[0], r[1], r[3], r[5]) for r in key(found)] == [(r[0], r[1], r[3], r[5]) for r in whole] and len(whole) == len(rows)
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 0  # the passes are done
+
+
+def test_windows_full_of_known_words_gather_the_basis_in_parts(monkeypatch):
+    """512 windows of 48 known words and 1,024 dimensions: 96 MB if all rows of the basis were gathered at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    hashes = np.sort(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    terms = decontaminate.Terms(hashes)
+    basis = rng.normal(size=(len(hashes), 1024)).astype(np.float32)
+    items = [hashes[32 * k : 32 * k + 32] for k in range(100)]
+    latent = np.array([basis[terms.find(w)[1]].sum(0) for w in items])
+    latent /= np.sqrt((latent * latent).sum(1, keepdims=True))
+    weight, answers = np.ones(len(hashes)), [w[-4:] for w in items]
+    index = decontaminate.Index(list(range(100)), items, items, answers, terms, weight, basis, np.arange(100), [None] * 100, np.full(100, 32.0), latent, np.zeros(100, bool))
+    h = rng.choice(hashes, 16 * 520)
+    h[1000:1032], h[5000:5032] = items[7], items[70]
+    doc = np.arange(len(h)) // 1000
+    tracemalloc.start()
+    got = index.hits(h, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(1, 7), (5, 70)} <= {(d, j) for d, j, *_ in got} and peak < 40e6
+    for size in (1, 1 << 40):
+        monkeypatch.setattr(decontaminate, "GATHER_BYTES", size)
+        assert index.hits(h, doc) == got
+
+
+def test_tasks_send_the_products_of_their_own_terms(spark, monkeypatch):
+    """Not a whole basis for each partition, of which a sum would gather as many as there are tasks."""
+    from pyspark.sql.group import GroupedData
+
+    texts = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + i)}x" for i in range(20)) for k in range(60)]
+    terms = decontaminate.Terms(np.concatenate([decontaminate.words_of(t) for t in texts]))
+    weight = np.ones(len(terms.hashes))
+    sent, real = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (sent.append(self._df.agg(F.sum(F.length("part"))).first()[0]), real(self, *a))[1])
+    block = spark.createDataFrame([(t,) for t in texts], "text string").repartition(30)
+    basis, values = decontaminate.randomised_svd(block, terms, weight, rank=60)
+    assert basis.shape == (1200, 60) and np.allclose(values, np.sqrt(20))
+    assert max(sent) <= 1200 * 60 * 8

@@ -137,3 +137,11 @@ def test_many_cells_are_raked_alike_by_grouped_sums(spark, monkeypatch):
     spread = mixing.keep_probabilities(mixing.raked(cells_of(spark, rows)), 0.6).collect()
     key = lambda r: (str(r["source"]), r["lang"], r["topic"])
     assert [r["keep"] for r in sorted(here, key=key)] == pytest.approx([r["keep"] for r in sorted(spread, key=key)], abs=1e-6)
+
+
+def test_raked_cells_come_back_without_more_python_workers(spark, monkeypatch):
+    """A table made of rows has its executors start Python workers of another kind, which stay beside the others."""
+    cells = spark.sql("select 'a' source, 'x' lang, 0 topic, 60L tokens union all select 'b', null, 1, 40L")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: 1 / 0)
+    got = {r["source"]: r["weight"] for r in mixing.raked(cells, temper=1.0).collect()}
+    assert set(got) == {"a", "b"} and all(w > 0 for w in got.values())
