@@ -95,6 +95,25 @@ def test_channels_are_read_alone(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_many_channels_share_folders(spark, tmp_path):
+    n = 2 * channels.FOLDERS
+    s = spark.range(3 * n).selectExpr(f"id % {n} as channel", f"id div {n} as t", "cast(id as double) as x")
+    channels.split_into_channels(s, str(tmp_path / "c"))
+    channels.save_spike_times(s.selectExpr("channel", "t", "t % 2 as label"), str(tmp_path / "t"))
+    channels.save_scores(s.selectExpr("channel as neuron_id", "t", "x as score"), str(tmp_path / "s"))
+    for at in "cts":
+        assert 1 < len(list((tmp_path / at).glob("*=*"))) <= channels.PARTS
+    want = {(i % n, i // n, float(i)) for i in range(3 * n)}
+    rows = lambda df: sorted(map(tuple, df.select("channel", "t", "x").collect()))
+    assert rows(channels.read_channels(spark, str(tmp_path / "c"))) == sorted(want)
+    few = channels.read_channels(spark, str(tmp_path / "c"), [5, 17])
+    assert rows(few) == sorted(w for w in want if w[0] in (5, 17)) and "part#" in few._jdf.queryExecution().toString().split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    for own in (list(range(n - 1)), spark.range(n - 1).withColumnRenamed("id", "channel")):
+        assert rows(channels.read_channels(spark, str(tmp_path / "c"), own)) == sorted(w for w in want if w[0] < n - 1)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).select("channel", "label", "t").collect())) == sorted((c, t % 2, t) for c, t, _ in want)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).select("neuron_id", "t", "score").collect())) == sorted(want)
+
+
 def test_stream_finds_what_a_batch_finds(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.integers(-5, 6, 120).astype(float)
