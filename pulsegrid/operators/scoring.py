@@ -6,7 +6,7 @@ correlations, so no row is a channel's share of a start. ``kernels``: neuron_id,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from ..sources.folders import cut, light
 
 #: Starts of a block, and places from which on a kernel is applied by transforms.
 STARTS, LONG = 50_000, 96
+#: Samples that the neurons and blocks which share a task have together, about; and samples of one from which on all have their own.
+SHARED, OWN = 500_000, 100_000
 
 
 def packed(samples: DataFrame, size: int, block: int) -> DataFrame:
@@ -32,14 +34,15 @@ def _shapes(kernels: DataFrame) -> DataFrame:
     return kernels.groupBy("neuron_id", "channel").agg(F.collect_list(F.struct("k", F.col("v").cast("double").alias("v"))).alias("p"))
 
 
-def correlated(left: pa.Table, start: int, count: int, size: int) -> np.ndarray:
-    """The sum over the rows (at, x, p) of the correlations at ``count`` starts from ``start``; long kernels by transforms, of
+def correlated(rows: Iterable[pa.Table], start: int, count: int, size: int) -> np.ndarray:
+    """The sum over the tables of one row (at, x, p) of the correlations at ``count`` starts from ``start``; long kernels by transforms, of
     which only the sum is transformed back."""
     total = np.zeros(count)
     wide = count + size - 1
     n = 1 << int(wide + size - 2).bit_length() if size >= LONG else 0
     spectrum = np.zeros(n // 2 + 1, complex)
-    for at, x, p in zip(left.column("at"), left.column("x"), left.column("p"), strict=True):
+    for row in rows:
+        at, x, p = (row.column(c)[0] for c in ("at", "x", "p"))
         values, kernel = np.zeros(wide), np.zeros(size)
         when = at.values.to_numpy() - start
         on = when < wide
@@ -54,25 +57,41 @@ def correlated(left: pa.Table, start: int, count: int, size: int) -> np.ndarray:
 
 
 def _spans(blocks: DataFrame, shapes: DataFrame) -> DataFrame:
-    """(neuron_id, block, last): the blocks in which a neuron's channels have samples, and the last of these."""
+    """(neuron_id, block, last, size): the blocks in which a neuron's channels have samples, the last of these and how many."""
     pairs = shapes.select("neuron_id", "channel").distinct()
-    return blocks.select("channel", "block", "last").join(pairs, "channel").groupBy("neuron_id", "block").agg(F.max("last").alias("last"))
+    rows = blocks.select("channel", "block", "last", F.size("at").alias("size")).join(pairs, "channel")
+    return rows.groupBy("neuron_id", "block").agg(F.max("last").alias("last"), F.sum("size").alias("size"))
 
 
-def _scored(spans: DataFrame, data: DataFrame, size: int, block: int, n: int, emit, schema: str) -> DataFrame:
+def _groups(spans: DataFrame) -> int:
+    """Among how many groups the neurons and blocks are dealt: 0, each its own, if one of them is large."""
+    total, most = spans.agg(F.sum("size"), F.max("size")).first()
+    return 0 if (most or 0) > OWN else -(-(total or 0) // SHARED) or 1
+
+
+def _scored(spans: DataFrame, data: DataFrame, groups: int, size: int, block: int, n: int, emit, schema: str) -> DataFrame:
     """For every (neuron_id, block) of ``spans`` what ``emit`` makes of its row, its number of starts and the sum of
-    correlations of the rows of ``data`` (neuron_id, block, at, x, p)."""
+    correlations of the rows of ``data`` (neuron_id, block, at, x, p). Those of a group go through one call."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return emit(None, 0, 0, np.zeros(0))
-        row = left.to_pylist()[0]
-        start = row["block"] * block
-        count = max(0, min(block, row["last"] - start + 1, n - size - start))  # starts t < n - size
-        return emit(row, start, count, correlated(right, start, count, size) if count else np.zeros(0))
+        right = right.combine_chunks()
+        key = list(zip(right.column("of").to_pylist(), right.column("in").to_pylist(), strict=True))
+        rows: dict = {}
+        for i, k in enumerate(key):
+            rows.setdefault(k, []).append(i)
+        out = []
+        for row in left.to_pylist():
+            start = row["block"] * block
+            count = max(0, min(block, row["last"] - start + 1, n - size - start))  # starts t < n - size
+            own = (right.slice(i, 1) for i in rows.get((row["neuron_id"], row["block"]), ()))
+            out.append(emit(row, start, count, correlated(own, start, count, size) if count else np.zeros(0)))
+        return pa.concat_tables(out)
 
     data = data.toDF("of", "in", "at", "x", "p")
-    return spans.groupBy("neuron_id", "block").cogroup(data.groupBy("of", "in")).applyInArrow(run, schema)
+    deal = (lambda a, b: [F.pmod(F.xxhash64(F.col(a).cast("long"), F.col(b).cast("long")), F.lit(groups)).alias("group")]) if groups else lambda a, b: [F.col(a), F.col(b)]
+    return spans.groupBy(*deal("neuron_id", "block")).cogroup(data.groupBy(*deal("of", "in"))).applyInArrow(run, schema)
 
 
 def energy(kernels: DataFrame) -> DataFrame:
@@ -89,7 +108,8 @@ def sliding_dot(samples: DataFrame, kernels: DataFrame, size: int, block: int =
     def emit(row, start: int, count: int, dot: np.ndarray) -> pa.Table:
         return pa.table({"neuron_id": pa.array([row["neuron_id"] if row else 0] * count, pa.int64()), "t": np.arange(start, start + count), "dot": dot})
 
-    return _scored(_spans(blocks, shapes), blocks.join(shapes, "channel").select("neuron_id", "block", "at", "x", "p"), size, block, n, emit, "neuron_id long, t long, dot double")
+    spans = _spans(blocks, shapes)
+    return _scored(spans, blocks.join(shapes, "channel").select("neuron_id", "block", "at", "x", "p"), _groups(spans), size, block, n, emit, "neuron_id long, t long, dot double")
 
 
 def match_scores(samples: DataFrame, kernels: DataFrame, size: int, block: int = STARTS) -> DataFrame:
@@ -109,14 +129,16 @@ def gated_scores(samples: DataFrame, kernels: DataFrame, patches: DataFrame, siz
     blocks, shapes = cut(packed(samples, size, block)), _shapes(marked)
     n = int(blocks.agg(F.max("last")).first()[0] or -1) + 1
     near = own.join(shapes, ["neuron_id", "channel"])
-    spans = _spans(blocks, shapes).join(power, "neuron_id")
+    spans = _spans(blocks, shapes)
+    groups = _groups(spans)
+    spans = spans.join(power, "neuron_id")
 
     def gate(row, start: int, count: int, dot: np.ndarray) -> pa.Table:
         score = 2 * dot - (row["near_energy"] if row else 0.0)
         return pa.table({"neuron_id": pa.array([row["neuron_id"]] if row else [], pa.int64()), "block": pa.array([row["block"]] if row else [], pa.int64()), "last": pa.array([row["last"]] if row else [], pa.int64()), "more": pa.array([row["energy"] - row["near_energy"]] if row else [], pa.float64()), "hit": pa.array([bool((score > 0).any())] if row else [], pa.bool_()), "scores": pa.array([score.tobytes()] if row else [], pa.binary())})
 
     data = blocks.join(near, "channel").select("neuron_id", "block", "at", "x", "p")
-    gated = cut(_scored(spans, data, size, block, n, gate, "neuron_id long, block long, last long, more double, hit boolean, scores binary"))
+    gated = cut(_scored(spans, data, groups, size, block, n, gate, "neuron_id long, block long, last long, more double, hit boolean, scores binary"))
     far = shapes.join(own, ["neuron_id", "channel"], "left_anti")
     hits = light(gated.filter("hit").select("neuron_id", "block"))
     rest = blocks.join(far, "channel").join(hits, ["neuron_id", "block"], "left_semi").select("neuron_id", "block", "at", "x", "p")
@@ -127,7 +149,7 @@ def gated_scores(samples: DataFrame, kernels: DataFrame, patches: DataFrame, siz
         return pa.table({"neuron_id": pa.array([row["neuron_id"] if row else 0] * count, pa.int64()), "t": np.arange(start, start + count), "patch_score": patch, "full_score": every})
 
     schema = "neuron_id long, t long, patch_score double, full_score double"
-    passed = _scored(gated.filter("hit"), rest, size, block, n, full, schema)
+    passed = _scored(gated.filter("hit"), rest, groups, size, block, n, full, schema)
 
     def unchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

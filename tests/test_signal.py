@@ -373,3 +373,25 @@ def test_settings():
         parse(["--nothing=1"])
     with pytest.raises(ValueError):
         Settings(detect_on="x")
+
+
+def test_neurons_of_few_samples_share_a_group(spark, monkeypatch):
+    from pulsegrid.operators import scoring
+
+    n, length, shape = 60, 50, (2.0, -1.0, 3.0)
+    x = np.random.default_rng(3).integers(-9, 10, (n, length)).astype(float)
+    samples = spark.createDataFrame([(c, t, float(x[c, t])) for c in range(n) for t in range(length - c % 7)], "channel long, t long, x double")
+    kernels = spark.createDataFrame([(c // 2, c, k, v * (c + 1)) for c in range(n) for k, v in enumerate(shape)], "neuron_id long, channel long, k int, v double")
+    for c in range(n):
+        x[c, length - c % 7 :] = 0
+    want = {}
+    for g in range(n // 2):
+        last = max(length - c % 7 for c in (2 * g, 2 * g + 1)) - 1
+        for t in range(min(last + 1, length - 3)):
+            want[g, t] = sum(v * (c + 1) * (x[c, t + k] if t + k < length else 0.0) for c in (2 * g, 2 * g + 1) for k, v in enumerate(shape))
+    for own, shared in ((scoring.OWN, True), (0, False)):
+        monkeypatch.setattr(scoring, "OWN", own)
+        found = scoring.sliding_dot(samples, kernels, 3, block=16)
+        assert ("pmod(xxhash64" in found._jdf.queryExecution().toString()) is shared
+        got = {(r["neuron_id"], r["t"]): r["dot"] for r in found.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
