@@ -395,3 +395,19 @@ def test_neurons_of_few_samples_share_a_group(spark, monkeypatch):
         assert ("pmod(xxhash64" in found._jdf.queryExecution().toString()) is shared
         got = {(r["neuron_id"], r["t"]): r["dot"] for r in found.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_a_calibration_made_on_demand_gives_the_same_clusters(spark, monkeypatch):
+    from pulsegrid.operators import splitting as splits
+    from pulsegrid.plans import calibration as cal
+
+    monkeypatch.setattr(cal, "SMALL", 0)
+    rng, small = np.random.default_rng(4), {"trials": 20, "length": 50}
+    rows = spark.createDataFrame([(c, t, (rng.normal(size=2) + 8 * (t % (c + 1))).tolist()) for c in range(3) for t in range(60 + 30 * c)], "channel long, t long, f array<double>")
+    full = cal.collected(cal.calibrate(spark.createDataFrame([(n,) for n in cal.size_grid(120)], "n long"), **small))
+    want = sorted(map(tuple, splits.cluster_channels(rows, full, clusters=5).collect()))
+    for most in (None, 80):  # with a channel that no task holds too
+        some, make = cal.on_demand(spark, 120, **small)
+        assert sorted(map(tuple, splits.cluster_channels(rows, some, clusters=5, rows=most, make=make).collect())) == want
+        assert 0 < len(some.mean) < len(some.grid) // 2
+        assert all((some.mean[n] == full.mean[n]).all() and (some.scores[n] == full.scores[n]).all() for n in some.mean)
