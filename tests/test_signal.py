@@ -411,3 +411,22 @@ def test_a_calibration_made_on_demand_gives_the_same_clusters(spark, monkeypatch
         assert sorted(map(tuple, splits.cluster_channels(rows, some, clusters=5, rows=most, make=make).collect())) == want
         assert 0 < len(some.mean) < len(some.grid) // 2
         assert all((some.mean[n] == full.mean[n]).all() and (some.scores[n] == full.scores[n]).all() for n in some.mean)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_sums_of_clips_of_all_channels_hold_no_row_a_sample(spark, monkeypatch, small):
+    from pulsegrid.operators import clips
+
+    if small:  # many blocks, of time too
+        for name, n in (("NEURONS", 3), ("MEMBERS", 2), ("TIMES", 16), ("AT_ONCE", 4)):
+            monkeypatch.setattr(clips, name, n)
+    rng = np.random.default_rng(6)
+    # channels that end early, one with a gap, one with a null, one with nulls alone
+    x = [(c, t, None if c == 6 or (c, t) == (5, 20) else int(rng.integers(-9, 10))) for c in range(7) for t in range(70 - 5 * c) if (c, t) != (4, 30)]
+    samples = spark.createDataFrame(x, "channel long, t long, x long")
+    events = spark.createDataFrame([(n, int(t)) for n in range(8) for t in rng.integers(0, 70, 9)] + [(None, 12)], "neuron long, t long")
+    cut = clips.extract_clips(samples, events.withColumnRenamed("neuron", "channel"), 8, on_channel=False).withColumnRenamed("channel", "neuron")
+    key = lambda df: sorted(map(tuple, df.select("neuron", "member", "k", "sum_x", "n").collect()), key=repr)
+    found = clips.crossed_sums(samples, events, 8, "neuron")
+    assert key(found) == key(clips.mean_template(cut, "neuron", "member"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
